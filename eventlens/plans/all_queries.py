@@ -2,7 +2,9 @@
 
 from eventlens.plans import (  # noqa: F401
     queries_behavior,
+    queries_cloud,
     queries_detect,
+    queries_protect,
     queries_search,
 )
 from eventlens.plans.catalog import ORACLES, QUERIES
