@@ -4,6 +4,7 @@ from eventlens.plans import (  # noqa: F401
     queries_behavior,
     queries_cloud,
     queries_detect,
+    queries_lifecycle,
     queries_protect,
     queries_search,
 )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 
 def scan_events(spark: SparkSession, path: str, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
-    """Events of a date/hour partitioned store in [start, end], by default the last 24 hours.
+    """Events of a store partitioned by date (and hour) in [start, end], by default the last 24 hours.
 
     A filter on `ts` prunes row groups but not folders, so the partition columns are
     constrained as well.
@@ -22,7 +22,7 @@ def scan_events(spark: SparkSession, path: str, start: datetime | None = None, e
     lower, upper = (F.lit(t.isoformat(sep=" ")).cast("timestamp") for t in (start, end))
     stored = spark.read.parquet(path)
     pruned = stored.where(F.col("date").between(F.lit(start.date()), F.lit(end.date())))
-    if start.date() == end.date():
+    if start.date() == end.date() and "hour" in stored.columns:
         pruned = pruned.where(F.col("hour").between(start.hour, end.hour))
     return pruned.where(F.col("ts").between(lower, upper))
 
@@ -43,7 +43,7 @@ def from_collector(df: DataFrame, raw: str = "value") -> DataFrame:
         j["index"].alias("index"),
         j["event"].alias("message"),
         j["fields"].alias("data"),
-        j.isNull().alias("bad_record"),
+        F.try_parse_json(raw).isNull().alias("bad_record"),
         F.col(raw).alias("raw"),
     )
 
@@ -97,7 +97,7 @@ def from_messages(df: DataFrame, protocol: str, raw: str = "value", received: Co
         (F.current_timestamp() if received is None else received).alias("ts"),
         F.concat(F.lit(f"{protocol}:"), F.col("_j")[name]).alias("source"),
         *[F.col("_j")[f].alias(f) for f in fields],
-        F.col("_j").isNull().alias("bad_record"),
+        F.try_parse_json(raw).isNull().alias("bad_record"),
     )
 
 

@@ -10,24 +10,27 @@ from pyspark.sql import functions as F
 
 
 def store_layout(df: DataFrame, shards: int = 4, ts: str = "ts", source: str = "source") -> DataFrame:
-    """Add the partition columns `date`, `hour` and `shard` (by source)."""
+    """Add the partition columns `date` and `hour`, and `shard`, a number per source."""
     at = F.col(ts).cast("timestamp")
     return df.withColumns({"date": F.to_date(at), "hour": F.hour(at), "shard": F.pmod(F.xxhash64(source), F.lit(shards)).cast("int")})
 
 
-def sink_event_store(df: DataFrame, path: str, shards: int = 4, mode: str = "append", rows_per_file: int = 5_000_000) -> None:
-    """Write hour partitions, sharded by source.
+def sink_event_store(df: DataFrame, path: str, shards: int = 4, by: str = "hour", mode: str = "append", rows_per_file: int = 5_000_000) -> None:
+    """Write hour (or `by="day"`) partitions; within a file rows are clustered by source shard.
 
-    Rebalancing lets adaptive execution merge small partitions and split a shard that holds
-    far more than the others, so one busy source does not end up in one task or file.
+    Rebalancing lets adaptive execution merge small hours into one task and split an hour
+    that holds far more than the others, so a busy hour or source is not written by one task.
     """
-    placed = store_layout(df, shards).hint("rebalance", "date", "hour", "shard")
-    placed.sortWithinPartitions("date", "hour", "shard", "ts").write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy("date", "hour", "shard").parquet(path)
+    folders = ["date", "hour"] if by == "hour" else ["date"]
+    placed = store_layout(df, shards).hint("rebalance", *folders)
+    ordered = placed.sortWithinPartitions(*folders, "shard", "ts")
+    ordered.write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy(*folders).parquet(path)
 
 
 def stream_event_store(df: DataFrame, path: str, checkpoint: str, shards: int = 4):
     """The same layout from a stream; each micro-batch is appended once."""
-    return store_layout(df, shards).writeStream.format("parquet").partitionBy("date", "hour", "shard").option("path", path).option("checkpointLocation", checkpoint)
+    writer = store_layout(df, shards).writeStream.format("parquet").partitionBy("date", "hour")
+    return writer.option("path", path).option("checkpointLocation", checkpoint)
 
 
 def sink_jsonl(df: DataFrame, path: str, rows_per_file: int = 1_000_000, mode: str = "append") -> None:
