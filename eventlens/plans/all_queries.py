@@ -7,6 +7,7 @@ from eventlens.plans import (  # noqa: F401
     queries_lifecycle,
     queries_protect,
     queries_search,
+    queries_stream,
 )
 from eventlens.plans.catalog import ORACLES, QUERIES
 

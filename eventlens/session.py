@@ -22,6 +22,7 @@ def get_session(app: str = "eventlens", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.parquet.compression.codec": "zstd",
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
