@@ -1,8 +1,8 @@
 """Ordered per-key computations that stay parallel when one key holds most rows.
 
 A window partitioned by key alone sends a hot key to one task. `Runs` measures the
-largest key first. Up to `GROUP_ROWS` rows per key an ordinary window is used. Beyond
-it the rows are range-partitioned by (key, order), so that a hot key spans many
+largest key first. Up to `GROUP_ROWS` rows per key (`SINGLE_ROWS` where there is no key) an
+ordinary window is used. Beyond it the rows are range-partitioned by (key, order), so that a hot key spans many
 partitions ("runs"); windows then work inside a run, and what earlier runs of the same
 key contribute is added as a carry. At most one key continues into a run from the
 run before, so the carry table never has more rows than there are partitions and
@@ -21,18 +21,25 @@ from pyspark.sql import functions as F
 from eventlens.session import cut_lineage
 
 GROUP_ROWS = 1_000_000
-FOLD_ROWS = 10_000
+RUN_ROWS = 4_000_000
+MAX_RUNS = 50_000
+SINGLE_ROWS = 200_000
+FOLD_ROWS = 50_000
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the biggest group; partial aggregation keeps the shuffle at one row per key and task."""
+def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """Rows in total and in the biggest group; partial aggregation keeps the shuffle at one row per key and task."""
     if not keys:
-        return df.count()
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        total = df.count()
+        return total, total
+    sizes = df.groupBy(*keys).count().agg(F.sum("count"), F.max("count")).first()
+    return sizes[0] or 0, sizes[1] or 0
 
 
-def shuffle_width(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def run_count(df: DataFrame, rows: int) -> int:
+    """Range partitions for `rows` rows: about `RUN_ROWS` each, at least the session's shuffle width."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(width, min(MAX_RUNS, -(-rows // RUN_ROWS)))
 
 
 def _same_keys(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
@@ -44,19 +51,21 @@ class Runs:
 
     def __init__(self, df: DataFrame, keys: list[str], order: list, group_rows: int | None = None):
         self.keys = list(keys)
-        limit = GROUP_ROWS if group_rows is None else group_rows
-        self.split = not keys or largest_group(df, self.keys) > limit
+        limit = group_rows if group_rows is not None else GROUP_ROWS if keys else SINGLE_ROWS
+        total, largest = group_sizes(df, self.keys)
+        self.split = largest > limit
         if self.split:
             order = [F.col(o) if isinstance(o, str) else o for o in order]
             key_cols = [F.col(k) for k in self.keys]
-            ranged = df.repartitionByRange(shuffle_width(df), *key_cols, *order)
+            ranged = df.repartitionByRange(run_count(df, total), *key_cols, *order)
             placed = ranged.sortWithinPartitions(*key_cols, *order).withColumn("_pos", F.monotonically_increasing_id())
             # the sampled range bounds differ between executions, so the placement is written once
             self.frame = cut_lineage(placed.withColumn("_run", F.shiftright("_pos", 33)))
             self.window = Window.partitionBy("_run", *self.keys).orderBy("_pos")
         else:
             self.frame = df
-            self.window = Window.partitionBy(*self.keys).orderBy(*order)
+            # without keys this is one task, for at most SINGLE_ROWS rows
+            self.window = Window.partitionBy(*(self.keys or [F.lit(0)])).orderBy(*order)
 
     def before(self, **aggs: tuple[str, Column]) -> "Runs":
         """Add, per name, `(kind, column)` over the rows before the current one of the same key.
@@ -79,7 +88,9 @@ class Runs:
 
     @staticmethod
     def _local(kind: str, col: Column) -> Column:
-        return {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}[kind](col) if kind != "last" else F.last(col, True)
+        if kind == "last":
+            return F.last(col, ignorenulls=True)
+        return {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}[kind](col)
 
     def _add_carry(self, result: DataFrame, aggs) -> DataFrame:
         def total(kind, col):
@@ -89,16 +100,12 @@ class Runs:
 
         per_run = self.frame.groupBy("_run", *self.keys).agg(*[total(k, c).alias(n) for n, (k, c) in aggs.items()])
         # one row per run and key: the window holds at most as many rows per key as there are partitions
-        if self.keys:
-            earlier_runs = Window.partitionBy(*self.keys).orderBy("_run")
-        else:
-            earlier_runs = Window.partitionBy(F.lit(0)).orderBy("_run")
+        earlier_runs = Window.partitionBy(*(self.keys or [F.lit(0)])).orderBy("_run")
         prior = earlier_runs.rowsBetween(Window.unboundedPreceding, -1)
         carry = per_run.withColumn("_n", F.row_number().over(earlier_runs))
         for name, (kind, _) in aggs.items():
-            combine = F.sum if kind == "count" else None
-            col = combine(F.col(name)) if combine else self._local(kind, F.col(name))
-            carry = carry.withColumn("_carry_" + name, col.over(prior))
+            whole = self._local("sum" if kind == "count" else kind, F.col(name))
+            carry = carry.withColumn("_carry_" + name, whole.over(prior))
         # rows with _n > 1 are the keys that continue from an earlier run: at most one per run
         carry = carry.where("_n > 1").select(
             *[F.col(n).alias("_c_" + n) for n in ["_run", *self.keys]], *["_carry_" + n for n in aggs]
@@ -173,30 +180,37 @@ def greedy_spaced(
 ) -> DataFrame:
     """Flag the first row of each key and then every first row at least `gap` after the last flagged one.
 
+    `position` with `order` (column names, the last one a unique id) identifies a row. Only these
+    columns go through the ordered passes; the full rows are joined once, at the end.
+
     A row whose predecessor lies `gap` or more back is always flagged, so the rows between
     two such breaks form independent sessions. Sessions of up to `fold_rows` positions are
     folded as an array; longer ones are solved by pointer doubling, log2(length) joins.
     """
-    runs = Runs(df, keys, [position, *order], group_rows).before(_previous=("last", F.col(position)))
+    narrow = df.select(*keys, position, *order)
+    runs = Runs(narrow, keys, [position, *order], group_rows).before(_previous=("last", F.col(position)))
     fresh = F.col("_previous").isNull() | (F.col(position) - F.col("_previous") >= gap)
     runs.frame = runs.frame.withColumn("_head", fresh).withColumn("_first", ~F.col("_previous").eqNullSafe(F.col(position)))
     marked = runs.before(_session=("max", F.when(F.col("_head"), F.col(position)))).done()
     marked = marked.withColumn("_session", F.when(F.col("_head"), F.col(position)).otherwise(F.col("_session")))
-    marked = cut_lineage(marked)
-    nodes = marked.where("_first").select(*keys, "_session", F.col(position).alias("_p"), "_head")
-    sizes = nodes.groupBy(*keys, "_session").count()
+    nodes = cut_lineage(marked.where("_first").select(*keys, "_session", F.col(position).alias("_p"), "_head", *order))
+    same = [*keys, "_session"]
+    sizes = nodes.groupBy(*same).count()
     if (sizes.agg(F.max("count")).first()[0] or 0) <= fold_rows:
         chosen = _fold_sessions(nodes, keys, gap)
     else:
-        long = sizes.where(F.col("count") > fold_rows).drop("count")
-        same = [*keys, "_session"]
-        chosen = _fold_sessions(nodes.join(long, same, "left_anti"), keys, gap).unionByName(
-            _double_pointers(nodes.join(long, same, "left_semi"), keys, gap, group_rows)
+        # NULL keys would be lost in a plain join, so sessions are told apart by null-safe equality
+        long = sizes.where(F.col("count") > fold_rows).select(*[F.col(n).alias("_c_" + n) for n in same])
+        matches = _same_keys(nodes, long, same)
+        chosen = _fold_sessions(nodes.join(long, matches, "left_anti"), keys, gap).unionByName(
+            _double_pointers(cut_lineage(nodes.join(long, matches, "left_semi")), keys, gap, group_rows)
         )
-    chosen = chosen.select(*[F.col(k).alias("_c_" + k) for k in keys], F.col("_p").alias("_c_" + position), F.lit(True).alias("_chosen"))
-    joined = marked.join(chosen, _same_keys(marked, chosen, [*keys, position]), "left")
-    flag = F.col("_first") & F.coalesce(F.col("_chosen"), F.lit(False))
-    return joined.select(*df.columns, flag.alias(name))
+    # back from chosen positions to rows: by position within the key, then by the row's own order columns
+    picked = chosen.select(*[F.col(n).alias("_c_" + n) for n in [*keys, "_p"]])
+    rows = nodes.join(picked, _same_keys(nodes, picked, [*keys, "_p"]), "left_semi")
+    accepted = rows.select(*[F.col(n).alias("_c_" + n) for n in [*keys, *order]], F.col("_p").alias("_c_" + position), F.lit(True).alias("_ok"))
+    joined = df.join(accepted, _same_keys(df, accepted, list(dict.fromkeys([*keys, position, *order]))), "left")
+    return joined.select(*df.columns, F.coalesce("_ok", F.lit(False)).alias(name))
 
 
 def _fold_sessions(nodes: DataFrame, keys: list[str], gap: int) -> DataFrame:
@@ -220,11 +234,12 @@ def _double_pointers(nodes: DataFrame, keys: list[str], gap: int, group_rows: in
     reached = cut_lineage(nodes.where("_head").select(*same, "_p"))
     known = reached.count()
     while True:
-        ahead = reached.join(jump, [*same, "_p"]).where("_next is not null").select(*same, F.col("_next").alias("_p"))
-        reached = cut_lineage(reached.unionByName(ahead).distinct())
+        at = reached.select(*[F.col(n).alias("_c_" + n) for n in [*same, "_p"]])
+        ahead = jump.where("_next is not null").join(at, _same_keys(jump, at, [*same, "_p"]), "left_semi")
+        reached = cut_lineage(reached.unionByName(ahead.select(*same, F.col("_next").alias("_p"))).distinct())
         total = reached.count()
         if total == known:
             return reached.select(*keys, "_p")
         known = total
-        further = jump.select(*same, F.col("_p").alias("_next"), F.col("_next").alias("_then"))
-        jump = cut_lineage(jump.join(further, [*same, "_next"]).select(*same, "_p", F.col("_then").alias("_next")))
+        then = jump.select(*[F.col(n).alias("_c_" + n) for n in same], F.col("_p").alias("_c__next"), F.col("_next").alias("_then"))
+        jump = cut_lineage(jump.join(then, _same_keys(jump, then, [*same, "_next"])).select(*same, "_p", F.col("_then").alias("_next")))

@@ -7,19 +7,20 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.functions.ordered import Runs, greedy_spaced
+from eventlens.functions.ordered import FOLD_ROWS, Runs, greedy_spaced
 from eventlens.functions.spans import span_seconds
 from eventlens.operators.correlate import correlate_related
 from eventlens.operators.rules import Rule, matched
 
-ALERT_COLUMNS = ["alert_id", "title", "description", "severity", "source", "ts"]
-
 
 def route_alerts(correlations: DataFrame | None = None, detections: DataFrame | None = None, anomalies: DataFrame | None = None) -> DataFrame:
     """One alert table from correlation matches, detections and behaviour anomalies.
 
     Inputs need rule_id, rule_name, severity, source, ts (anomalies: anomaly_type, description).
+    `event_id` is kept where all inputs have it; `dedup_alerts` needs it to tell alerts apart.
     """
+    given = [f for f in (correlations, detections, anomalies) if f is not None]
+    kept = ["event_id"] if all("event_id" in f.columns for f in given) else []
     parts = []
     if correlations is not None:
         at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -31,6 +32,7 @@ def route_alerts(correlations: DataFrame | None = None, detections: DataFrame |
                 "severity",
                 "source",
                 "ts",
+                *kept,
             )
         )
     if detections is not None:
@@ -42,6 +44,7 @@ def route_alerts(correlations: DataFrame | None = None, detections: DataFrame |
                 "severity",
                 "source",
                 "ts",
+                *kept,
             )
         )
     if anomalies is not None:
@@ -53,6 +56,7 @@ def route_alerts(correlations: DataFrame | None = None, detections: DataFrame |
                 "severity",
                 "source",
                 "ts",
+                *kept,
             )
         )
     whole = parts[0]
@@ -61,7 +65,7 @@ def route_alerts(correlations: DataFrame | None = None, detections: DataFrame |
     return whole
 
 
-def dedup_alerts(window: str = "5m", tie: str = "event_id", fold_rows: int = 10_000, group_rows: int | None = None):
+def dedup_alerts(window: str = "5m", tie: str = "event_id", fold_rows: int = FOLD_ROWS, group_rows: int | None = None):
     """Drop alerts of the same id and title that follow a passed one within the window."""
 
     def apply(df: DataFrame) -> DataFrame:

@@ -17,17 +17,22 @@ def with_entity(df: DataFrame, names=ENTITY_FIELDS) -> DataFrame:
     return df.withColumn("entity", first_text(df, list(names))).where("entity is not null and entity <> ''")
 
 
+def _narrow(df: DataFrame, names, **more: Column) -> DataFrame:
+    """Only what a check needs: wide rows should not go through ordered passes."""
+    rows = with_entity(df, names)
+    return rows.select("event_id", "entity", "ts", field(rows, "source").cast("string").alias("source"), *[c.alias(n) for n, c in more.items()])
+
+
 def _anomalies(flagged: DataFrame, kind: str, severity, description) -> DataFrame:
     as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
-    source = F.col("source") if "source" in flagged.columns else F.lit(None).cast("string")
     return flagged.select(
-        "event_id", "entity", "ts", source.alias("source"), F.lit(kind).alias("anomaly_type"), as_col(severity).alias("severity"), as_col(description).alias("description")
+        "event_id", "entity", "ts", "source", F.lit(kind).alias("anomaly_type"), as_col(severity).alias("severity"), as_col(description).alias("description")
     )
 
 
 def ueba_after_hours(df: DataFrame, entity=ENTITY_FIELDS, group_rows: int | None = None) -> DataFrame:
     """Events in an hour of day that holds under 1/48 of the entity's more than 50 earlier events."""
-    rows = with_entity(df, entity).withColumn("_hour", F.hour("ts"))
+    rows = _narrow(df, entity, _hour=F.hour("ts"))
     rows = ordinal(rows, ["entity"], ["ts", "event_id"], "_total", group_rows)
     rows = ordinal(rows, ["entity", "_hour"], ["ts", "event_id"], "_in_hour", group_rows)
     quiet = (F.col("_total") - 1 > 50) & (F.col("_in_hour") - 1 < F.floor((F.col("_total") - 1) / 48))
@@ -36,7 +41,7 @@ def ueba_after_hours(df: DataFrame, entity=ENTITY_FIELDS, group_rows: int | None
 
 def ueba_impossible_travel(df: DataFrame, entity=ENTITY_FIELDS, window: str = "5m", group_rows: int | None = None) -> DataFrame:
     """Events whose address differs from the entity's last one, less than `window` after its last event."""
-    rows = with_entity(df, entity).withColumn("_ip", field(df, "src_ip").cast("string")).withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
+    rows = _narrow(df, entity, _ip=field(df, "src_ip").cast("string"), _at=F.unix_micros(F.col("ts").cast("timestamp")))
     runs = Runs(rows, ["entity"], ["ts", "event_id"], group_rows)
     seen = runs.before(_last_ip=("last", F.col("_ip")), _last_at=("last", F.col("_at"))).done()
     moved = (F.col("_last_ip") != F.col("_ip")) & (F.col("_at") - F.col("_last_at") < span_seconds(window) * 1_000_000)
@@ -45,7 +50,7 @@ def ueba_impossible_travel(df: DataFrame, entity=ENTITY_FIELDS, window: str = "5
 
 def ueba_rare_process(df: DataFrame, entity=ENTITY_FIELDS, group_rows: int | None = None) -> DataFrame:
     """Processes under 1 % of more than 100 earlier process events, or new after more than 10 known ones."""
-    rows = with_entity(df, entity).withColumn("_proc", field(df, "process_name").cast("string")).where("_proc is not null")
+    rows = _narrow(df, entity, _proc=field(df, "process_name").cast("string")).where("_proc is not null")
     rows = ordinal(rows, ["entity", "_proc"], ["ts", "event_id"], "_nth", group_rows)
     runs = Runs(rows, ["entity"], ["ts", "event_id"], group_rows)
     seen = runs.before(_total=("count", F.lit(1)), _known=("sum", F.when(F.col("_nth") == 1, 1).otherwise(0))).done()

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.functions.fields import field, first_text
-from eventlens.functions.ordered import Runs, greedy_spaced, ordinal
+from eventlens.functions.ordered import FOLD_ROWS, Runs, greedy_spaced, ordinal
 from eventlens.functions.spans import span_seconds
 from eventlens.operators.rules import Rule, rule_column
+from eventlens.session import cut_lineage
 
 SECOND = 1_000_000
 
@@ -57,6 +58,10 @@ def window_starts(ts: Column, span: Column, slides: int) -> Column:
 
 
 def in_windows(matches: DataFrame, slides: int = 1) -> DataFrame:
+    """One row per match and window that holds it."""
+    if slides == 1:
+        epoch = F.unix_seconds("ts")
+        return matches.withColumn("window_start", epoch - F.pmod(epoch, F.col("span").cast("long")))
     return matches.withColumn("window_start", F.explode(window_starts(F.col("ts"), F.col("span"), slides)))
 
 
@@ -104,7 +109,7 @@ def correlate_idle_window(rules: Iterable[Rule], gap: str = "5m", ts: str = "ts"
     return apply
 
 
-def correlate_reset(rule: Rule, by: tuple[str, ...] = (), ts: str = "ts", event_id: str = "event_id", fold_rows: int = 10_000, group_rows: int | None = None):
+def correlate_reset(rule: Rule, by: tuple[str, ...] = (), ts: str = "ts", event_id: str = "event_id", fold_rows: int = FOLD_ROWS, group_rows: int | None = None):
     """Signal whenever `threshold` matching events fall within the trailing window; then counting restarts.
 
     An event can close a signal when the event `threshold - 1` matches earlier is less than a
@@ -120,13 +125,14 @@ def correlate_reset(rule: Rule, by: tuple[str, ...] = (), ts: str = "ts", event_
         described = [F.lit(rule.id).alias("rule_id"), F.lit(rule.name).alias("rule_name"), F.lit(rule.severity).alias("severity"), F.lit(rule.risk_score).alias("risk_score")]
         if need <= 1:
             return hits.select(*described, *keys, "ts", F.col("event_id").alias("trigger_id"), F.array("event_id").alias("source_ids"))
-        placed = ordinal(hits, keys, ["ts", "event_id"], "_rn", group_rows)
+        # read three times below
+        placed = cut_lineage(ordinal(hits, keys, ["ts", "event_id"], "_rn", group_rows))
         opening = placed.select(*[F.col(k).alias("_o_" + k) for k in keys], (F.col("_rn") + need - 1).alias("_o_rn"), F.col("ts").alias("_o_ts"))
         same = placed["_rn"] == opening["_o_rn"]
         for k in keys:
             same = same & placed[k].eqNullSafe(opening["_o_" + k])
         closing = placed.join(opening, same).where(F.unix_micros("ts") - F.unix_micros("_o_ts") < span).select(*placed.columns)
-        fired = greedy_spaced(closing, keys, "_rn", need, ["event_id"], "_fires", fold_rows, group_rows).where("_fires").drop("_fires")
+        fired = greedy_spaced(cut_lineage(closing), keys, "_rn", need, ["event_id"], "_fires", fold_rows, group_rows).where("_fires").drop("_fires")
         members = fired.select(
             *[F.col(k).alias("_m_" + k) for k in keys],
             F.col("event_id").alias("trigger_id"),

@@ -32,7 +32,7 @@ def hash_chain(df: DataFrame, payload: Column, keys: list[str], order: list[str]
     A chain is serial by nature, so it restarts after `block` rows: a busy key gives several
     segments that are folded side by side. `merkle_root` over the heads covers the whole.
     """
-    placed = ordinal(df.withColumn("_d", payload), keys, order, "_rn", group_rows)
+    placed = ordinal(df.select(*dict.fromkeys([*keys, *order]), payload.alias("_d")), keys, order, "_rn", group_rows)
     rows = placed.select(*keys, F.floor((F.col("_rn") - 1) / block).alias("segment"), "_rn", "_d")
     segments = rows.groupBy(*keys, "segment").agg(F.array_sort(F.collect_list(F.struct("_rn", "_d"))).alias("_s"))
     start = F.sha2(F.element_at("_s", 1)["_d"], 256)
@@ -53,8 +53,8 @@ def _blocks(nodes: DataFrame, width: int) -> DataFrame:
 
 def leaf_nodes(df: DataFrame, leaf: Column, order: list[str]) -> DataFrame:
     """Numbered leaf hashes (i, h) in global order."""
-    placed = ordinal(df.withColumn("_leaf", leaf), [], order, "_rn")
-    return placed.select(*df.columns, (F.col("_rn") - 1).alias("i"), F.sha2(F.col("_leaf"), 256).alias("h"))
+    placed = ordinal(df.withColumn("h", F.sha2(leaf, 256)), [], order, "_rn")
+    return placed.select(*df.columns, (F.col("_rn") - 1).alias("i"), "h")
 
 
 def merkle_root(df: DataFrame, leaf: Column, order: list[str], levels: int = LEVELS) -> DataFrame:
@@ -64,7 +64,7 @@ def merkle_root(df: DataFrame, leaf: Column, order: list[str], levels: int = LEV
     three rounds and no task holds more than a block. One row: root, leaves.
     """
     width = 1 << levels
-    nodes = cut_lineage(leaf_nodes(df, leaf, order).select("i", "h"))
+    nodes = cut_lineage(leaf_nodes(df.select(*order, leaf.alias("_leaf")), F.col("_leaf"), order).select("i", "h"))
     leaves = count = nodes.count()
     while count > 1:
         last = count <= width

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from eventlens.functions.fields import field
-from eventlens.functions.ordered import greedy_spaced
+from eventlens.functions.ordered import FOLD_ROWS, greedy_spaced
 from eventlens.functions.spans import span_seconds
 
 DAY = 86400
@@ -18,7 +18,7 @@ def dedup_key(df: DataFrame, event_id: str = "id") -> Column:
     return F.coalesce(F.nullif(field(df, event_id).cast("string"), F.lit("")), F.sha2(F.concat(*parts), 256))
 
 
-def dedup_ttl(ttl: str = "5m", event_id: str = "id", ts: str = "ts", tie: str = "event_id", fold_rows: int = 10_000, group_rows: int | None = None):
+def dedup_ttl(ttl: str = "5m", event_id: str = "id", ts: str = "ts", tie: str = "event_id", fold_rows: int = FOLD_ROWS, group_rows: int | None = None):
     """Drop events whose key was last accepted less than `ttl` before."""
 
     def apply(df: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ def entity_risk_adjust(deltas: DataFrame, start: DataFrame | None = None, tie: s
     composed block by block: each round shrinks the rows by `block`, and no task ever
     holds more than `block` of them per entity. Entities absent from `start` begin at 0.
     """
-    placed = ordinal(deltas, ["entity"], ["ts", tie], "_rn", group_rows)
+    placed = ordinal(deltas.select("entity", "ts", tie, "delta"), ["entity"], ["ts", tie], "_rn", group_rows)
     steps = placed.select("entity", (F.col("_rn") - 1).alias("i"), F.col("delta").cast("long").alias("add"), F.lit(0).cast("long").alias("lo"), F.lit(CAP).cast("long").alias("hi"))
 
     def compose(first: Column, then: Column) -> Column:

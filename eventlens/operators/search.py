@@ -9,6 +9,7 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventlens.functions.fields import field, first_text, number, text
 
@@ -46,13 +47,17 @@ def search_keyword(*keywords: str, message: str = "message"):
     return apply
 
 
-def search_field(**wanted):
-    """Keep rows where every field, as text, equals the value. Envelope fields count too."""
+def equals_text(df: DataFrame, name: str, value) -> Column:
+    """Whether the field, as text, equals the value; whole numbers compare as such so that the scan can skip data."""
+    shown = str(value)
+    if name in df.columns and isinstance(df.schema[name].dataType, T.IntegralType) and re.fullmatch(r"0|-?[1-9]\d{0,17}", shown):
+        return field(df, name) == F.lit(int(shown))
+    return text(field(df, name)) == F.lit(shown)
 
-    def apply(df: DataFrame) -> DataFrame:
-        return df.where(reduce(and_, [text(field(df, k)) == F.lit(str(v)) for k, v in wanted.items()], F.lit(True)))
 
-    return apply
+def search_field(**wanted):
+    """Keep rows where every field, as text, equals the value. Envelope fields count too."""
+    return lambda df: df.where(reduce(and_, [equals_text(df, k, v) for k, v in wanted.items()], F.lit(True)))
 
 
 def tokens(col: Column) -> Column:

@@ -53,18 +53,20 @@ def recent_indicators(n: int = 50, created: str = "created", tie: str = "id"):
 def top_n_others(bucket: str, series: str, value: Column, n: int = 10, others: str = "others"):
     """Per bucket the n largest series, and the sum of the rest as one series.
 
-    The rank filter becomes a partial top-n before the shuffle; the rest is found by an
-    anti join on (bucket, series), so no bucket is gathered in one task.
+    The rank filter becomes a partial top-n before the shuffle, so a bucket with many series
+    is not gathered in one task; the n-th place of each bucket then tells which sums to merge.
     """
 
     def apply(df: DataFrame) -> DataFrame:
         sums = df.groupBy(bucket, series).agg(value.alias("value"))
-        place = F.row_number().over(Window.partitionBy(bucket).orderBy(F.col("value").desc(), F.col(series)))
-        top = sums.withColumn("_rank", place).where(F.col("_rank") <= n).drop("_rank")
-        kept = top.select(F.col(bucket).alias("_b"), F.col(series).alias("_s"))
-        same = sums[bucket].eqNullSafe(F.col("_b")) & sums[series].eqNullSafe(F.col("_s"))
-        rest = sums.join(kept, same, "left_anti").groupBy(bucket).agg(F.sum("value").alias("value"))
-        return top.unionByName(rest.withColumn(series, F.lit(others)))
+        place = F.row_number().over(Window.partitionBy(bucket).orderBy(F.col("value").desc(), F.col(series).asc_nulls_first()))
+        last = sums.withColumn("_rank", place).where(F.col("_rank") <= n).where(F.col("_rank") == n)
+        last = last.select(F.col(bucket).alias("_b"), F.col("value").alias("_v"), F.col(series).alias("_s"))
+        ranked = sums.join(last, sums[bucket].eqNullSafe(F.col("_b")), "left")
+        tied = (F.col("value") == F.col("_v")) & (F.col(series).isNull() | F.coalesce(F.col(series) <= F.col("_s"), F.lit(False)))
+        kept = F.col("_v").isNull() | (F.col("value") > F.col("_v")) | tied
+        named = ranked.select(bucket, F.when(kept, F.col(series)).otherwise(F.lit(others)).alias(series), "value")
+        return named.groupBy(bucket, series).agg(F.sum("value").alias("value"))
 
     return apply
 
@@ -74,11 +76,10 @@ def top_values(name: str, n: int = 10, rare: bool = False):
 
     def apply(df: DataFrame) -> DataFrame:
         counts = df.groupBy(field(df, name).alias(name)).agg(F.count(F.lit(1)).alias("count"))
-        total = counts.agg(F.sum("count").alias("_total"))
+        total = counts.agg(F.sum("count")).scalar()
         order = F.col("count").asc() if rare else F.col("count").desc()
         kept = counts.orderBy(order, F.col(name)).limit(n)
-        # one row holds the total
-        return kept.join(F.broadcast(total)).select(name, "count", (F.col("count") * 100.0 / F.col("_total")).alias("percent"))
+        return kept.select(name, "count", (F.col("count") * 100.0 / total).alias("percent"))
 
     return apply
 

@@ -120,12 +120,9 @@ def timechart(span: str | int = "1h", aggs=(("count", None),), by: tuple[str, ..
 
 def _fill(chart: DataFrame, seconds: int, by: list[str]) -> DataFrame:
     """Bucket grid per series: the grid is made by `sequence` inside each series row."""
-    step = F.make_dt_interval(secs=F.lit(seconds))
-    limits = chart.agg(F.min("_time").alias("_lo"), F.max("_time").alias("_hi"))
-    series = chart.select(*by).distinct() if by else limits.select()
-    # `limits` is a single row by construction, so this join only appends two columns
-    grid = series.join(F.broadcast(limits)) if by else limits
-    grid = grid.select(*by, F.explode(F.sequence("_lo", "_hi", step)).alias("_time"))
+    lowest, highest = chart.agg(F.min("_time")).scalar(), chart.agg(F.max("_time")).scalar()
+    series = chart.select(*by).distinct() if by else chart.sparkSession.range(1).select()
+    grid = series.select(*by, F.explode(F.sequence(lowest, highest, F.make_dt_interval(secs=F.lit(seconds)))).alias("_time"))
     keys = ["_time", *by]
     right = chart.select(*[F.col(k).alias("_r_" + k) for k in keys], *[c for c in chart.columns if c not in keys])
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col("_r_" + k)) for k in keys])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.functions.fields import field, first_text
-from eventlens.functions.ordered import Runs, largest_group, ordinal
+from eventlens.functions.ordered import Runs, group_sizes, ordinal
 from eventlens.functions.spans import bucket, span_seconds
 from eventlens.session import cut_lineage
 
@@ -47,7 +47,7 @@ def tenant_storage_quota(
         base = df.select(F.col(tie).alias("_id"), F.col(tenant).alias("_t"), F.col(ts).alias("_ts"), F.col(size).cast("long").alias("_b"))
         open_rows = cut_lineage(base.withColumn("_room", F.lit(limit).cast("long")).where("_b <= _room"))
         taken = None
-        while largest_group(open_rows, ["_t"]) > fold_rows:
+        while group_sizes(open_rows, ["_t"])[1] > fold_rows:
             summed = Runs(open_rows, ["_t"], ["_ts", "_id"], group_rows).before(_sum=("sum", F.col("_b"))).done()
             fits = cut_lineage(summed.withColumn("_fits", F.col("_sum") + F.col("_b") <= F.col("_room")))
             accepted = fits.where("_fits").select("_id")

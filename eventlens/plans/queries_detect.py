@@ -214,7 +214,7 @@ def alert_inputs(spark, sf):
 
 @query("route_alerts", W + f", {ALERTS} SELECT alert_id, title, description, severity, source, ts FROM alerts")
 def _(spark, sf):
-    out = L.route_alerts(*alert_inputs(spark, sf))
+    out = L.route_alerts(*alert_inputs(spark, sf)).drop("event_id")
     return out.withColumn("ts", utc(F.col("ts")))
 
 
@@ -229,7 +229,7 @@ DEDUP = """lists AS (SELECT {key} AS k, list_sort(list(epoch_us({ts}))) AS l FRO
 )
 def _(spark, sf):
     out = L.route_alerts(*alert_inputs(spark, sf))
-    passed = out.transform(L.dedup_alerts("1h", tie="source"))
+    passed = out.transform(L.dedup_alerts("1h"))
     return passed.select(F.concat_ws(":", "alert_id", "title").alias("alert_key"), utc(F.col("ts")).alias("ts"))
 
 

@@ -17,11 +17,11 @@ from eventlens.streaming import windows as Z
 W = f"WITH {SEC} "
 
 
-def event_stream(spark, sf, max_bytes="1g"):
+def event_stream(spark, sf, max_bytes=1 << 30):
     return N.stream_table(spark, f"{sf}/events*.parquet", max_bytes)
 
 
-def sec_stream(spark, sf, max_bytes="1g"):
+def sec_stream(spark, sf, max_bytes=1 << 30):
     return event_stream(spark, sf, max_bytes).selectExpr(*[f"{e} AS {n}" for n, e in SEC_COLUMNS.items()]).withColumn("ts", F.col("ts").cast("timestamp"))
 
 

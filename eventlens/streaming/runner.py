@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from eventlens.session import STATE_STORE, new_path
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-STATEFUL_BATCH = "64m"
+STATEFUL_BATCH = 64 << 20
 
 
 @contextmanager
@@ -27,14 +27,14 @@ def rocksdb_state(spark: SparkSession):
             spark.conf.set(PROVIDER, before)
 
 
-def stream_table(spark: SparkSession, path: str, max_bytes: str = "1g", files_per_batch: int | None = None) -> DataFrame:
+def stream_table(spark: SparkSession, path: str, max_bytes: int = 1 << 30, files_per_batch: int | None = None) -> DataFrame:
     """Stream of the Parquet files at `path` (a folder or a pattern), with the schema they have now.
 
     A micro-batch takes at most about `max_bytes` of files. Keyed state reads the rows of one key of a
     batch into one task, so give those queries small batches: `STATEFUL_BATCH`.
     """
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    limit = ("maxFilesPerTrigger", files_per_batch) if files_per_batch else ("maxBytesPerTrigger", max_bytes)
+    limit = ("maxFilesPerTrigger", files_per_batch) if files_per_batch else ("maxBytesPerTrigger", str(max_bytes))
     return reader.option(*limit).parquet(path)
 
 
