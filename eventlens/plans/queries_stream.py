@@ -46,7 +46,13 @@ def _(spark, sf):
     return out.select("rule_id", "entity_key", F.unix_seconds("window_start").alias("window_start"), "n")
 
 
-@query("stream_idle")
+@query(
+    "stream_idle",
+    W + f""", {QD.KEYED}, g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER k <= 1800000000 THEN 0 ELSE 1 END AS fresh FROM keyed WINDOW k AS (PARTITION BY rule_id, entity_key ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY rule_id, entity_key ORDER BY ts, event_id) AS part FROM g)
+    SELECT rule_id, entity_key, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY rule_id, threshold, entity_key, part
+    HAVING count(*) >= threshold AND max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM keyed) - INTERVAL 10 MINUTE""",
+)
 def _(spark, sf):
     out = N.run_available(Z.stream_idle(sec_stream(spark, sf), QD.WINDOW_RULES, gap="30m"), "idle")
     return out.select("rule_id", "entity_key", "n", utc(F.col("first_ts")).alias("first_ts"), utc(F.col("last_ts")).alias("last_ts"))
@@ -76,12 +82,24 @@ def _(spark, sf):
     return N.run_available(S.stream_ueba(sec_stream(spark, sf, N.STATEFUL_BATCH), ("tenant",)), "ueba")
 
 
-@query("stream_risk")
+RISK = """inc AS (SELECT 'u' || user_id AS entity, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS slot, CASE event_type WHEN 'error' THEN 30 WHEN 'signup' THEN 10 ELSE 0 END AS score FROM events),
+ mark AS (SELECT CAST(floor(epoch(max(ts) - INTERVAL 10 MINUTE) / 3600) AS BIGINT) AS slot FROM events),
+ h AS (SELECT entity, slot, sum(score)::BIGINT AS added FROM inc GROUP BY 1, 2),
+ b AS (SELECT entity, min(slot) AS lo, greatest(max(slot), (SELECT slot FROM mark)) AS hi FROM h GROUP BY 1),
+ g AS (SELECT entity, hi, unnest(range(lo, hi + 1)) AS slot FROM b),
+ l AS (SELECT entity, list({'last': slot = hi, 'added': coalesce(added, 0)} ORDER BY slot) AS l FROM g LEFT JOIN h USING (entity, slot) GROUP BY 1)"""
+
+
+@query(
+    "stream_risk",
+    f"""WITH {RISK} SELECT entity, CAST(list_reduce(l, lambda a, x: CASE WHEN x.last THEN least(100, a + x.added) ELSE floor(least(100, a + x.added) * 0.5)::BIGINT END, 0::BIGINT) AS INTEGER) AS score FROM l""",
+)
 def _(spark, sf):
     kind = F.col("event_type")
     score = F.when(kind == "error", 30).when(kind == "signup", 10).otherwise(0)
     e = event_stream(spark, sf, N.STATEFUL_BATCH).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("entity"), "ts", "event_id", score.alias("score"))
-    return N.newest_per_key(N.run_available(S.stream_risk(e), "risk", "update"), ["entity"])
+    updates = N.run_available(S.stream_risk(e), "risk", "update")
+    return N.newest_per_key(updates, ["entity"]).select("entity", "score")
 
 
 @query(

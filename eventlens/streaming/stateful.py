@@ -111,8 +111,11 @@ class Risk(StatefulProcessor):
         yield Row(entity=key[0], score=score, slot=slot)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        due = expiredTimerInfo.getExpiryTimeInMs() // 1000 // self.interval
-        score, slot = self.score.get() if self.score.exists() else (0, due)
+        if not self.score.exists():
+            return
+        score, slot = self.score.get()
+        # the watermark may have passed several intervals at once
+        due = timerValues.getCurrentWatermarkInMs() // 1000 // self.interval
         if due > slot:
             score, slot = self._decay(score, due - slot), due
             if score > 0:
