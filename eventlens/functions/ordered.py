@@ -1,7 +1,8 @@
 """Ordered per-key computations that stay parallel when one key holds most rows.
 
-A window partitioned by key alone sends a hot key to one task. `Runs` measures the
-largest key first. Up to `GROUP_ROWS` rows per key (`SINGLE_ROWS` where there is no key) an
+A window partitioned by key alone sends a hot key to one task. `Runs` bounds the largest
+key first, by counting rows per hash of the key. Up to `GROUP_ROWS` rows per key, or a few times
+the even share of a hash bucket where that is more (`SINGLE_ROWS` where there is no key), an
 ordinary window is used. Beyond it the rows are range-partitioned by (key, order), so that a hot key spans many
 partitions ("runs"); windows then work inside a run, and what earlier runs of the same
 key contribute is added as a carry. At most one key continues into a run from the
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from eventlens.session import cut_lineage
 
+BUCKETS = 1 << 16
 GROUP_ROWS = 1_000_000
 RUN_ROWS = 4_000_000
 MAX_RUNS = 50_000
@@ -28,14 +30,24 @@ FOLD_ROWS = 50_000
 
 
 def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
-    """Rows in total and in the biggest group; partial aggregation keeps the shuffle at one row per key and task."""
+    """Rows in total, and an upper bound of the rows of any group.
+
+    Rows are counted per hash bucket of the key: partial aggregation leaves at most `BUCKETS`
+    rows per task to shuffle, even when almost every row has a key of its own.
+    """
     if not keys:
         total = df.count()
         return total, total
-    sizes = df.groupBy(*keys).count().agg(F.sum("count"), F.max("count")).first()
+    buckets = df.groupBy(F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("_bucket")).count()
+    sizes = buckets.agg(F.sum("count"), F.max("count")).first()
     return sizes[0] or 0, sizes[1] or 0
 
 
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the biggest group, exactly: one row per key and task is shuffled."""
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
 def run_count(df: DataFrame, rows: int) -> int:
     """Range partitions for `rows` rows: about `RUN_ROWS` each, at least the session's shuffle width."""
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -51,8 +63,9 @@ class Runs:
 
     def __init__(self, df: DataFrame, keys: list[str], order: list, group_rows: int | None = None):
         self.keys = list(keys)
-        limit = group_rows if group_rows is not None else GROUP_ROWS if keys else SINGLE_ROWS
         total, largest = group_sizes(df, self.keys)
+        usual = max(GROUP_ROWS, 4 * total // BUCKETS) if keys else SINGLE_ROWS
+        limit = usual if group_rows is None else group_rows
         self.split = largest > limit
         if self.split:
             order = [F.col(o) if isinstance(o, str) else o for o in order]
@@ -181,57 +194,56 @@ def greedy_spaced(
     """Flag the first row of each key and then every first row at least `gap` after the last flagged one.
 
     `position` with `order` (column names, the last one a unique id) identifies a row. Only these
-    columns go through the ordered passes; the full rows are joined once, at the end.
+    columns go through the ordered passes; the rejected rows are then looked up in the full ones.
 
-    A row whose predecessor lies `gap` or more back is always flagged, so the rows between
-    two such breaks form independent sessions. Sessions of up to `fold_rows` positions are
-    folded as an array; longer ones are solved by pointer doubling, log2(length) joins.
+    A row whose predecessor lies `gap` or more back (a head) is always flagged, so the rows
+    between two heads form independent sessions, named by the position of their head. Heads need no
+    further work. Sessions of up to `fold_rows` other positions are folded as an array; longer
+    ones are solved by pointer doubling, log2(length) joins.
     """
     narrow = df.select(*keys, position, *order)
     runs = Runs(narrow, keys, [position, *order], group_rows).before(_previous=("last", F.col(position)))
     fresh = F.col("_previous").isNull() | (F.col(position) - F.col("_previous") >= gap)
     runs.frame = runs.frame.withColumn("_head", fresh).withColumn("_first", ~F.col("_previous").eqNullSafe(F.col(position)))
     marked = runs.before(_session=("max", F.when(F.col("_head"), F.col(position)))).done()
-    marked = marked.withColumn("_session", F.when(F.col("_head"), F.col(position)).otherwise(F.col("_session")))
-    nodes = cut_lineage(marked.where("_first").select(*keys, "_session", F.col(position).alias("_p"), "_head", *order))
+    others = cut_lineage(marked.where("not _head").select(*keys, position, *order, "_session", "_first"))
     same = [*keys, "_session"]
-    sizes = nodes.groupBy(*same).count()
-    if (sizes.agg(F.max("count")).first()[0] or 0) <= fold_rows:
-        chosen = _fold_sessions(nodes, keys, gap)
+    nodes = others.where("_first").select(*same, F.col(position).alias("_p"))
+    if largest_group(nodes, same) <= fold_rows:
+        chosen = _fold_sessions(nodes, same, gap)
     else:
         # NULL keys would be lost in a plain join, so sessions are told apart by null-safe equality
-        long = sizes.where(F.col("count") > fold_rows).select(*[F.col(n).alias("_c_" + n) for n in same])
+        sizes = nodes.groupBy(*same).count().where(F.col("count") > fold_rows)
+        long = cut_lineage(sizes.select(*[F.col(n).alias("_c_" + n) for n in same]))
         matches = _same_keys(nodes, long, same)
-        chosen = _fold_sessions(nodes.join(long, matches, "left_anti"), keys, gap).unionByName(
-            _double_pointers(cut_lineage(nodes.join(long, matches, "left_semi")), keys, gap, group_rows)
-        )
-    # back from chosen positions to rows: by position within the key, then by the row's own order columns
-    picked = chosen.select(*[F.col(n).alias("_c_" + n) for n in [*keys, "_p"]])
-    rows = nodes.join(picked, _same_keys(nodes, picked, [*keys, "_p"]), "left_semi")
-    accepted = rows.select(*[F.col(n).alias("_c_" + n) for n in [*keys, *order]], F.col("_p").alias("_c_" + position), F.lit(True).alias("_ok"))
-    joined = df.join(accepted, _same_keys(df, accepted, list(dict.fromkeys([*keys, position, *order]))), "left")
-    return joined.select(*df.columns, F.coalesce("_ok", F.lit(False)).alias(name))
-
-
-def _fold_sessions(nodes: DataFrame, keys: list[str], gap: int) -> DataFrame:
-    grouped = nodes.groupBy(*keys, "_session").agg(F.array_sort(F.collect_list("_p")).alias("_ps"))
+        heads = long.select(*[F.col("_c_" + n).alias(n) for n in same], F.col("_c__session").alias("_p"))
+        chain = cut_lineage(nodes.join(long, matches, "left_semi").unionByName(heads))
+        chosen = _fold_sessions(nodes.join(long, matches, "left_anti"), same, gap).unionByName(_double_pointers(chain, same, gap, group_rows))
+    picked = chosen.select(*[F.col(k).alias("_c_" + k) for k in keys], F.col("_p").alias("_c_" + position))
+    rejected = others.join(picked, _same_keys(others, picked, [*keys, position]) & others["_first"], "left_anti")
+    row = list(dict.fromkeys([*keys, position, *order]))
+    rejected = rejected.select(*[F.col(n).alias("_c_" + n) for n in row], F.lit(True).alias("_rejected"))
+    return df.join(rejected, _same_keys(df, rejected, row), "left").select(*df.columns, F.col("_rejected").isNull().alias(name))
+
+
+def _fold_sessions(nodes: DataFrame, same: list[str], gap: int) -> DataFrame:
+    grouped = nodes.groupBy(*same).agg(F.array_sort(F.collect_list("_p")).alias("_ps"))
     picked = F.aggregate(
         "_ps",
-        F.slice("_ps", 1, 1),
+        F.array("_session"),
         lambda acc, p: F.when(p - F.element_at(acc, -1) >= gap, F.concat(acc, F.array(p))).otherwise(acc),
     )
-    return grouped.select(*keys, F.explode(picked).alias("_p"))
+    return grouped.select(*same, F.explode(F.slice(picked, 2, F.size("_ps"))).alias("_p"))
 
 
-def _double_pointers(nodes: DataFrame, keys: list[str], gap: int, group_rows: int | None) -> DataFrame:
-    same = [*keys, "_session"]
+def _double_pointers(nodes: DataFrame, same: list[str], gap: int, group_rows: int | None) -> DataFrame:
     probes = nodes.select(*same, "_p", (F.col("_p") + gap).alias("_at"), F.lit(1).alias("_kind"))
     targets = nodes.select(*same, F.col("_p").alias("_q"), F.col("_p").alias("_at"), F.lit(0).alias("_kind"))
     both = probes.unionByName(targets, allowMissingColumns=True)
     order = [F.col("_at").desc(), F.col("_kind"), F.col("_p").desc(), F.col("_q").desc()]
     runs = Runs(both, same, order, group_rows).before(_next=("last", F.col("_q")))
     jump = cut_lineage(runs.done().where("_kind = 1").select(*same, "_p", "_next"))
-    reached = cut_lineage(nodes.where("_head").select(*same, "_p"))
+    reached = cut_lineage(nodes.where("_p = _session").select(*same, "_p"))
     known = reached.count()
     while True:
         at = reached.select(*[F.col(n).alias("_c_" + n) for n in [*same, "_p"]])
@@ -239,7 +251,7 @@ def _double_pointers(nodes: DataFrame, keys: list[str], gap: int, group_rows: in
         reached = cut_lineage(reached.unionByName(ahead.select(*same, F.col("_next").alias("_p"))).distinct())
         total = reached.count()
         if total == known:
-            return reached.select(*keys, "_p")
+            return reached
         known = total
         then = jump.select(*[F.col(n).alias("_c_" + n) for n in same], F.col("_p").alias("_c__next"), F.col("_next").alias("_then"))
         jump = cut_lineage(jump.join(then, _same_keys(jump, then, [*same, "_next"])).select(*same, "_p", F.col("_then").alias("_next")))

@@ -29,6 +29,12 @@ def lookup(df: DataFrame, dim: DataFrame, key: Column, dim_key: str, columns: di
     return joined.select(*df.columns, *[F.col("_d_" + c).alias(out) for c, out in columns.items()])
 
 
+def used_only(df: DataFrame, names: list[str], dim: DataFrame, key: str) -> DataFrame:
+    """Rows of a large lookup table whose key occurs in the events at all: often few enough to broadcast."""
+    values = df.select(F.explode(F.array(*[field(df, n).cast("string") for n in names])).alias("_used")).where("_used is not null").distinct()
+    return dim.join(values, dim[key] == values["_used"], "left_semi")
+
+
 def enrich_asset(assets: DataFrame):
     """Six `asset_*` columns by source address if there is one, else by host name."""
     names = ["hostname", "owner", "department", "criticality", "environment", "tags"]
@@ -52,16 +58,19 @@ def enrich_identity(identities: DataFrame, names: tuple[str, ...] = ("user", "sr
     return apply
 
 
-def enrich_threat(threats: DataFrame, ttl: str = "1 hour", ts: str = "ts"):
+def enrich_threat(threats: DataFrame, ttl: str = "1 hour", ts: str = "ts", reduce: bool = False):
     """Threat columns for every address and hash field whose indicator is still valid at event time.
 
     The latest entry per indicator counts, until `ttl` after it was last seen. Of several
-    hash fields the later one wins.
+    hash fields the later one wins. With `reduce`, a feed too large to broadcast is first cut down to the
+    indicators that occur, by one pass over the indicator fields, instead of shuffling the events per field.
     """
     values = ["is_malicious", "reputation", "categories", "source", "last_seen"]
 
     def apply(df: DataFrame) -> DataFrame:
         latest = threats.groupBy("indicator").agg(F.max_by(F.struct(*values), "last_seen").alias("_v")).select("indicator", "_v.*")
+        if reduce:
+            latest = used_only(df, [n for n in (*IP_FIELDS, *HASH_FIELDS) if has_field(df, n)], latest, "indicator")
         result = df
         valid = F.col(ts).cast("timestamp") < F.col("_d_last_seen").cast("timestamp") + F.expr(f"INTERVAL {ttl}")
         for name in IP_FIELDS:

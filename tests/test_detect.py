@@ -137,5 +137,6 @@ def test_geo_and_threat(spark):
     assert out == {1: "AU", 2: "AU", 3: "CN", 4: None, 5: None, 6: None, 7: None}
     threats = spark.createDataFrame([("h1", True, 1, ["a"], at(0), "f"), ("h2", False, 2, ["b"], at(0), "f"), ("h1", False, 3, ["old"], at(-5000), "f")], "indicator string, is_malicious boolean, reputation int, categories array<string>, last_seen timestamp, source string")
     events = spark.createDataFrame([(1, at(10), "h1", "h2"), (2, at(10), "h1", None), (3, at(4000), "h1", "h2")], "id long, ts timestamp, md5 string, sha256 string")
-    out = {r.id: (r.file_threat_malicious, r.file_threat_categories) for r in events.transform(E.enrich_threat(threats)).collect()}
-    assert out == {1: (False, ["b"]), 2: (True, ["a"]), 3: (None, None)}
+    for reduce in (False, True):
+        out = {r.id: (r.file_threat_malicious, r.file_threat_categories) for r in events.transform(E.enrich_threat(threats, reduce=reduce)).collect()}
+        assert out == {1: (False, ["b"]), 2: (True, ["a"]), 3: (None, None)}
