@@ -61,12 +61,15 @@ def _same_keys(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
 class Runs:
     """Rows of `df` in order within `keys`; `before` adds aggregates of the preceding rows."""
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list, group_rows: int | None = None):
+    def __init__(self, df: DataFrame, keys: list[str], order: list, group_rows: int | None = None, known_small: bool = False):
+        """`known_small` skips the measurement where a coarser key was found small enough already."""
         self.keys = list(keys)
-        total, largest = group_sizes(df, self.keys)
-        usual = max(GROUP_ROWS, 4 * total // BUCKETS) if keys else SINGLE_ROWS
-        limit = usual if group_rows is None else group_rows
-        self.split = largest > limit
+        if known_small:
+            self.split = False
+        else:
+            total, largest = group_sizes(df, self.keys)
+            usual = max(GROUP_ROWS, 4 * total // BUCKETS) if keys else SINGLE_ROWS
+            self.split = largest > (usual if group_rows is None else group_rows)
         if self.split:
             order = [F.col(o) if isinstance(o, str) else o for o in order]
             key_cols = [F.col(k) for k in self.keys]
@@ -139,9 +142,11 @@ class Runs:
         return self.frame.drop("_run", "_pos")
 
 
-def ordinal(df: DataFrame, keys: list[str], order: list, name: str = "ordinal", group_rows: int | None = None) -> DataFrame:
+def ordinal(
+    df: DataFrame, keys: list[str], order: list, name: str = "ordinal", group_rows: int | None = None, known_small: bool = False
+) -> DataFrame:
     """Exact 1-based row number within `keys`."""
-    runs = Runs(df, keys, order, group_rows)
+    runs = Runs(df, keys, order, group_rows, known_small)
     if not runs.split:
         return df.withColumn(name, F.row_number().over(runs.window))
     return runs.before(**{name: ("count", F.lit(1))}).done().withColumn(name, F.col(name) + 1)

@@ -17,55 +17,82 @@ def with_entity(df: DataFrame, names=ENTITY_FIELDS) -> DataFrame:
     return df.withColumn("entity", first_text(df, list(names))).where("entity is not null and entity <> ''")
 
 
-def _narrow(df: DataFrame, names, **more: Column) -> DataFrame:
-    """Only what a check needs: wide rows should not go through ordered passes."""
+def _state(df: DataFrame, names, group_rows: int | None) -> DataFrame:
+    """What is known of the entity just before each event.
+
+    The pass per entity comes first: the finer keys (hour, process) are then already
+    co-located, so that all of it costs one shuffle, of only the columns the checks need.
+    """
     rows = with_entity(df, names)
-    return rows.select("event_id", "entity", "ts", field(rows, "source").cast("string").alias("source"), *[c.alias(n) for n, c in more.items()])
+    rows = rows.select(
+        "event_id",
+        "entity",
+        "ts",
+        field(rows, "source").cast("string").alias("source"),
+        field(rows, "src_ip").cast("string").alias("_ip"),
+        field(rows, "process_name").cast("string").alias("_proc"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("_at"),
+        F.hour("ts").alias("_hour"),
+    )
+    order = ["ts", "event_id"]
+    runs = Runs(rows, ["entity"], order, group_rows)
+    small = not runs.split
+    seen = runs.before(
+        _total=("count", F.lit(1)), _last_ip=("last", F.col("_ip")), _last_at=("last", F.col("_at")), _processes=("count", F.col("_proc"))
+    ).done()
+    seen = ordinal(seen, ["entity", "_hour"], order, "_nth_in_hour", group_rows, small)
+    seen = ordinal(seen, ["entity", "_proc"], order, "_nth_run", group_rows, small)
+    first_run = F.col("_proc").isNotNull() & (F.col("_nth_run") == 1)
+    known = Runs(seen, ["entity"], order, group_rows, small).before(_known=("sum", F.when(first_run, 1).otherwise(0)))
+    return known.done()
 
 
-def _anomalies(flagged: DataFrame, kind: str, severity, description) -> DataFrame:
-    as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return flagged.select(
-        "event_id", "entity", "ts", "source", F.lit(kind).alias("anomaly_type"), as_col(severity).alias("severity"), as_col(description).alias("description")
-    )
+def _found(kind: str, severity: Column, description: Column, test: Column) -> Column:
+    return F.when(test, F.struct(F.lit(kind).alias("anomaly_type"), severity.alias("severity"), description.alias("description")))
+
+
+def _after_hours() -> Column:
+    quiet = (F.col("_total") > 50) & (F.col("_nth_in_hour") - 1 < F.floor(F.col("_total") / 48))
+    return _found("AfterHoursActivity", F.lit("medium"), F.lit("Activity detected during atypical hours for this user."), quiet)
+
+
+def _travel(window: str) -> Column:
+    moved = (F.col("_last_ip") != F.col("_ip")) & (F.col("_at") - F.col("_last_at") < span_seconds(window) * 1_000_000)
+    return _found("ImpossibleTravel", F.lit("high"), F.lit("Rapid location change detected between disparate IP addresses."), moved)
+
+
+def _rare_process() -> Column:
+    runs = F.col("_nth_run") - 1
+    new = (runs == 0) & (F.col("_known") > 10)
+    rare = (runs > 0) & (F.col("_processes") > 100) & (runs < F.floor(F.col("_processes") / 100))
+    severity = F.when(new, F.lit("high")).otherwise(F.lit("medium"))
+    text = F.when(new, "Execution of a process never before seen on this entity.").otherwise("Execution of a process rarely seen on this entity.")
+    return _found("RareProcess", severity, text, F.col("_proc").isNotNull() & (new | rare))
+
+
+def _anomalies(state: DataFrame, *checks: Column) -> DataFrame:
+    found = F.filter(F.array(*checks), lambda a: a.isNotNull())
+    return state.select("event_id", "entity", "ts", "source", F.explode(found).alias("_a")).select("event_id", "entity", "ts", "source", "_a.*")
 
 
 def ueba_after_hours(df: DataFrame, entity=ENTITY_FIELDS, group_rows: int | None = None) -> DataFrame:
     """Events in an hour of day that holds under 1/48 of the entity's more than 50 earlier events."""
-    rows = _narrow(df, entity, _hour=F.hour("ts"))
-    rows = ordinal(rows, ["entity"], ["ts", "event_id"], "_total", group_rows)
-    rows = ordinal(rows, ["entity", "_hour"], ["ts", "event_id"], "_in_hour", group_rows)
-    quiet = (F.col("_total") - 1 > 50) & (F.col("_in_hour") - 1 < F.floor((F.col("_total") - 1) / 48))
-    return _anomalies(rows.where(quiet), "AfterHoursActivity", "medium", "Activity detected during atypical hours for this user.")
+    return _anomalies(_state(df, entity, group_rows), _after_hours())
 
 
 def ueba_impossible_travel(df: DataFrame, entity=ENTITY_FIELDS, window: str = "5m", group_rows: int | None = None) -> DataFrame:
     """Events whose address differs from the entity's last one, less than `window` after its last event."""
-    rows = _narrow(df, entity, _ip=field(df, "src_ip").cast("string"), _at=F.unix_micros(F.col("ts").cast("timestamp")))
-    runs = Runs(rows, ["entity"], ["ts", "event_id"], group_rows)
-    seen = runs.before(_last_ip=("last", F.col("_ip")), _last_at=("last", F.col("_at"))).done()
-    moved = (F.col("_last_ip") != F.col("_ip")) & (F.col("_at") - F.col("_last_at") < span_seconds(window) * 1_000_000)
-    return _anomalies(seen.where(moved), "ImpossibleTravel", "high", "Rapid location change detected between disparate IP addresses.")
+    return _anomalies(_state(df, entity, group_rows), _travel(window))
 
 
 def ueba_rare_process(df: DataFrame, entity=ENTITY_FIELDS, group_rows: int | None = None) -> DataFrame:
     """Processes under 1 % of more than 100 earlier process events, or new after more than 10 known ones."""
-    rows = _narrow(df, entity, _proc=field(df, "process_name").cast("string")).where("_proc is not null")
-    rows = ordinal(rows, ["entity", "_proc"], ["ts", "event_id"], "_nth", group_rows)
-    runs = Runs(rows, ["entity"], ["ts", "event_id"], group_rows)
-    seen = runs.before(_total=("count", F.lit(1)), _known=("sum", F.when(F.col("_nth") == 1, 1).otherwise(0))).done()
-    fresh = F.col("_nth") == 1
-    rare = ~fresh & (F.col("_total") > 100) & (F.col("_nth") - 1 < F.floor(F.col("_total") / 100))
-    new = fresh & (F.col("_known") > 10)
-    text = F.when(new, "Execution of a process never before seen on this entity.").otherwise("Execution of a process rarely seen on this entity.")
-    return _anomalies(seen.where(rare | new), "RareProcess", F.when(new, "high").otherwise("medium"), text)
+    return _anomalies(_state(df, entity, group_rows), _rare_process())
 
 
-def ueba_anomalies(df: DataFrame, entity=ENTITY_FIELDS, group_rows: int | None = None) -> DataFrame:
-    """All three behaviour checks as one anomaly table."""
-    checks = (ueba_after_hours, ueba_impossible_travel, ueba_rare_process)
-    parts = [check(df, entity, group_rows=group_rows) for check in checks]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+def ueba_anomalies(df: DataFrame, entity=ENTITY_FIELDS, window: str = "5m", group_rows: int | None = None) -> DataFrame:
+    """All three behaviour checks in one pass."""
+    return _anomalies(_state(df, entity, group_rows), _after_hours(), _travel(window), _rare_process())
 
 
 def ueba_profile(df: DataFrame, entity=ENTITY_FIELDS) -> DataFrame:

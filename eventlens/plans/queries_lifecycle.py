@@ -366,10 +366,18 @@ def _(spark, sf):
     return lines.transform(X.parse("kv", target="parsed")).select("event_id", "parsed")
 
 
+class Words:
+    """Table function: one record per blank-separated word of a text."""
+
+    def eval(self, text: str):
+        for position, word in enumerate((text or "").split(" "), 1):
+            yield position, word
+
+
 @query(
     "ext_parser_records",
     "SELECT conv_id, turn, CAST(i AS INTEGER) AS position, string_split(text, ' ')[i] AS word FROM (SELECT conv_id, turn, text, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i FROM conversations)",
 )
 def _(spark, sf):
-    X.register_record_parser("words", X.split_records_udtf())
+    X.register_record_parser("words", F.udtf(Words, returnType="position int, word string"))
     return table(spark, sf, "conversations").transform(X.parse_records("words", raw="text", keep=["conv_id", "turn"]))

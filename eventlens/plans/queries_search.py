@@ -12,6 +12,7 @@ from eventlens.operators import shape as P
 from eventlens.operators import stats as A
 from eventlens.plans.catalog import query
 from eventlens.plans.tables import SEC, sec_events, table, utc
+from eventlens.session import new_path
 
 W = f"WITH {SEC} "
 
@@ -46,8 +47,9 @@ def _(spark, sf):
 
 @query("search_tokens_lookup", f"WITH {TOKENS} SELECT doc_id FROM tok WHERE token IN ('thtion', 'attion') GROUP BY doc_id HAVING count(*) = 2")
 def _(spark, sf):
-    index = S.token_index(table(spark, sf, "documents"), "doc_id", "text")
-    return S.search_index(index, "thtion attion", "doc_id")
+    path = new_path(spark, "tokens")
+    S.write_token_index(S.token_index(table(spark, sf, "documents"), "doc_id", "text"), "doc_id", path)
+    return S.search_index(spark.read.parquet(path), "thtion attion", "doc_id")
 
 
 @query(

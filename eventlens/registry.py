@@ -49,21 +49,8 @@ def parse_records(name: str, raw: str = "value", keep: list[str] | None = None):
     """One row per record, joined laterally to the kept columns of its source row."""
 
     def apply(df: DataFrame) -> DataFrame:
-        columns = df.columns if keep is None else keep
-        records = RECORD_PARSERS[name](F.col(raw).outer())
-        return df.lateralJoin(records).select(*columns, *[c for c in ("position", "word")] if name == "words" else "*")
+        joined = df.lateralJoin(RECORD_PARSERS[name](F.col(raw).outer()))
+        added = [c for c in joined.columns if c not in df.columns]
+        return joined.select(*(df.columns if keep is None else keep), *added)
 
     return apply
-
-
-def split_records_udtf():
-    """Example table function: one record per blank-separated word, with its position."""
-    from pyspark.sql.functions import udtf
-
-    @udtf(returnType="position int, word string")
-    class Words:
-        def eval(self, text: str):
-            for position, word in enumerate((text or "").split(" "), 1):
-                yield position, word
-
-    return Words
