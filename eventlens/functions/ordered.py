@@ -14,8 +14,11 @@ The order given must be total within a key (end it with a unique id).
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -203,8 +206,8 @@ def greedy_spaced(
 
     A row whose predecessor lies `gap` or more back (a head) is always flagged, so the rows
     between two heads form independent sessions, named by the position of their head. Heads need no
-    further work. Sessions of up to `fold_rows` other positions are folded as an array; longer
-    ones are solved by pointer doubling, log2(length) joins.
+    further work. Sessions of up to `fold_rows` other positions are folded as an array; for longer
+    ones see `_long_sessions`.
     """
     narrow = df.select(*keys, position, *order)
     runs = Runs(narrow, keys, [position, *order], group_rows).before(_previous=("last", F.col(position)))
@@ -223,7 +226,7 @@ def greedy_spaced(
         matches = _same_keys(nodes, long, same)
         heads = long.select(*[F.col("_c_" + n).alias(n) for n in same], F.col("_c__session").alias("_p"))
         chain = cut_lineage(nodes.join(long, matches, "left_semi").unionByName(heads))
-        chosen = _fold_sessions(nodes.join(long, matches, "left_anti"), same, gap).unionByName(_double_pointers(chain, same, gap, group_rows))
+        chosen = _fold_sessions(nodes.join(long, matches, "left_anti"), same, gap).unionByName(_long_sessions(chain, same, gap, max(fold_rows, 2), group_rows))
     picked = chosen.select(*[F.col(k).alias("_c_" + k) for k in keys], F.col("_p").alias("_c_" + position))
     rejected = others.join(picked, _same_keys(others, picked, [*keys, position]) & others["_first"], "left_anti")
     row = list(dict.fromkeys([*keys, position, *order]))
@@ -241,14 +244,65 @@ def _fold_sessions(nodes: DataFrame, same: list[str], gap: int) -> DataFrame:
     return grouped.select(*same, F.explode(F.slice(picked, 2, F.size("_ps"))).alias("_p"))
 
 
-def _double_pointers(nodes: DataFrame, same: list[str], gap: int, group_rows: int | None) -> DataFrame:
-    probes = nodes.select(*same, "_p", (F.col("_p") + gap).alias("_at"), F.lit(1).alias("_kind"))
-    targets = nodes.select(*same, F.col("_p").alias("_q"), F.col("_p").alias("_at"), F.lit(0).alias("_kind"))
+def _long_sessions(nodes: DataFrame, same: list[str], gap: int, block: int, group_rows: int | None) -> DataFrame:
+    """Chosen positions of sessions too long for one array, the head of each included.
+
+    Sessions are cut into blocks of `block` positions. Whatever the position at which a chain enters
+    a block, only where it leaves matters to the next block, and entries that leave alike form
+    one class; few of them are in reach of the block before. Following the classes from the head
+    by pointer doubling tells where the chain enters every block it visits, and the blocks are
+    then walked side by side.
+    """
+    placed = ordinal(nodes, same, ["_p"], "_rn", group_rows)
+    placed = cut_lineage(placed.select(*same, "_p", F.floor((F.col("_rn") - 1) / block).alias("_block")))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.select(*same).schema.fields)
+
+    def classes(key, rows):
+        p = np.sort(rows["_p"].to_numpy())
+        follow, last = np.searchsorted(p, p + gap).tolist(), list(range(len(p)))
+        for i in range(len(p) - 1, -1, -1):
+            if follow[i] < len(p):
+                last[i] = last[follow[i]]
+        leave = p[last]
+        begin = np.flatnonzero(np.r_[True, leave[1:] != leave[:-1]])
+        end = np.r_[begin[1:], len(p)] - 1
+        # a chain that comes from an earlier block needs a position below this limit before its entry
+        reachable = (begin == 0) | (p[np.maximum(begin - 1, 0)] < p[0] + gap)
+        begin, end = begin[reachable], end[reachable]
+        named = {name: [value] * len(end) for name, value in zip(same, key)}
+        return pd.DataFrame({**named, "_p": p[end], "_at": leave[end] + gap, "_block": key[-1], "_start": (begin == 0) & (key[-1] == 0)})
+
+    found = placed.groupBy(*same, "_block").applyInPandas(classes, f"{kinds}, _p bigint, _at bigint, _block bigint, _start boolean")
+    found = cut_lineage(found)
+    # the class a chain goes on to: the first, by last entry position, that is not before the next allowed position
+    probes = found.select(*same, "_p", "_at", F.lit(1).alias("_kind"))
+    targets = found.select(*same, F.struct("_p", "_block").alias("_target"), F.col("_p").alias("_at"), F.lit(0).alias("_kind"))
     both = probes.unionByName(targets, allowMissingColumns=True)
-    order = [F.col("_at").desc(), F.col("_kind"), F.col("_p").desc(), F.col("_q").desc()]
-    runs = Runs(both, same, order, group_rows).before(_next=("last", F.col("_q")))
-    jump = cut_lineage(runs.done().where("_kind = 1").select(*same, "_p", "_next"))
-    reached = cut_lineage(nodes.where("_p = _session").select(*same, "_p"))
+    order = [F.col("_at").desc(), F.col("_kind"), F.coalesce(F.col("_p"), F.col("_target._p")).desc()]
+    runs = Runs(both, same, order, group_rows).before(_next=("last", F.col("_target")))
+    links = cut_lineage(runs.done().where("_kind = 1").select(*same, "_p", "_at", F.col("_next._p").alias("_next"), F.col("_next._block").alias("_block")))
+    reached = _follow(links.select(*same, "_p", "_next"), found.where("_start").select(*same, "_p"), same)
+    at = reached.select(*[F.col(n).alias("_c_" + n) for n in [*same, "_p"]])
+    entered = links.where("_next is not null").join(at, _same_keys(links, at, [*same, "_p"]), "left_semi").select(*same, "_block", "_at")
+    heads = found.where("_start").select(*same, "_block", F.col("_session").alias("_at"))
+    entries = entered.unionByName(heads).select(*[F.col(n).alias("_c_" + n) for n in [*same, "_block"]], F.col("_at").alias("_from"))
+
+    def walk(key, rows):
+        p, chosen = sorted(rows["_p"].tolist()), []
+        i = bisect_left(p, rows["_from"].iloc[0])
+        while i < len(p):
+            chosen.append(p[i])
+            i = bisect_left(p, p[i] + gap, i)
+        named = {name: [value] * len(chosen) for name, value in zip(same, key)}
+        return pd.DataFrame({**named, "_p": pd.Series(chosen, dtype="int64")})
+
+    visited = placed.join(entries, _same_keys(placed, entries, [*same, "_block"])).select(*same, "_block", "_p", "_from")
+    return visited.groupBy(*same, "_block").applyInPandas(walk, f"{kinds}, _p bigint")
+
+
+def _follow(jump: DataFrame, starts: DataFrame, same: list[str]) -> DataFrame:
+    """Everything reachable from `starts` along `_p` → `_next`, by pointer doubling: log2(length) rounds."""
+    reached = cut_lineage(starts)
     known = reached.count()
     while True:
         at = reached.select(*[F.col(n).alias("_c_" + n) for n in [*same, "_p"]])
