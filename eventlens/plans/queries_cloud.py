@@ -50,9 +50,9 @@ AWS_SQL = f"""SELECT 'e' || event_id AS id, 'aws' AS provider, {AWS_TYPE} AS eve
  'arn:' || (event_id % 50) AS resource_id, 'AWS::EC2' AS resource_type, '10.0.0.' || (event_id % 250) AS source_ip, 'us-east-1' AS region, CAST(user_id % 7 AS VARCHAR) AS account, event_type <> 'error' AS success,
  CASE WHEN event_type = 'error' THEN 'AccessDenied' END AS error_code, CASE WHEN event_type = 'error' THEN 'no' END AS error_message FROM events"""
 AZURE_SQL = f"""SELECT 'z' || event_id AS id, 'azure' AS provider, {AZURE_TYPE} AS event_type, {AZURE_NAME} AS event_name, {TS} AS ts, 'u' || user_id || '@example.com' AS actor_id, 'user' AS actor_type, 'u' || user_id || '@example.com' AS actor_name,
- '/vm/' || (event_id % 40) AS resource_id, 'vm' AS resource_type, NULL AS source_ip, NULL AS region, NULL AS account, event_type <> 'error' AND event_id % 9 <> 0 AS success, NULL AS error_code, NULL AS error_message FROM events"""
+ '/vm/' || (event_id % 40) AS resource_id, 'vm' AS resource_type, CAST(NULL AS VARCHAR) AS source_ip, CAST(NULL AS VARCHAR) AS region, CAST(NULL AS VARCHAR) AS account, event_type <> 'error' AND event_id % 9 <> 0 AS success, CAST(NULL AS VARCHAR) AS error_code, CAST(NULL AS VARCHAR) AS error_message FROM events"""
 GCP_SQL = f"""SELECT 'g' || event_id AS id, 'gcp' AS provider, {GCP_TYPE} AS event_type, {GCP_NAME} AS event_name, {TS} AS ts, 'u' || user_id || '@example.com' AS actor_id, 'user' AS actor_type, 'u' || user_id || '@example.com' AS actor_name,
- 'projects/' || (event_id % 30) AS resource_id, NULL AS resource_type, NULL AS source_ip, NULL AS region, NULL AS account, event_type <> 'error' AND event_id % 9 <> 0 AS success, CASE WHEN event_type = 'error' AND event_id % 9 <> 0 THEN '7' END AS error_code, NULL AS error_message FROM events"""
+ 'projects/' || (event_id % 30) AS resource_id, CAST(NULL AS VARCHAR) AS resource_type, CAST(NULL AS VARCHAR) AS source_ip, CAST(NULL AS VARCHAR) AS region, CAST(NULL AS VARCHAR) AS account, event_type <> 'error' AND event_id % 9 <> 0 AS success, CASE WHEN event_type = 'error' AND event_id % 9 <> 0 THEN '7' END AS error_code, CAST(NULL AS VARCHAR) AS error_message FROM events"""
 
 
 def shown(df):

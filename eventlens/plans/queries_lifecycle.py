@@ -169,8 +169,8 @@ SYSLOG = "concat(CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '<>' WHEN 2 THEN '
 
 @query(
     "src_syslog",
-    f"""SELECT {SYSLOG} AS message, CASE event_id % 4 WHEN 2 THEN 'x' WHEN 3 THEN CAST(event_id % 192 AS VARCHAR) END AS priority, coalesce(CASE event_id % 4 WHEN 3 THEN (event_id % 192) // 8 END, -1) AS facility,
-    coalesce(CASE event_id % 4 WHEN 3 THEN event_id % 192 % 8 END, -1) AS severity_code, event_id % 4 <> 3 AS bad_record FROM events""",
+    f"""SELECT {SYSLOG} AS message, CASE event_id % 4 WHEN 2 THEN 'x' WHEN 3 THEN CAST(event_id % 192 AS VARCHAR) END AS priority, CAST(coalesce(CASE event_id % 4 WHEN 3 THEN (event_id % 192) // 8 END, -1) AS INTEGER) AS facility,
+    CAST(coalesce(CASE event_id % 4 WHEN 3 THEN event_id % 192 % 8 END, -1) AS INTEGER) AS severity_code, event_id % 4 <> 3 AS bad_record FROM events""",
 )
 def _(spark, sf):
     e = R.from_syslog(raw(spark, sf, SYSLOG), received=F.lit(RECEIVED).cast("timestamp"))
