@@ -47,12 +47,20 @@ def blast_radius(starts: DataFrame, edges: DataFrame, assets: DataFrame | None =
 def graph_paths(pairs: DataFrame, edges: DataFrame, max_nodes: int) -> DataFrame:
     """Every simple path of at most `max_nodes` nodes for each (from_id, to_id).
 
-    A path may only grow into nodes from which the target is still within reach, so branches
-    that cannot arrive are dropped at once instead of being enumerated.
+    A node with one neighbour cannot lie inside a path, so such nodes are dropped first unless
+    they are ends. A path may then only grow into nodes from which its target is still within
+    reach: branches that cannot arrive are not enumerated. Reach is kept per distinct target, so
+    ask for many sources and few targets rather than the other way round.
     """
-    links = cut_lineage(undirected(edges))
+    both_ways = cut_lineage(undirected(edges))
+    ends = pairs.select(F.col("from_id").alias("_end")).union(pairs.select("to_id")).distinct()
+    degree = both_ways.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
+    leaves = cut_lineage(degree.where("_n = 1").join(ends, F.col("a") == F.col("_end"), "left_anti").select(F.col("a").alias("_leaf")))
+    inner = both_ways.join(leaves, F.col("a") == F.col("_leaf"), "left_anti")
+    links = cut_lineage(inner.join(leaves, F.col("b") == F.col("_leaf"), "left_anti"))
+    core = links.select(F.col("a").alias("from_id"), F.col("b").alias("to_id"))
     goals = pairs.select(F.col("to_id").alias("id")).distinct()
-    near = cut_lineage(graph_connected(goals, edges, max_nodes - 1).select(F.col("start_id").alias("goal"), F.col("id").alias("_id"), F.col("distance").alias("_left")))
+    near = cut_lineage(graph_connected(goals, core, max_nodes - 1).select(F.col("start_id").alias("goal"), F.col("id").alias("_id"), F.col("distance").alias("_left")))
     open_paths = pairs.distinct().select("from_id", "to_id", F.array("from_id").alias("path"))
     found = None
     for size in range(1, max_nodes + 1):

@@ -214,14 +214,14 @@ def _(spark, sf):
 
 @query(
     "graph_paths",
-    f"""WITH RECURSIVE {EDGES}, pairs AS (SELECT 'r' || (c_custkey % 5) AS f, 'c' || c_custkey AS t FROM customer),
-    p AS (SELECT f, t, [f] AS path FROM pairs UNION ALL SELECT f, t, list_append(path, b) FROM p JOIN links ON path[-1] = a WHERE path[-1] <> t AND len(path) < 4 AND NOT list_contains(path, b) AND (b = t OR b[1] IN ('n', 'r')))
+    f"""WITH RECURSIVE {EDGES}, pairs AS (SELECT 'r' || ((n_nationkey * 2) % 5) AS f, 'n' || n_nationkey AS t FROM nation),
+    p AS (SELECT f, t, [f] AS path FROM pairs UNION ALL SELECT f, t, list_append(path, b) FROM p JOIN links ON path[-1] = a WHERE path[-1] <> t AND len(path) < 5 AND NOT list_contains(path, b))
     SELECT f AS from_id, t AS to_id, array_to_string(path, '>') AS path FROM p WHERE path[-1] = t""",
 )
 def _(spark, sf):
-    slot = F.concat(F.lit("r"), (F.col("c_custkey") % 5).cast("string"))
-    pairs = table(spark, sf, "customer").select(slot.alias("from_id"), node("c", "c_custkey").alias("to_id"))
-    return G.graph_paths(pairs, edges(spark, sf), 4).withColumn("path", F.array_join("path", ">"))
+    slot = F.concat(F.lit("r"), ((F.col("n_nationkey") * 2) % 5).cast("string"))
+    pairs = table(spark, sf, "nation").select(slot.alias("from_id"), node("n", "n_nationkey").alias("to_id"))
+    return G.graph_paths(pairs, edges(spark, sf), 5).withColumn("path", F.array_join("path", ">"))
 
 
 NODES = """nodes AS (SELECT id, arg_max(type, ts) AS type, CASE arg_max(type, ts) WHEN 'system' THEN 'verified' ELSE 'reputable' END AS level, max(ts) AS last_seen FROM (SELECT source AS id, 'system' AS type, ts FROM sec UNION ALL SELECT user_name, 'user', ts FROM sec WHERE user_name IS NOT NULL) GROUP BY 1)"""
