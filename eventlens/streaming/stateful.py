@@ -7,7 +7,9 @@ set by the source's rate option (`maxOffsetsPerTrigger`, `maxFilesPerTrigger`).
 from __future__ import annotations
 
 import math
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,6 +21,9 @@ from eventlens.operators.rules import Rule, rule_column
 
 MICROS = 1_000_000
 
+# executors get the processors themselves and need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class Profile(StatefulProcessor):
     """Hours, addresses and processes seen per entity; emits the anomalies of each event, then learns it."""

@@ -99,3 +99,17 @@ def test_event_store_stream(spark, landed):
     out = new_path(spark, "store")
     O.stream_event_store(stream(spark, landed), out, new_path(spark, "c")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(out).count() == 750
+
+
+def test_processors_need_no_package_on_executors(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    for number, processor in enumerate((S.Profile(5), S.Risk(0.5, 3600), S.Reset(3, 60))):
+        path = tmp_path / f"p{number}"
+        path.write_bytes(cloudpickle.dumps(processor))
+        load = "import pickle, sys; print(type(pickle.load(open(sys.argv[1], 'rb'))).__name__)"
+        done = subprocess.run([sys.executable, "-c", load, str(path)], cwd=tmp_path, capture_output=True, text=True)
+        assert done.stdout.strip() == type(processor).__name__, done.stderr
