@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.llm.common import table
+from eventlens.llm.curriculum import plan_mix
 from eventlens.llm.simhash import simhash_groups
 
 QUERIES: dict = {}
@@ -20,3 +21,35 @@ def query(f):
 @query
 def op1_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan_mix(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken")
+
+
+ORACLES["op4_curriculum_mix"] = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h, text FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source
+), w AS (
+  SELECT *, [5.0, 2.0, 1.0][(rank % 3 + 1)::INT]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS top FROM s
+), l AS (
+  SELECT *, top / weight AS ratio,
+    (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(top) OVER (ORDER BY top / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER (ORDER BY top / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w
+), f AS (SELECT ratio AS fr, rank AS fk, level AS fl FROM l WHERE ratio > level ORDER BY ratio, rank LIMIT 1),
+t AS (
+  SELECT source, source_size, CASE WHEN fl IS NOT NULL AND (ratio > fr OR ratio = fr AND rank >= fk) THEN weight * fl ELSE top END AS target
+  FROM l LEFT JOIN f ON true
+), o AS (
+  SELECT d.doc_id, size, source_size, target,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  (size * ((start + size / 2.0::DOUBLE <= target)::INT + (start + source_size + size / 2.0::DOUBLE <= target)::INT))::BIGINT AS taken
+FROM o
+"""
