@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from eventlens.llm.common import table
 from eventlens.llm.curriculum import plan_mix
 from eventlens.llm.simhash import simhash_groups
+from eventlens.llm.weighted_sampling import edited_fingerprints
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +54,8 @@ SELECT doc_id, size, source_size, target,
   (size * ((start + size / 2.0::DOUBLE <= target)::INT + (start + source_size + size / 2.0::DOUBLE <= target)::INT))::BIGINT AS taken
 FROM o
 """
+
+
+@query
+def op9_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
