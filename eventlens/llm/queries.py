@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventlens.llm.adaptive_scan import nearest
 from eventlens.llm.common import table
 from eventlens.llm.curriculum import plan_mix
 from eventlens.llm.simhash import simhash_groups
@@ -59,3 +60,9 @@ FROM o
 @query
 def op9_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
