@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.llm.adaptive_scan import nearest
 from eventlens.llm.common import table
 from eventlens.llm.curriculum import plan_mix
+from eventlens.llm.pieces import digests, encoded
 from eventlens.llm.simhash import simhash_groups
 from eventlens.llm.weighted_sampling import edited_fingerprints
 
+#: Vocabulary files are parameters; a worker opens them by this path.
+PIECES, BYTES = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -66,3 +71,8 @@ def op9_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query
+def op7_piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(encoded(table(spark, sf_dir, "documents"), PIECES))
