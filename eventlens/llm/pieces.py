@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import string
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -26,7 +27,9 @@ from eventlens.llm.common import runs, text_buffer
 from eventlens.llm.worker import kept
 
 MARK = "▁"
-WORDS_KEPT = 200_000
+WORDS_KEPT = 250_000
+SHORT = 32
+NEVER = float("-inf")
 RUN_BYTES = 2 << 20
 NORMAL, USER, UNUSED, BYTE = 1, 4, 5, 6
 
@@ -64,13 +67,56 @@ class Vocabulary:
         if any(MARK in p.lstrip(MARK) for p in self.score):
             raise ValueError("a piece has a space mark after another character")
         joined = "".join(p for p in self.score if len(p) > 1)
-        alone = "".join(c for c in "\n\r\t" if c not in joined)
-        self.splitter = re.compile(f" *[^ {alone}]+| +|[{alone}]" if alone else " *[^ ]+| +")
+        alone = re.escape("".join(c for c in "\n\r\t" if c not in joined))
+        self.splitter = re.compile(f" *[^ {alone}]+| +" + f"|[{alone}]" * bool(alone))
+        self.beside = {a + b for p in self.score for a, b in zip(p.replace(MARK, " "), p[1:].replace(MARK, " "), strict=False)}
+        # words met lately; a full table becomes the one before
         self.known: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}
+
+    def looked_up(self, word: str) -> tuple[int, ...]:
+        """Ids of a word that the table lacks. Trailing punctuation that no piece has after the letter before it is cut off."""
+        found = self.before.get(word)
+        if found is None:
+            stem = word.rstrip(string.punctuation)
+            n = len(stem)
+            if 0 < n < len(word) and word[n - 1 : n + 1] not in self.beside:
+                known, tail = self.known, word[n:]
+                found = (known.get(stem) or self.looked_up(stem)) + (known.get(tail) or self.looked_up(tail))
+            else:
+                found = self.segment(word)
+        self.known[word] = found
+        return found
 
     def segment(self, word: str) -> tuple[int, ...]:
         """Ids of a word, its spaces given as spaces."""
-        symbols: list = list(word.replace(" ", MARK))
+        symbols = list(word.replace(" ", MARK))
+        symbols = self.merged(symbols) if len(symbols) <= SHORT else self.merged_by_heap(symbols)
+        out: list[int] = []
+        for s in symbols:
+            if (i := self.ids.get(s)) is not None:
+                out.append(i)
+            elif self.fallback:
+                out.extend([self.byte[x] for x in s.encode()])
+            elif out[-1:] != [self.unknown]:
+                out.append(self.unknown)
+        return tuple(out)
+
+    def merged(self, symbols: list[str]) -> list[str]:
+        """For short words the agenda is a list of the pairs' scores in the order of the text."""
+        score = self.score.get
+        agenda = [score(a + b, NEVER) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while agenda and (best := max(agenda)) != NEVER:
+            i = agenda.index(best)
+            symbols[i] += symbols.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = score(symbols[i] + symbols[i + 1], NEVER)
+            if i:
+                agenda[i - 1] = score(symbols[i - 1] + symbols[i], NEVER)
+        return symbols
+
+    def merged_by_heap(self, symbols: list) -> list[str]:
         n, score = len(symbols), self.score
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         agenda: list[tuple[float, int, int, str]] = []
@@ -91,27 +137,18 @@ class Vocabulary:
                 left[right[b]] = a
             propose(left[a], a)
             propose(a, right[a])
-        out: list[int] = []
-        for s in symbols:
-            if s is not None:
-                if (i := self.ids.get(s)) is not None:
-                    out.append(i)
-                elif self.fallback:
-                    out.extend(self.byte[x] for x in s.encode())
-                elif out[-1:] != [self.unknown]:
-                    out.append(self.unknown)
-        return tuple(out)
-
-    def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        words = self.splitter.findall((" " if self.prefix else "") + text.replace(MARK, " "))
-        known = self.known
-        for word in set(words).difference(known):
-            if len(known) >= WORDS_KEPT:
-                known = self.known = {w: known[w] for w in set(words) if w in known}
-            known[word] = self.segment(word)
-        return list(chain.from_iterable(map(known.__getitem__, words)))
+        return [s for s in symbols if s is not None]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text; words are looked up once for all of them."""
+        first = " " if self.prefix else ""
+        words = [self.splitter.findall(first + t.replace(MARK, " ")) if t else [] for t in texts]
+        if len(self.known) >= WORDS_KEPT:
+            self.known, self.before = {}, self.known
+        for word in set().union(*words).difference(self.known):
+            self.looked_up(word)
+        ids = self.known.__getitem__
+        return [list(chain.from_iterable(map(ids, w))) for w in words]
 
     def decode(self, ids: Iterable[int]) -> str:
         made = b"".join(map(self.output.__getitem__, ids))
@@ -143,17 +180,12 @@ def encoded(docs: DataFrame, model_file: str, keep: tuple[str, ...] = ("doc_id",
             data, offsets = text_buffer(batch.column(len(keep)))
             view = memoryview(data)
             for a, b in runs(offsets, RUN_BYTES):
-                ids, decoded = [], []
-                for i in range(a, b):
-                    text = str(view[offsets[i] : offsets[i + 1]], "utf-8", "replace")
-                    found = model.encode(text)
-                    back = model.decode(found)
-                    if i == a:
-                        model.check(text, found, back)
-                    ids.append(np.array(found, np.int32))
-                    decoded.append(back)
-                bounds = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids)))
+                run = [str(view[x:y], "utf-8", "replace") for x, y in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist(), strict=True)]
+                ids = model.encode(run)
+                decoded = [model.decode(x) for x in ids]
+                model.check(run[0], ids[0], decoded[0])
+                bounds = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, bounds[-1])))
                 rows = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], lists, pa.array(decoded, pa.string())], [*keep, "ids", "decoded"])
 
