@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from eventlens.llm.adaptive_scan import nearest
 from eventlens.llm.common import table
 from eventlens.llm.curriculum import plan_mix
+from eventlens.llm.language_codes import identified, learned
 from eventlens.llm.pieces import digests, encoded
 from eventlens.llm.simhash import simhash_groups
 from eventlens.llm.weighted_sampling import edited_fingerprints
@@ -76,3 +77,9 @@ def op10_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encoded(table(spark, sf_dir, "documents"), PIECES))
+
+
+@query
+def op2_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identified(docs, learned(docs))
