@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.llm.adaptive_scan import nearest
-from eventlens.llm.common import table
+from eventlens.llm.common import held_out, table
 from eventlens.llm.curriculum import plan_mix
 from eventlens.llm.language_codes import identified, learned
 from eventlens.llm.pieces import digests, encoded
+from eventlens.llm import quality_machine
 from eventlens.llm.simhash import simhash_groups
 from eventlens.llm.weighted_sampling import edited_fingerprints
 
@@ -83,3 +84,10 @@ def op7_piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identified(docs, learned(docs))
+
+
+@query
+def op3_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_machine.learned(docs, table(spark, sf_dir, "labels"))
+    return quality_machine.scored(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
