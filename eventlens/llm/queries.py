@@ -11,7 +11,7 @@ from eventlens.llm.common import held_out, table
 from eventlens.llm.curriculum import plan_mix
 from eventlens.llm.language_codes import identified, learned
 from eventlens.llm.pieces import digests, encoded
-from eventlens.llm import quality_machine
+from eventlens.llm import quality_machine, secret_forest
 from eventlens.llm.simhash import simhash_groups
 from eventlens.llm.weighted_sampling import edited_fingerprints
 
@@ -91,3 +91,16 @@ def op3_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_machine.learned(docs, table(spark, sf_dir, "labels"))
     return quality_machine.scored(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op6_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_candidates, n_secrets, their byte spans, and the hash of the text without them."""
+    docs = table(spark, sf_dir, "documents")
+    return secret_forest.scanned(docs, secret_forest.learned(docs)).select(
+        "doc_id",
+        "n_candidates",
+        F.size("secrets").cast("long").alias("n_secrets"),
+        F.array_join(F.transform("secrets", lambda s: F.concat_ws("-", s["start"], s["end"])), ",").alias("spans"),
+        F.sha2(F.coalesce("clean_text", F.lit("")).cast("binary"), 256).alias("clean_sha256"),
+    )
