@@ -1,2 +1,89 @@
-STAGES=[]; ORACLE_SQL=None
-def run(spark, sf_dir): raise NotImplementedError
+"""A training corpus from `documents`: judged, deduplicated, cleaned of secrets, mixed and encoded.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows of the stage before; what it decides takes effect.
+All but the last return the columns of `documents`, whatever further columns come along.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from eventlens.llm import quality_machine, secret_forest
+from eventlens.llm.common import stored, table
+from eventlens.llm.curriculum import mixed
+from eventlens.llm.pieces import encoded
+from eventlens.llm.queries import PIECES
+from eventlens.llm.simhash import simhash_groups
+
+#: A model has no SQL form.
+ORACLE_SQL = None
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """The row as one column beside what the operators read, so that no name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text", "n_chars")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    model = quality_machine.learned(docs, table(spark, sf_dir, "labels"))
+    return quality_machine.scored(_packed(docs), model, keep=("_row",)).where("predicted = 1").select("_row.*")
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the one with the smallest doc_id.
+
+    Rows that repeat id and text become one; of a group without ids, one row for each different text stays.
+    """
+    groups = simhash_groups(docs)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
+    order = Window.partitionBy("doc_id", "_tie").orderBy(F.lit(0))
+    rows = _packed(docs).withColumn("_tie", F.xxhash64("text"))
+    return rows.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1").select("_row.*")
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, its secrets replaced by `[SECRET]`; n_chars follows."""
+    made = secret_forest.scanned(_packed(docs), secret_forest.learned(docs), keep=("_row",))
+    changed = F.size("secrets") > 0
+    row = F.col("_row")
+    return made.select(
+        *[
+            F.when(changed, F.col("clean_text")).otherwise(row["text"]).alias(c)
+            if c == "text"
+            else F.when(changed, F.length("clean_text").cast(docs.schema[c].dataType)).otherwise(row[c]).alias(c)
+            if c == "n_chars"
+            else row[f"`{c}`" if "." in c else c].alias(c)
+            for c in docs.columns
+        ]
+    )
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy that the mix takes, in training order."""
+    return mixed(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, the number of tokens and the token ids of each text, in the order given."""
+    return encoded(docs, PIECES, keep=("doc_id", "source")).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("SimHash near-dedup", keep_one_of_each),
+    ("secret scans", hide_secrets),
+    ("mixing sources", mix_sources),
+    ("SentencePiece encoding", encode_pieces),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents table; each result is written and read back before the next stage."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs, f"stage{k}")
+    return docs

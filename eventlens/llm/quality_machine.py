@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventlens.llm.common import held_out, runs, text_buffer
 
@@ -200,5 +201,5 @@ def scored(docs: DataFrame, model: Machine, keep: tuple[str, ...] = ("doc_id",))
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
 
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "score double", "predicted int"])
+    fields = T.StructType([*kept.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_text"), F.col("n_chars").cast("double").alias("_stated")).mapInArrow(of_batches, fields)
