@@ -163,6 +163,14 @@ def grown(x: np.ndarray, y: np.ndarray, words: set[bytes], trees: int = 40, dept
     return Forest(out, words)
 
 
+def lowest(docs: DataFrame, n: int, which=None) -> DataFrame:
+    """`text` of the `n` different texts with the lowest hashes; only hashes are sorted, and at most `n` are broadcast."""
+    rows = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL").withColumn("h", F.xxhash64("text"))
+    rows = rows if which is None else rows.where(which)
+    hashes = rows.select("h").distinct().orderBy("h").limit(n)
+    return rows.join(F.broadcast(hashes), "h").dropDuplicates(["h"])
+
+
 def labelled_findings(docs: DataFrame, sample: int = SAMPLE, findings: int = FINDINGS) -> DataFrame:
     """Findings with value, before, after and label from at most 2 * `sample` documents.
 
@@ -170,9 +178,7 @@ def labelled_findings(docs: DataFrame, sample: int = SAMPLE, findings: int = FIN
     secret, if it has letters and digits mixed; every other candidate is a false positive. Half of the documents
     have such a name, the others are any; the lowest hashes come first.
     """
-    rows = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL").withColumn("h", F.xxhash64("text"))
-    named = rows.where(F.col("text").rlike(HINT))
-    chosen = named.orderBy("h").limit(sample).unionByName(rows.orderBy("h").limit(sample))
+    chosen = lowest(docs, sample, F.col("text").rlike(HINT)).unionByName(lowest(docs, sample))
 
     def of_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +198,7 @@ def labelled_findings(docs: DataFrame, sample: int = SAMPLE, findings: int = FIN
 
 def dictionary(docs: DataFrame, sample: int = SAMPLE, least: int = 3) -> set[bytes]:
     """Pairs and triples of letters in the lower-cased words of at most `sample` documents; at most 26**2 + 26**3."""
-    words = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL").orderBy(F.xxhash64("text")).limit(sample)
+    words = lowest(docs, sample)
     grams = (
         words.select(F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("w"))
         .where("length(w) >= 3")
