@@ -27,7 +27,7 @@ from eventlens.llm.common import runs, text_buffer
 from eventlens.llm.worker import kept
 
 MARK = "▁"
-WORDS_KEPT = 250_000
+WORDS_KEPT = 160_000
 SHORT = 32
 NEVER = float("-inf")
 RUN_BYTES = 2 << 20
