@@ -13,6 +13,7 @@ from eventlens.llm.language_codes import identified, learned
 from eventlens.llm.pieces import digests, encoded
 from eventlens.llm import quality_machine, secret_forest
 from eventlens.llm.simhash import simhash_groups
+from eventlens.llm.suffix_dedup import removed
 from eventlens.llm.weighted_sampling import edited_fingerprints
 
 #: Vocabulary files are parameters; a worker opens them by this path.
@@ -104,3 +105,8 @@ def op6_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.transform("secrets", lambda s: F.concat_ws("-", s["start"], s["end"])), ",").alias("spans"),
         F.sha2(F.coalesce("clean_text", F.lit("")).cast("binary"), 256).alias("clean_sha256"),
     )
+
+
+@query
+def op5_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
