@@ -14,6 +14,7 @@ from eventlens.llm.pieces import digests, encoded
 from eventlens.llm import quality_machine, secret_forest
 from eventlens.llm.simhash import simhash_groups
 from eventlens.llm.suffix_dedup import removed
+from eventlens.llm.token_files import round_trip
 from eventlens.llm.weighted_sampling import edited_fingerprints
 
 #: Vocabulary files are parameters; a worker opens them by this path.
@@ -110,3 +111,8 @@ def op6_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op8_huffman_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), BYTES).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
