@@ -10,9 +10,12 @@ Spark writes and commits both as Parquet, so that a lost executor leaves no half
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ LONGEST = 16
 STEP = 256
 BLOCK_IDS = 1 << 18
 RUN_BYTES = 4 << 20
-WORDS_KEPT = 150_000
+WORDS_KEPT = 400_000
 WORDS = re.compile(r"\s+(?!\S)| ?\S+|\s")
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -54,41 +57,72 @@ class Tokenizer:
         self.by_word = cutter.get("type") == "ByteLevel" and cutter.get("use_regex") and not cutter.get("add_prefix_space") and spec["normalizer"] is None and not spec["model"].get("ignore_merges")
         special = [re.escape(t["content"]) for t in spec["added_tokens"]]
         self.odd = re.compile("|".join(["[\x1c-\x1f\x85᠎]", *special]))
-        self.known: dict[str, list[int]] = {}
-        self.before: dict[str, list[int]] = {}
+        self.known, self.before = Words(), Words()
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [t if self.by_word and not self.odd.search(t) else "" for t in texts]
-        words = [WORDS.findall(t) for t in plain]
-        if len(self.known) >= WORDS_KEPT:
-            self.known, self.before = {}, self.known
+    def learn(self, words: set[str]) -> None:
+        """Enter words that the table lacks. Trailing punctuation is a token of its own and is asked for apart."""
         known, before = self.known, self.before
         missing, cut = set(), {}
-        for w in set().union(*words).difference(known):
-            if (found := before.get(w)) is not None:
-                known[w] = found
+        for w in words:
+            if w in before.at:
+                known.put(w, before.ids(w))
                 continue
             stem = w.rstrip(PUNCTUATION)
-            if stem.strip() and len(stem) < len(w):
+            if len(stem) < len(w) and stem.strip():
                 cut[w] = stem, w[len(stem) :]
-                missing.update(p for p in cut[w] if p not in known)
+                missing.update(cut[w])
             else:
                 missing.add(w)
-        new = sorted(missing)
-        known.update(zip(new, self.whole(new), strict=True))
-        known.update((w, known[a] + known[b]) for w, (a, b) in cut.items())
+        missing = sorted(missing.difference(known.at))
+        for w, ids in zip(missing, self.whole(missing), strict=True):
+            known.put(w, ids)
+        for w, (a, b) in cut.items():
+            known.put(w, known.ids(a) + known.ids(b))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        plain = [t if self.by_word and not self.odd.search(t) else "" for t in texts]
+        words = [WORDS.findall(t) for t in plain]
+        if len(self.known.at) >= WORDS_KEPT:
+            self.known, self.before = Words(), self.known
+        gc.disable()  # nothing below makes cycles, and the many small lists would set off pass after pass
+        self.learn(set().union(*words).difference(self.known.at))
+        gc.enable()
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        number = np.fromiter(map(self.known.at.__getitem__, chain.from_iterable(words)), np.int64, counts.sum())
+        bounds, pool = np.frombuffer(self.known.bounds, np.int64), np.frombuffer(self.known.pool, np.uint32)
+        size = bounds[number + 1] - bounds[number]
+        ends = np.cumsum(size)
+        ids = pool[np.repeat(bounds[number] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        out = np.split(ids, np.concatenate(([0], ends))[np.cumsum(counts)[:-1]])
         rest = [i for i, (t, p) in enumerate(zip(texts, plain, strict=True)) if t and not p]
-        out = [np.array([i for w in ws for i in known[w]], np.uint32) for ws in words]
-        for i, ids in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
-            out[i] = np.array(ids, np.uint32)
+        for i, found in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
+            out[i] = np.array(found, np.uint32)
         if texts and out[0].tolist() != self.whole(texts[:1])[0]:
             raise ValueError("ids differ from the library's")
         return out
 
 
+class Words:
+    """The ids of words, one word after another in one array."""
+
+    def __init__(self):
+        self.at: dict[str, int] = {}
+        self.bounds, self.pool = array("q", [0]), array("I")
+
+    def put(self, word: str, ids) -> None:
+        if word not in self.at:
+            self.at[word] = len(self.at)
+            self.pool.extend(ids)
+            self.bounds.append(len(self.pool))
+
+    def ids(self, word: str) -> array:
+        k = self.at[word]
+        return self.pool[self.bounds[k] : self.bounds[k + 1]]
+
+
 def tokens(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
     """Rows of kind 0: doc_id, n ids, compressed ids of every text and `end_id`; of kind 1: a task's count of each id."""
 
