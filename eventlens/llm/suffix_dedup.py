@@ -31,7 +31,7 @@ from eventlens.llm.common import runs, stored, text_buffer
 LENGTH = 50
 PIECE = 26
 SPAN = LENGTH - PIECE + 1
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 BUCKET_BYTES = 4 << 20
 RUN_BYTES = 1 << 20
 BLOCK_BYTES = 4 << 20
@@ -64,6 +64,11 @@ def packed(docs: DataFrame, shards: int) -> DataFrame:
 SENT = "shard int, kind int, a binary, b binary, c binary"
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, modulo 2**64."""
+    return np.cumprod(np.full(n, BASE, np.uint64), dtype=np.uint64), np.cumprod(np.full(n, INVERSE, np.uint64), dtype=np.uint64)
+
+
 class Shard:
     """The documents of one shard, ordered by id, then text."""
 
@@ -82,15 +87,16 @@ class Shard:
 
     def segments(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(name, row, first string's place in `data`, number of strings) of every segment, and contents' hashes."""
-        out = []
+        out, power, back = [], *powers(0)
         for a, b in runs(self.offsets, RUN_BYTES):
             base, end = int(self.offsets[a]), int(self.offsets[b])
             x = self.data[base:end]
             if len(x) < LENGTH:
                 continue
-            power = np.cumprod(np.full(len(x), BASE, np.uint64), dtype=np.uint64)
-            back = np.cumprod(np.full(len(x), INVERSE, np.uint64), dtype=np.uint64)
-            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((x.astype(np.uint64) + np.uint64(1)) * power, dtype=np.uint64)))
+            if len(x) > len(power):
+                power, back = powers(max(len(x), RUN_BYTES))
+            total = np.zeros(len(x) + 1, np.uint64)
+            np.cumsum((x.astype(np.uint64) + np.uint64(1)) * power[: len(x)], out=total[1:])
             h = (total[PIECE:] - total[:-PIECE]) * back[: len(x) - PIECE + 1]
             h = (h ^ (h >> np.uint64(32))) * MIX
             h ^= h >> np.uint64(29)
@@ -100,13 +106,22 @@ class Shard:
                 reach *= 2
             rest = SPAN - reach
             name = np.minimum(h[: len(h) - rest], h[rest:]) if rest else h
-            row = np.searchsorted(self.offsets, np.arange(base, base + len(name)), side="right") - 1
-            whole = np.arange(base, base + len(name)) + LENGTH <= self.offsets[row + 1]
-            first = np.nonzero(whole & np.concatenate(([True], (name[1:] != name[:-1]) | (row[1:] != row[:-1]) | ~whole[:-1])))[0]
-            stop = np.nonzero(whole & np.concatenate(((name[1:] != name[:-1]) | (row[1:] != row[:-1]) | ~whole[1:], [True])))[0] + 1
+            # least hashes are small numbers; mixed again, they spread over the buckets
+            name = (name ^ (name >> np.uint64(32))) * MIX
+            name = (name ^ (name >> np.uint64(29))) * BASE
+            edge = np.ones(len(name) + 1, bool)
+            np.not_equal(name[1:], name[:-1], out=edge[1:-1])
+            ends = self.offsets[a + 1 : b + 1] - base
+            edge[ends[ends < len(name)]] = True
+            whole = np.ones(len(name), bool)
+            for e in ends.tolist():  # no string begins in the last bytes of a document
+                whole[max(0, e - LENGTH + 1) : e] = False
+            edge[1:-1] |= whole[1:] != whole[:-1]
+            first, stop = np.nonzero(edge[:-1] & whole)[0], np.nonzero(edge[1:] & whole)[0] + 1
+            row = np.searchsorted(self.offsets, first + base, side="right") - 1
             n = stop - first
             text = (total[stop + LENGTH - 1] - total[first]) * back[first]
-            out.append((name[first], row[first], first + base, n, (text ^ (text >> np.uint64(32))) * MIX))
+            out.append((name[first], row, first + base, n, (text ^ (text >> np.uint64(32))) * MIX))
         return tuple(np.concatenate([o[k] for o in out]) if out else np.zeros(0, t) for k, t in enumerate((np.uint64, np.int64, np.int64, np.int64, np.uint64)))
 
     def strings(self, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -294,14 +309,16 @@ def removed(docs: DataFrame) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
     bits = max(0, int(-(-total // BUCKET_BYTES)) - 1).bit_length()
-    parts = docs.sparkSession.sparkContext.defaultParallelism
-    wide, many = int(min(shards, max(parts * 4, shards // 4))), int(min(1 << bits, max(parts * 4, (1 << bits) // 4)))
+    wide, many = int(shards), max(1, (1 << bits) // 2)
 
     def names(shard: int, rows: list[tuple]) -> list[tuple]:
         own = Shard([r[2:5] for r in rows])
         name, row = own.segments()[:2]
-        pairs = np.unique(np.stack((name, own.ids[row].view(np.uint64))), axis=1) if len(name) else np.zeros((2, 0), np.uint64)
-        values, count = np.unique(pairs[0], return_counts=True)
+        order = np.argsort(name, kind="stable")  # ids rise along a name
+        name, ids = name[order], own.ids[row[order]]
+        new = np.concatenate(([True], name[1:] != name[:-1]))[: len(name)]
+        fresh = new | np.concatenate(([True], ids[1:] != ids[:-1]))[: len(name)]
+        values, count = name[new], np.diff(np.append(np.cumsum(fresh)[new] - 1, fresh.sum()))
         _, cut = by_bucket(values, bits)
         out = []
         for b in range(1 << bits):
