@@ -67,9 +67,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
 def plan_mix(
     docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, schedules: Sequence[Schedule] = SCHEDULES, keep: Sequence[str] | None = None
 ) -> DataFrame:
-    """The rows of `docs` with `_mix`: size, source_size, target, taken and the `positions` of each copy.
-
-    Only the columns in `keep` (all, if None) are carried along.
+    """`_row`, the columns of `docs` in `keep` (all, if None), and `_mix`: size, source_size, target, taken, and the `positions` of each copy.
 
     The order within a source is that of md5(doc_id), then doc_id, then the text's hash. A copy is
     taken if half of it or more lies below the target, so what a source gives misses its target by half a
@@ -117,12 +115,13 @@ def plan_mix(
         copies.append(F.when(taken, at))
     placed = placed.withColumn("_positions", F.filter(F.array(*copies), lambda x: x.isNotNull()))
     return placed.select(
-        "_d.*",
+        F.col("_d").alias("_row"),
         F.struct(F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.size("_positions")).alias("taken"), F.col("_positions").alias("positions")).alias("_mix"),
     )
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The training set in training order: the columns of `docs`, a row for each copy taken."""
-    rows = plan_mix(docs, **options).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode("_mix.positions").alias("_position"))
-    return rows.repartitionByRange("_position", F.xxhash64("doc_id")).sortWithinPartitions("_position", F.xxhash64("doc_id")).drop("_position")
+    rows = plan_mix(docs, **options).select("_row", F.explode("_mix.positions").alias("_position"))
+    order = F.col("_position"), F.xxhash64("_row.doc_id")
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("_row.*")

@@ -36,7 +36,7 @@ def op1_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan_mix(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken")
+    return plan_mix(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("_row.doc_id", "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken")
 
 
 ORACLES["op4_curriculum_mix"] = r"""
