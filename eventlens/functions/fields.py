@@ -42,6 +42,11 @@ def has_field(df: DataFrame, name: str) -> bool:
     return not isinstance(kind, T.StructType) or name in kind.fieldNames()
 
 
+def whole_number(df: DataFrame, name: str) -> bool:
+    """Whether `name` is a column of an integral type, which compares with an integer exactly."""
+    return name in df.columns and isinstance(df.schema[name].dataType, T.IntegralType)
+
+
 def number(col: Column) -> Column:
     """Double value of numbers and numeric text, NULL for everything else."""
     return col.try_cast("double")

@@ -185,7 +185,7 @@ def rolling_anomaly(
     and `by=()` (one baseline per metric) stays parallel too. Sums come from running sums
     around the block mean, constant work per row whatever the window length.
     """
-    keys = ["metric", *by]
+    keys, block = ["metric", *by], max(block, window)  # a block must reach the one before with its whole window
     rows = ordinal(metric_rows(df, by, metrics), keys, ["ts", "event_id"], "_rn", group_rows)
     home = F.floor((F.col("_rn") - 1) / block)
     tail = (F.col("_rn") - 1) % block >= block - window

@@ -50,10 +50,13 @@ def rule_matches(df: DataFrame, rules: Iterable[Rule], ts: str = "ts", event_id:
 
 
 def window_starts(ts: Column, span: Column, slides: int) -> Column:
-    """Epoch seconds of the `slides` windows of length `span` that hold `ts`."""
+    """Epoch seconds of the windows of length `span` that hold `ts`; one begins every `span` / `slides` seconds, rounded down.
+
+    There are `slides` of them, or more where the span doesn't divide evenly.
+    """
     slide = F.greatest(F.lit(1), (span / slides).cast("long"))
     last = F.floor(F.unix_seconds(ts) / slide) * slide
-    starts = F.transform(F.sequence(F.lit(0), F.lit(slides - 1)), lambda i: last - i * slide)
+    starts = F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(span / slide).cast("long") - 1), lambda i: last - i * slide)
     return F.filter(starts, lambda s: F.unix_seconds(ts) < s + span)
 
 

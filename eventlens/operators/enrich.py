@@ -48,11 +48,11 @@ def enrich_user(users: DataFrame, names: tuple[str, ...] = USER_FIELDS):
 
 
 def enrich_identity(identities: DataFrame, names: tuple[str, ...] = ("user", "src_ip")):
-    """Owner of the account or address, matched without regard to case."""
+    """Owner of the account or address, matched without regard to case; of keys that differ in case only the least counts."""
     added = {"primary_user": "owner_user", "department": "owner_department", "uid": "owner_uid"}
 
     def apply(df: DataFrame) -> DataFrame:
-        dim = identities.withColumn("_lower", F.lower("key"))
+        dim = identities.groupBy(F.lower("key").alias("_lower")).agg(F.min_by(F.struct(*identities.columns), "key").alias("_i")).select("_lower", "_i.*")
         return lookup(df, dim, F.lower(first_text(df, list(names))), "_lower", added)
 
     return apply
@@ -144,8 +144,8 @@ def resolve_identity_asof(events: DataFrame, mappings: DataFrame, identifier: st
 
 
 def indicator_values(indicators: DataFrame) -> DataFrame:
-    """Indicators with the quoted value of their pattern; of equal values the lowest id stays."""
-    valued = indicators.withColumn("value", F.nullif(F.regexp_extract("pattern", "= '([^']+)'", 1), F.lit("")))
+    """Indicators with each quoted value of their pattern; of equal values the lowest id stays."""
+    valued = indicators.withColumn("value", F.explode(F.regexp_extract_all("pattern", F.lit("= '([^']+)'"), F.lit(1))))
     columns = [c for c in indicators.columns]
     first = valued.where("value is not null").groupBy("value").agg(F.min_by(F.struct(*columns), "id").alias("_i"))
     return first.select("value", "_i.*")

@@ -55,7 +55,8 @@ def expire_events(as_of: str, days: int, audit_days: int | None = None, is_audit
         limit = lambda d: at >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(days=F.lit(d))
         if is_audit is None or audit_days is None:
             return df.where(limit(days))
-        return df.where(F.when(is_audit, limit(audit_days)).otherwise(limit(days)))
+        audit = F.coalesce(is_audit, F.lit(False))
+        return df.where(limit(max(days, audit_days)) & ((audit & limit(audit_days)) | (~audit & limit(days))))
 
     return apply
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field as member
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlens.functions.fields import field, has_field, number, text
+from eventlens.functions.fields import field, has_field, number, text, whole_number
 
 
 @dataclass(frozen=True)
@@ -39,31 +39,40 @@ ALIASES = {"equals": "eq", "not_equals": "ne", "neq": "ne", "==": "eq", "=": "eq
 
 
 def condition_column(df: DataFrame, condition: Condition) -> Column:
-    """The condition as a predicate; a missing field never matches."""
+    """The condition as a predicate that is never NULL; a missing field never matches."""
+    return F.coalesce(raw_condition(df, condition), F.lit(False))
+
+
+def raw_condition(df: DataFrame, condition: Condition) -> Column:
+    """The condition as it reaches a scan: NULL where a value is missing."""
     if not has_field(df, condition.field):
         return F.lit(False)
+    whole = whole_number(df, condition.field)
     col, value = field(df, condition.field), condition.value
     op = ALIASES.get(condition.operator, condition.operator)
     if op in ("eq", "ne"):
-        same = _equal(col, value)
+        same = _equal(col, value, whole)
         test = same if op == "eq" else ~same
     elif op in ("gt", "lt", "gte", "lte"):
-        left, right = number(col), F.lit(float(value))
+        exact = whole and isinstance(value, int)
+        left, right = (col, F.lit(value)) if exact else (number(col), F.lit(float(value)))
         test = {"gt": left > right, "lt": left < right, "gte": left >= right, "lte": left <= right}[op]
     elif op == "contains":
         test = text(col).contains(str(value))
     elif op == "in":
-        test = reduce(lambda a, b: a | b, [_equal(col, v) for v in value])
+        test = reduce(lambda a, b: a | b, [_equal(col, v, whole) for v in value])
     elif op == "regex":
         test = text(col).rlike(str(value))
     else:
         raise ValueError(f"unknown operator {condition.operator!r}")
-    return F.coalesce(test, F.lit(False))
+    return test
 
 
-def _equal(col: Column, value) -> Column:
+def _equal(col: Column, value, whole: bool = False) -> Column:
     if isinstance(value, bool):
         return col.try_cast("boolean") == F.lit(value)
+    if whole and isinstance(value, int):
+        return col == F.lit(value)
     if isinstance(value, (int, float)):
         return number(col) == F.lit(float(value))
     return text(col) == F.lit(str(value))
@@ -89,12 +98,18 @@ def matched(df: DataFrame, rules: Iterable[Rule]) -> Column:
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
+def any_rule(df: DataFrame, rules: Iterable[Rule]) -> Column:
+    """Whether some rule matches, on raw predicates that reach the scan."""
+    each = [reduce(and_, [raw_condition(df, c) for c in r.conditions]) for r in rules if r.enabled and r.conditions]
+    return reduce(or_, each) if each else F.lit(False)
+
+
 def detect_rules(rules: Iterable[Rule]):
     """One output row per event and matching rule. Stateless: works on streams as well."""
     rules = list(rules)
 
     def apply(df: DataFrame) -> DataFrame:
-        return df.withColumn("_hit", F.explode(matched(df, rules))).select(*df.columns, "_hit.*")
+        return df.where(any_rule(df, rules)).withColumn("_hit", F.explode(matched(df, rules))).select(*df.columns, "_hit.*")
 
     return apply
 

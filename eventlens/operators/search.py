@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventlens.functions.fields import field, first_text, number, text
+from eventlens.functions.fields import field, first_text, number, text, whole_number
 
 # Words that full-text search ignores.
 STOP_WORDS = (
@@ -105,14 +105,14 @@ def compare(df: DataFrame, name: str, op: str, value, lexical: bool = False, nul
     """One comparison. `value` may be a literal or a `FieldRef`.
 
     Values compare by type: numeric text compares as a number when the literal is a
-    number. `lexical=True` compares text renderings instead. With `null_neq`, `!=` holds
+    number; integers compare with integral columns exactly, on the raw column. `lexical=True` compares text renderings instead. With `null_neq`, `!=` holds
     when either side is missing; every other operator then fails.
     """
     left = field(df, name)
     right = field(df, value.name) if isinstance(value, FieldRef) else F.lit(value)
     if lexical:
         left, right = text(left), text(right)
-    elif isinstance(value, (int, float)) and not isinstance(value, bool):
+    elif isinstance(value, (int, float)) and not isinstance(value, bool) and not (isinstance(value, int) and whole_number(df, name)):
         left = number(left)
     if op == "!=" and null_neq:
         return (left != right) | left.isNull() | right.isNull()
@@ -134,8 +134,9 @@ def where_bool(*predicates, any_of: bool = False, negate: bool = False):
 
     def apply(df: DataFrame) -> DataFrame:
         parts = [p(df) if callable(p) else compare(df, *p) for p in predicates]
-        whole = reduce(or_ if any_of else and_, [F.coalesce(p, F.lit(False)) for p in parts])
-        return df.where(~whole if negate else whole)
+        if not negate:  # a filter drops NULL by itself, and raw predicates reach the scan
+            return df.where(reduce(or_ if any_of else and_, parts))
+        return df.where(~reduce(or_ if any_of else and_, [F.coalesce(p, F.lit(False)) for p in parts]))
 
     return apply
 

@@ -56,20 +56,6 @@ def stats_global(*aggs):
     return lambda df: df.agg(*aggregate_columns(df, aggs))
 
 
-def stats_max_groups(*by: str, aggs, limit: int = 50_000, ts: str = "ts"):
-    """Grouped aggregates over at most `limit` groups: those that appear first (ties by key).
-
-    The earliest time is aggregated together with the rest, so the cut is a top-k over
-    one row per group and needs no second pass.
-    """
-
-    def apply(df: DataFrame) -> DataFrame:
-        grouped = df.groupBy(*[group_key(df, b) for b in by]).agg(F.min(field(df, ts)).alias("_first"), *aggregate_columns(df, aggs))
-        return grouped.orderBy("_first", *by).limit(limit).drop("_first")
-
-    return apply
-
-
 def stats_values(source: str, *by: str):
     """Distinct values per group, one row each with its multiplicity.
 

@@ -52,8 +52,8 @@ def tenant_storage_quota(
             fits = cut_lineage(summed.withColumn("_fits", F.col("_sum") + F.col("_b") <= F.col("_room")))
             accepted = fits.where("_fits").select("_id")
             taken = accepted if taken is None else taken.union(accepted)
-            used = fits.groupBy("_t").agg(F.coalesce(F.sum(F.when(F.col("_fits"), F.col("_b"))), F.lit(0)).alias("_used"))
-            rest = fits.where("not _fits").select("_id", "_t", "_ts", "_b", "_room").join(used, "_t")
+            used = fits.groupBy("_t").agg(F.coalesce(F.sum(F.when(F.col("_fits"), F.col("_b"))), F.lit(0)).alias("_used")).withColumnRenamed("_t", "_u")
+            rest = fits.where("not _fits").select("_id", "_t", "_ts", "_b", "_room").join(used, F.col("_t").eqNullSafe(F.col("_u"))).drop("_u")
             rest = rest.withColumn("_room", F.col("_room") - F.col("_used")).drop("_used")
             open_rows = cut_lineage(rest.where("_b <= _room"))
         queued = open_rows.groupBy("_t").agg(F.first("_room").alias("_room"), F.array_sort(F.collect_list(F.struct("_ts", "_id", "_b"))).alias("_q"))
@@ -89,22 +89,4 @@ def event_priority(df: DataFrame, target: str = "priority") -> DataFrame:
 def sample_events(probability: float | Column, key: str = "event_id"):
     """Keep events with a given probability, decided by a hash of the key so that reruns agree."""
     p = probability if isinstance(probability, Column) else F.lit(float(probability))
-    return lambda df: df.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < p * 1_000_000)
-
-
-def adaptive_rate(load: Column, target: float) -> Column:
-    """1 up to the target load, then falling with the excess, never below 0.1."""
-    return F.when(load <= target, F.lit(1.0)).otherwise(F.greatest(F.lit(0.1), 1 - (load - target) / target))
-
-
-def shed_load(target: float, span: str = "1m", ts: str = "ts", key: str = "event_id"):
-    """Sample each time window at the rate that its own load calls for."""
-    seconds = span_seconds(span)
-
-    def apply(df: DataFrame) -> DataFrame:
-        placed = df.withColumn("_w", bucket(F.col(ts), seconds))
-        loads = placed.groupBy(F.col("_w").alias("_lw")).agg(F.count(F.lit(1)).alias("_load"))
-        rated = placed.join(loads, F.col("_w") == F.col("_lw")).withColumn("_rate", adaptive_rate(F.col("_load"), target))
-        return rated.transform(sample_events(F.col("_rate"), key)).select(*df.columns)
-
-    return apply
+    return lambda df: df.where(F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 1_000_000 < p * 1_000_000)

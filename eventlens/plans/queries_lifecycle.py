@@ -78,25 +78,11 @@ def _(spark, sf):
     return e.transform(T.event_priority).select("event_id", "priority")
 
 
-@query("sample_events")
+@query("sample_events", "SELECT event_id, event_type FROM events WHERE ('0x' || left(md5(event_id::VARCHAR), 8))::BIGINT % 1000000 < 250000")
 def _(spark, sf):
     return table(spark, sf, "events").transform(T.sample_events(0.25)).select("event_id", "event_type")
 
 
-@query(
-    "adaptive_rate",
-    "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, count(*) AS n, round(CASE WHEN count(*) <= 10 THEN 1.0 ELSE greatest(0.1, 1 - (count(*) - 10) / 10.0) END, 6)::DOUBLE AS rate FROM events GROUP BY 1",
-)
-def _(spark, sf):
-    loads = table(spark, sf, "events").groupBy(utc(F.date_trunc("hour", "ts")).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
-    return loads.withColumn("rate", F.round(T.adaptive_rate(F.col("n"), 10), 6))
-
-
-@query("shed_load")
-def _(spark, sf):
-    return table(spark, sf, "events").transform(T.shed_load(10, "1h")).select("event_id", "event_type")
-
-
 # lifecycle ---------------------------------------------------------------
 @query(
     "dedup_ttl",

@@ -263,14 +263,6 @@ def _(spark, sf):
     return out.withColumn("total", F.round("total", 2)).withColumn("mean", F.round("mean", 8))
 
 
-@query(
-    "stats_max_groups",
-    """SELECT user_id, event_type, count(*) AS "count" FROM events GROUP BY 1, 2 ORDER BY min(ts), user_id, event_type LIMIT 100""",
-)
-def _(spark, sf):
-    return table(spark, sf, "events").transform(A.stats_max_groups("user_id", "event_type", aggs=[("count", None)], limit=100))
-
-
 @query("stats_dc", W + "SELECT hostname, count(DISTINCT user_name) AS users, count(DISTINCT src_ip) AS ips FROM sec GROUP BY 1")
 def _(spark, sf):
     return sec_events(spark, sf).transform(A.stats_by("hostname", aggs=[("dc", "user_name", "users"), ("dc", "src_ip", "ips")]))

@@ -58,11 +58,10 @@ def _(spark, sf):
     return out.select("rule_id", "entity_key", "n", utc(F.col("first_ts")).alias("first_ts"), utc(F.col("last_ts")).alias("last_ts"))
 
 
-@query("stream_dedup", W + "SELECT source, hostname, count(*) AS n FROM (SELECT DISTINCT source, hostname FROM sec) GROUP BY 1, 2")
+@query("stream_dedup", ORACLES["dedup_ttl"])
 def _(spark, sf):
-    # one batch holds all copies of a key, so exactly one of each remains
-    e = sec_stream(spark, sf).withColumn("id", F.concat_ws("-", "source", "hostname"))
-    return N.run_available(Z.stream_dedup(e, "40 days"), "dedup").groupBy("source", "hostname").agg(F.count(F.lit(1)).alias("n"))
+    e = sec_stream(spark, sf).withColumn("message", F.concat(F.lit("m"), "hostname"))
+    return N.run_available(Z.stream_dedup(e, "6h"), "dedup").select("event_id")
 
 
 @query("stream_detect", ORACLES["detect_operators"])

@@ -42,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     if named is None:
         named = context.getCheckpointDir()
     if named is None:
-        if not context.master.startswith("local"):
+        if context.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         named = tempfile.mkdtemp(prefix="eventlens-")
     if context.getCheckpointDir() is None:

@@ -86,12 +86,12 @@ AUDIT = "audit_id string, ts timestamp, actor string, action string, resource st
 def audited_write(df: DataFrame, path: str, audit_path: str, actor: str, action: str, details: str = "") -> None:
     """Write a result and append one audit row with its row count and an order-independent hash.
 
-    Both figures are observed while the result is written, so there is no second pass.
+    The hash is the sum of the rows' hashes, so that repeated rows count too. Both figures are observed while the result is written, so there is no second pass.
     """
     spark = df.sparkSession
     watch = Observation(f"audit-{uuid.uuid4().hex}")
     values = F.xxhash64(*df.columns)
-    counted = df.observe(watch, F.count(F.lit(1)).alias("rows"), F.bit_xor(values).alias("hash"))
+    counted = df.observe(watch, F.count(F.lit(1)).alias("rows"), F.sum(values.cast("decimal(38,0)")).alias("hash"))
     status, figures = "success", {}
     try:
         counted.write.mode("overwrite").parquet(path)
@@ -100,7 +100,7 @@ def audited_write(df: DataFrame, path: str, audit_path: str, actor: str, action:
         status = "failure"
         raise
     finally:
-        digest = f"{(figures.get('hash') or 0) & (2**64 - 1):016x}"
+        digest = f"{int(figures.get('hash') or 0) & (2**64 - 1):016x}"
         row = spark.range(1).select(
             F.lit(uuid.uuid4().hex).alias("audit_id"),
             F.current_timestamp().alias("ts"),

@@ -86,6 +86,36 @@ def stream_ueba(events: DataFrame, entity=ENTITY_FIELDS, travel: str = "5m", del
     )
 
 
+class Spaced(StatefulProcessor):
+    """Passes a key's event on if none was accepted less than a gap before; forgets the key once the watermark is past that."""
+
+    def __init__(self, gap_seconds: int, names: list[str], tie: str):
+        self.gap, self.names, self.tie = gap_seconds * MICROS, names, tie
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        last = self.last.get()[0] if self.last.exists() else None
+        before = last
+        for row in sorted(rows, key=lambda r: (r._at, r[self.tie] if self.tie in r else 0)):
+            if last is None or row._at - last >= self.gap:
+                last = row._at
+                yield Row(**{n: row[n] for n in self.names})
+        if last != before:
+            self.last.update((last,))
+            self.handle.registerTimer((last + self.gap) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.last.exists() and self.last.get()[0] + self.gap < expiredTimerInfo.getExpiryTimeInMs() * 1000:
+            self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 class Risk(StatefulProcessor):
     """Score per entity, capped at 100; each interval that ends multiplies it by the factor, truncated."""
 

@@ -10,6 +10,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventlens.functions.fields import event_time
 from eventlens.functions.spans import span_seconds
@@ -17,6 +18,7 @@ from eventlens.operators.correlate import rule_matches
 from eventlens.operators.lifecycle import dedup_key
 from eventlens.operators.rules import Rule, detect_rules
 from eventlens.operators.stats import aggregate_columns, group_key
+from eventlens.streaming.stateful import Spaced
 
 
 def stream_timechart(events: DataFrame, span: str, aggs=(("count", None),), by: tuple[str, ...] = (), delay: str = "10 minutes", ts: str = "ts") -> DataFrame:
@@ -55,10 +57,12 @@ def stream_idle(events: DataFrame, rules: Iterable[Rule], gap: str = "5m", delay
     return counted.where("n >= threshold").drop("session_window")
 
 
-def stream_dedup(events: DataFrame, ttl: str = "5 minutes", event_id: str = "id", ts: str = "ts") -> DataFrame:
-    """Drop events whose key was seen within the time to live."""
-    timed = event_time(events, ts).withColumn("_key", dedup_key(events, event_id))
-    return timed.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
+def stream_dedup(events: DataFrame, ttl: str = "5 minutes", event_id: str = "id", ts: str = "ts", delay: str = "10 minutes", tie: str = "event_id") -> DataFrame:
+    """Drop events whose key was last accepted less than `ttl` before, in event time, however rows fall into batches."""
+    timed = event_time(events, ts).withColumn("_key", dedup_key(events, event_id)).withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
+    schema = T.StructType([f for f in timed.schema if f.name not in ("_key", "_at")])
+    grouped = timed.withWatermark(ts, delay).groupBy("_key")
+    return grouped.transformWithState(Spaced(span_seconds(ttl), schema.names, tie), schema, "append", "eventtime")
 
 
 def stream_detect(events: DataFrame, rules: Iterable[Rule]) -> DataFrame:
