@@ -57,7 +57,7 @@ def stream_idle(events: DataFrame, rules: Iterable[Rule], gap: str = "5m", delay
     return counted.where("n >= threshold").drop("session_window")
 
 
-def stream_dedup(events: DataFrame, ttl: str = "5 minutes", event_id: str = "id", ts: str = "ts", delay: str = "10 minutes", tie: str = "event_id") -> DataFrame:
+def stream_dedup(events: DataFrame, ttl: str = "5m", event_id: str = "id", ts: str = "ts", delay: str = "10 minutes", tie: str = "event_id") -> DataFrame:
     """Drop events whose key was last accepted less than `ttl` before, in event time, however rows fall into batches."""
     timed = event_time(events, ts).withColumn("_key", dedup_key(events, event_id)).withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
     schema = T.StructType([f for f in timed.schema if f.name not in ("_key", "_at")])

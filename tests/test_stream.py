@@ -73,7 +73,7 @@ def test_risk(spark, landed):
 
 def test_dedup_and_detect(spark, landed):
     e = stream(spark, landed).withColumn("id", F.concat_ws("-", "user", "src_ip"))
-    assert N.run_available(Z.stream_dedup(e, "30 days"), "d").count() == spark.read.parquet(landed).select("user", "src_ip").distinct().count()
+    assert N.run_available(Z.stream_dedup(e, "30d"), "d").count() == spark.read.parquet(landed).select("user", "src_ip").distinct().count()
     rule = R.Rule("r", "R", "low", (R.Condition("action", "eq", "bad"),))
     assert N.run_available(Z.stream_detect(stream(spark, landed), [rule]), "x").count() == spark.read.parquet(landed).where("action = 'bad'").count()
 
