@@ -85,10 +85,11 @@ def cloud_event_type(provider: Column, name: Column) -> Column:
     return F.when(provider == "aws", exact).when(provider == "azure", azure).when(provider == "gcp", gcp).otherwise(name)
 
 
-EVENT_COLUMNS = (
-    "id provider event_type event_name ts actor_id actor_type actor_name resource_id resource_type "
-    "source_ip user_agent region account success error_code error_message raw_event"
-).split()
+EVENT_COLUMNS = [
+    "id", "provider", "event_type", "event_name", "ts", "actor_id", "actor_type", "actor_name", "resource_id",
+    "resource_type", "source_ip", "user_agent", "region", "account", "success", "error_code", "error_message",
+    "raw_event",
+]
 
 
 def _event(df: DataFrame, raw: str, provider: str, **columns: Column) -> DataFrame:

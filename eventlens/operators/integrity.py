@@ -14,7 +14,6 @@ from eventlens.functions.ordered import ordinal
 from eventlens.operators.rules import Condition
 from eventlens.session import cut_lineage
 
-EMPTY = "00" * 32
 LEVELS = 10
 
 

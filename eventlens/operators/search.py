@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventlens.functions.fields import field, first_text, number, text, whole_number
+from eventlens.functions.fields import field, number, text, whole_number
 
 # Words that full-text search ignores.
-STOP_WORDS = (
-    "a an and are as at be but by for if in into is it no not of on or such that the their then there "
-    "these they this to was will with"
-).split()
+STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no",
+    "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to",
+    "was", "will", "with",
+]
 
 COMPARE = {
     "=": lambda a, b: a == b,
@@ -253,8 +254,3 @@ def scope_filter(role: str, index: str = "index"):
         return df.where(field(df, index) == "_audit") if role == "auditor" else df.where(F.lit(False))
 
     return apply
-
-
-def entity_of(df: DataFrame, *names: str) -> Column:
-    """First present of several identifying fields."""
-    return first_text(df, list(names))
