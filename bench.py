@@ -40,6 +40,7 @@ HEADLINE = [
     "blast_radius",
     "stream_timechart",
     "stream_detect",
+    "ingest_pipeline",
 ]
 
 
@@ -75,6 +76,7 @@ def main() -> None:
         "cpus": int(cpus),
         "events": events,
         "events_per_second_detect": round(events / times["detect_rules"]),
+        "events_per_second_ingest": round(events / times["ingest_pipeline"]),
     }
     print(json.dumps(result))
 

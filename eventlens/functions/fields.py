@@ -71,3 +71,15 @@ def first_text(df: DataFrame, names: list[str], skip_empty: bool = False) -> Col
 def event_time(df: DataFrame, column: str = "ts") -> DataFrame:
     """Events with a zoned timestamp, which watermarks need."""
     return df.withColumn(column, F.col(column).cast("timestamp"))
+
+
+def pair_order(df: DataFrame, ts: str, tie: str) -> Column:
+    """A value that orders rows by (ts, tie), nulls first.
+
+    For a whole-numbered `tie` it is one decimal, which a hash aggregate can hold; a pair makes Spark sort every row.
+    """
+    if not isinstance(df.schema[tie].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return F.struct(ts, tie)
+    micros = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(-(1 << 62)))
+    step = F.lit(str(2 * 10**19)).cast("decimal(20,0)")  # above the range of a long
+    return micros.cast("decimal(19,0)") * step + F.coalesce(F.col(tie).cast("long"), F.lit(-(1 << 63))).cast("decimal(19,0)")

@@ -1,9 +1,9 @@
 """Ordered per-key computations that stay parallel when one key holds most rows.
 
 A window partitioned by key alone sends a hot key to one task. `Runs` bounds the largest
-key first, by counting rows per hash of the key. Up to `GROUP_ROWS` rows per key, or a few times
-the even share of a hash bucket where that is more (`SINGLE_ROWS` where there is no key), an
-ordinary window is used. Beyond it the rows are range-partitioned by (key, order), so that a hot key spans many
+key first, by counting rows per hash of the key, then exactly for the keys of heavy hashes. Up to `GROUP_ROWS`
+rows per key (`SINGLE_ROWS` where there is no key), whatever the input, an ordinary window is used.
+Beyond it the rows are range-partitioned by (key, order), so that a hot key spans many
 partitions ("runs"); windows then work inside a run, and what earlier runs of the same
 key contribute is added as a carry. At most one key continues into a run from the
 run before, so the carry table never has more rows than there are partitions and
@@ -32,18 +32,23 @@ SINGLE_ROWS = 200_000
 FOLD_ROWS = 50_000
 
 
-def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
-    """Rows in total, and an upper bound of the rows of any group.
+def group_sizes(df: DataFrame, keys: list[str], limit: int) -> tuple[int, int]:
+    """Rows in total, and the rows of the biggest group: exact above `limit`, else an upper bound.
 
     Rows are counted per hash bucket of the key: partial aggregation leaves at most `BUCKETS`
-    rows per task to shuffle, even when almost every row has a key of its own.
+    rows per task to shuffle, even when almost every row has a key of its own. Where a bucket exceeds the
+    limit, the keys of such buckets (`BUCKETS` rows at most, so safe to broadcast) are counted themselves.
     """
     if not keys:
         total = df.count()
         return total, total
-    buckets = df.groupBy(F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("_bucket")).count()
-    sizes = buckets.agg(F.sum("count"), F.max("count")).first()
-    return sizes[0] or 0, sizes[1] or 0
+    bucketed = df.select(*keys, F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("_bucket"))
+    buckets = bucketed.groupBy("_bucket").count()
+    total, most = buckets.agg(F.sum("count"), F.max("count")).first()
+    if (most or 0) > limit:
+        heavy = cut_lineage(buckets.where(F.col("count") > limit).select("_bucket"))
+        most = largest_group(bucketed.join(F.broadcast(heavy), "_bucket", "left_semi"), keys)
+    return total or 0, most or 0
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:
@@ -70,9 +75,9 @@ class Runs:
         if known_small:
             self.split = False
         else:
-            total, largest = group_sizes(df, self.keys)
-            usual = max(GROUP_ROWS, 4 * total // BUCKETS) if keys else SINGLE_ROWS
-            self.split = largest > (usual if group_rows is None else group_rows)
+            limit = group_rows if group_rows is not None else GROUP_ROWS if keys else SINGLE_ROWS
+            total, largest = group_sizes(df, self.keys, limit)
+            self.split = largest > limit
         if self.split:
             order = [F.col(o) if isinstance(o, str) else o for o in order]
             key_cols = [F.col(k) for k in self.keys]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlens.functions.fields import field, first_text, has_field, number
+from eventlens.functions.fields import field, first_text, has_field, number, pair_order
 from eventlens.functions.ordered import Runs, ordinal
 from eventlens.functions.spans import bucket, span_seconds
 
@@ -131,14 +131,16 @@ def extract_features(df: DataFrame, window: str | None = "1h", ts: str = "ts") -
     at = F.lit(None).cast("timestamp") if window is None else bucket(F.col(ts), span_seconds(window))
     rows = df.select(at.alias("window_start"), F.col(ts).alias("_ts"), F.explode(F.filter(F.array(*found), lambda f: f.isNotNull())).alias("_f"))
     grouped = rows.groupBy(F.col("_f.entity").alias("entity"), F.col("_f.feature").alias("feature"), "window_start")
-    mean = F.first("_f.feature") == "cpu_avg_1h"
-    return grouped.agg(F.when(mean, F.avg("_f.v")).otherwise(F.sum("_f.v")).alias("value"), F.count(F.lit(1)).alias("n"), F.max("_ts").alias("ts"))
+    # numbers only in the aggregate: a text in it would sort every row
+    summed = grouped.agg(F.sum("_f.v").alias("_sum"), F.count(F.lit(1)).alias("n"), F.max("_ts").alias("ts"))
+    value = F.when(F.col("feature") == "cpu_avg_1h", F.col("_sum") / F.col("n")).otherwise(F.col("_sum"))
+    return summed.select("entity", "feature", "window_start", value.alias("value"), "n", "ts")
 
 
 def feature_ops(updates: DataFrame, ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """State after set, sum/inc, avg and max updates (one operation per feature); max never falls below 0."""
     grouped = updates.groupBy("entity", "feature", "op").agg(
-        F.max_by("value", F.struct(ts, tie)).alias("_last"),
+        F.max_by("value", pair_order(updates, ts, tie)).alias("_last"),
         F.sum("value").alias("_sum"),
         F.avg("value").alias("_avg"),
         F.greatest(F.lit(0.0), F.max("value")).alias("_max"),

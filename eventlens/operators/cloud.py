@@ -23,10 +23,13 @@ GCP_EVENT = (
 )
 AWS_ASSET = (
     "InstanceId string, State struct<Name:string>, PrivateIpAddress string, PublicIpAddress string, VpcId string, "
-    "SecurityGroups array<struct<GroupId:string>>, Tags array<struct<Key:string,Value:string>>, IamInstanceProfile struct<Arn:string>"
+    "SecurityGroups array<struct<GroupId:string>>, Tags array<struct<Key:string,Value:string>>, IamInstanceProfile struct<Arn:string>, LaunchTime string"
+)
+AZURE_ASSET = "id string, name string, location string, tags map<string,string>, properties struct<provisioningState:string,timeCreated:string>"
+GCP_ASSET = (
+    "id string, name string, zone string, status string, labels map<string,string>, creationTimestamp string, "
+    "networkInterfaces array<struct<networkIP:string,accessConfigs:array<struct<natIP:string>>>>, serviceAccounts array<struct<email:string,scopes:array<string>>>"
 )
-AZURE_ASSET = "id string, name string, location string, tags map<string,string>"
-GCP_ASSET = "id string, name string, zone string, status string, labels map<string,string>"
 
 AWS_TYPES = {
     "createuser": "iam:user:create",
@@ -187,6 +190,7 @@ ASSET_TYPES = {
     "security_groups": "array<string>",
     "iam_role": "string",
     "permissions": "array<string>",
+    "created_at": "timestamp",
     "raw_metadata": "string",
 }
 
@@ -196,14 +200,32 @@ def _asset(df: DataFrame, raw: str, provider: str, kind: str, **columns: Column)
     return df.select(*[columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in ASSET_TYPES.items()])
 
 
-def norm_asset(df: DataFrame, provider: str, raw: str = "value") -> DataFrame:
-    """EC2 instance, Azure VM or GCP instance JSON as one asset schema."""
+def norm_asset(df: DataFrame, provider: str, raw: str = "value", account: str | None = None, region: str | None = None) -> DataFrame:
+    """EC2 instance, Azure VM or GCP instance JSON as one asset schema.
+
+    `account` (project, subscription) and the `region` of EC2 instances are those that the list was read from.
+    Of several network interfaces, external addresses and service accounts the first counts; an Azure VM
+    without a provisioning state is `unknown`, and its record names no addresses.
+    """
     schema = {"aws": AWS_ASSET, "azure": AZURE_ASSET, "gcp": GCP_ASSET}[provider]
     rows = df.withColumn("_j", F.from_json(raw, schema))
-    j = F.col("_j")
+    j, owner = F.col("_j"), F.lit(account)
     if provider == "azure":
-        return _asset(rows, raw, provider, "vm", id=F.concat(F.lit("azure:vm:"), j["id"]), name=j["name"], region=j["location"], tags=F.coalesce(j["tags"], F.create_map()))
+        return _asset(
+            rows,
+            raw,
+            provider,
+            "vm",
+            id=F.concat(F.lit("azure:vm:"), j["id"]),
+            name=j["name"],
+            region=j["location"],
+            account=owner,
+            state=F.coalesce(j["properties"]["provisioningState"], F.lit("unknown")),
+            tags=F.coalesce(j["tags"], F.create_map()),
+            created_at=F.try_to_timestamp(j["properties"]["timeCreated"]),
+        )
     if provider == "gcp":
+        interface, service = F.get(j["networkInterfaces"], 0), F.get(j["serviceAccounts"], 0)
         return _asset(
             rows,
             raw,
@@ -212,8 +234,14 @@ def norm_asset(df: DataFrame, provider: str, raw: str = "value") -> DataFrame:
             id=F.concat(F.lit("gcp:compute:"), j["id"]),
             name=j["name"],
             region=j["zone"],
+            account=owner,
             state=F.lower(j["status"]),
             tags=F.coalesce(j["labels"], F.create_map()),
+            private_ip=interface["networkIP"],
+            public_ip=F.get(interface["accessConfigs"], 0)["natIP"],
+            iam_role=service["email"],
+            permissions=service["scopes"],
+            created_at=F.try_to_timestamp(j["creationTimestamp"]),
         )
     listed = F.coalesce(F.filter(j["Tags"], lambda t: t["Key"].isNotNull() & t["Value"].isNotNull()), F.array().cast("array<struct<Key:string,Value:string>>"))
     # of equal keys the last entry counts
@@ -234,6 +262,9 @@ def norm_asset(df: DataFrame, provider: str, raw: str = "value") -> DataFrame:
         security_groups=groups,
         iam_role=j["IamInstanceProfile"]["Arn"],
         tags=tags,
+        account=owner,
+        region=F.lit(region),
+        created_at=F.try_to_timestamp(j["LaunchTime"]),
     )
 
 
@@ -256,6 +287,7 @@ def _production() -> Column:
 def asset_risk(df: DataFrame) -> DataFrame:
     """Add `risk_score`: points per exposure by provider, at most 100."""
     p = F.col("provider")
+    # fixed values: points per exposure
     points = [
         (_given("public_ip"), 30),
         (p.isin("aws", "gcp") & _state("running"), 10),
@@ -272,6 +304,7 @@ def asset_risk(df: DataFrame) -> DataFrame:
 def asset_risk_factors(df: DataFrame) -> DataFrame:
     """Add `risk_factors`: what makes an asset risky, as text."""
     p, public = F.col("provider"), _given("public_ip")
+    # fixed values: texts of the factors
     facts = [
         ((p == "aws") & public, "Public IP Address"),
         ((p == "azure") & public, "Public Endpoint"),

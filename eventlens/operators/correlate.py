@@ -44,7 +44,8 @@ def rule_matches(df: DataFrame, rules: Iterable[Rule], ts: str = "ts", event_id:
         for r in rules
         if r.enabled and r.conditions
     ]
-    hits = F.filter(F.array(*found), lambda x: x.isNotNull())
+    made = F.array(*found).cast("array<struct<rule_id:string,rule_name:string,severity:string,threshold:int,span:int>>")  # a type without rules too
+    hits = F.filter(made, lambda x: x.isNotNull())
     exploded = df.select(F.col(ts).cast("timestamp").alias("ts"), F.col(event_id).alias("event_id"), entity_keys(df).alias("_keys"), F.explode(hits).alias("_r"))
     return exploded.select("ts", "event_id", "_r.*", F.explode("_keys").alias("entity_key"))
 

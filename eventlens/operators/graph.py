@@ -79,12 +79,18 @@ def graph_paths(pairs: DataFrame, edges: DataFrame, max_nodes: int) -> DataFrame
 
 def trust_nodes(events: DataFrame, source: str = "source", user: str = "user", ts: str = "ts") -> DataFrame:
     """Latest state per node: sources are verified systems, users reputable users."""
-    systems = events.select(F.col(source).alias("id"), F.lit("system").alias("type"), F.lit("verified").alias("level"), ts)
-    users = events.select(F.col(user).alias("id"), F.lit("user").alias("type"), F.lit("reputable").alias("level"), ts)
-    both = systems.union(users).where("id is not null")
+    named = F.explode(F.array(*[F.struct(F.col(c).cast("string").alias("id"), F.lit(p).alias("person")) for c, p in ((source, False), (user, True))]))
+    rows = events.select(named.alias("_n"), F.col(ts).alias("_ts")).select("_n.id", "_n.person", "_ts").where("id is not null")
+    # times only in the aggregate: a pair of texts in it would sort every row
+    latest = rows.groupBy("id").agg(
+        F.max(F.when(~F.col("person"), F.col("_ts"))).alias("_system"),
+        F.max(F.when(F.col("person"), F.col("_ts"))).alias("_user"),
+        F.max("person").alias("_person"),
+        F.max("_ts").alias("last_seen"),
+    )
     # a user named like a source is written after it within one event
-    latest = both.groupBy("id").agg(F.max_by(F.struct("type", "level"), F.struct(ts, "type")).alias("_n"), F.max(ts).alias("last_seen"))
-    return latest.select("id", "_n.type", "_n.level", "last_seen")
+    person = F.col("_person") & F.coalesce(F.col("_user") >= F.col("_system"), F.col("_system").isNull())
+    return latest.select("id", F.when(person, "user").otherwise("system").alias("type"), F.when(person, "reputable").otherwise("verified").alias("level"), "last_seen")
 
 
 def trust_edges(events: DataFrame, source: str = "source", user: str = "user", weighted: bool = False) -> DataFrame:

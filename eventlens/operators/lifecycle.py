@@ -51,8 +51,8 @@ def expire_events(as_of: str, days: int, audit_days: int | None = None, is_audit
     """Keep events within the retention period; audit rows may have their own."""
 
     def apply(df: DataFrame) -> DataFrame:
-        at = F.col(ts).cast("timestamp")
-        limit = lambda d: at >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(days=F.lit(d))
+        # the limit takes the column's type, so that the column stays raw and the test reaches the scan
+        limit = lambda d: F.col(ts) >= (F.lit(as_of).cast("timestamp") - F.make_dt_interval(days=F.lit(d))).cast(df.schema[ts].dataType)
         if is_audit is None or audit_days is None:
             return df.where(limit(days))
         audit = F.coalesce(is_audit, F.lit(False))
@@ -65,15 +65,21 @@ def drop_tombstones(df: DataFrame, marker: str = "_is_tombstone") -> DataFrame:
     return df.where(~F.coalesce(field(df, marker).cast("boolean"), F.lit(False)))
 
 
-def stage_metrics(*stages: tuple[str, DataFrame]) -> DataFrame:
-    """Events in, out and dropped per stage, from the frames after each stage; the first is the input."""
-    counted = [df.agg(F.count(F.lit(1)).alias("events_out")).select(F.lit(i).alias("step"), F.lit(n).alias("stage"), "events_out") for i, (n, df) in enumerate(stages)]
-    rows = counted[0]
-    for part in counted[1:]:
-        rows = rows.union(part)
-    before = rows.select((F.col("step") + 1).alias("step"), F.col("events_out").alias("_in"))
-    joined = rows.join(before, "step", "left").withColumn("events_in", F.coalesce("_in", "events_out"))
-    return joined.select("stage", "events_in", "events_out", (F.col("events_in") - F.col("events_out")).alias("dropped"))
+def stage_metrics(df: DataFrame, *stages: tuple[str, Column]) -> DataFrame:
+    """Events in, out and dropped per stage, each keeping the rows of the stage before that pass its test.
+
+    All stages are counted in one pass; where a stage is more than a test, count its frame with `observed`.
+    """
+    passed, counts = F.lit(True), []
+    for _, test in stages:
+        before, passed = passed, passed & F.coalesce(test, F.lit(False))
+        counts += [F.count_if(before), F.count_if(passed)]
+    counted = df.agg(*[c.alias(f"_{i}") for i, c in enumerate(counts)])
+    rows = [
+        F.struct(F.lit(n).alias("stage"), F.col(f"_{2 * i}").alias("events_in"), F.col(f"_{2 * i + 1}").alias("events_out"), (F.col(f"_{2 * i}") - F.col(f"_{2 * i + 1}")).alias("dropped"))
+        for i, (n, _) in enumerate(stages)
+    ]
+    return counted.select(F.inline(F.array(*rows)))
 
 
 def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:

@@ -95,7 +95,7 @@ def matched(df: DataFrame, rules: Iterable[Rule]) -> Column:
         for r in rules
         if r.enabled and r.conditions
     ]
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+    return F.filter(F.array(*found).cast("array<struct<rule_id:string,rule_name:string,severity:string>>"), lambda x: x.isNotNull())
 
 
 def any_rule(df: DataFrame, rules: Iterable[Rule]) -> Column:

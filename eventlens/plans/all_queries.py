@@ -2,6 +2,7 @@
 
 from eventlens.plans import (  # noqa: F401
     queries_behavior,
+    queries_chain,
     queries_cloud,
     queries_detect,
     queries_lifecycle,

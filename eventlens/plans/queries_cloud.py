@@ -106,30 +106,32 @@ AWS_ASSET = (
     + ",\"Tags\":[{\"Key\":\"team\",\"Value\":\"', c_mktsegment, '\"},{\"Key\":\"team\",\"Value\":\"t', " + vc("c_nationkey") + ", '\"}', CASE WHEN c_custkey % 2 = 0 THEN concat(',{\"Key\":\"Name\",\"Value\":\"', c_name, '\"}') ELSE '' END, ']', CASE WHEN c_custkey % 5 = 0 THEN ',\"IamInstanceProfile\":{\"Arn\":\"arn:role\"}' ELSE '' END, '}')"
 )
 AZURE_ASSET = (
-    "concat('{\"id\":\"/vm/', " + vc("s_suppkey") + ", '\",\"name\":\"', s_name, '\",\"location\":\"westeurope\",\"tags\":{\"environment\":\"', CASE WHEN s_suppkey % 2 = 0 THEN 'Production' ELSE 'dev' END, '\"}}')"
+    "concat('{\"id\":\"/vm/', " + vc("s_suppkey") + ", '\",\"name\":\"', s_name, '\",\"location\":\"westeurope\",\"tags\":{\"environment\":\"', CASE WHEN s_suppkey % 2 = 0 THEN 'Production' ELSE 'dev' END, '\"}', CASE s_suppkey % 3 WHEN 0 THEN ',\"properties\":{\"provisioningState\":\"Succeeded\",\"timeCreated\":\"2024-01-02T03:04:05Z\"}' WHEN 1 THEN ',\"properties\":{\"provisioningState\":\"Failed\"}' ELSE '' END, '}')"
 )
 GCP_ASSET = (
-    "concat('{\"id\":\"', " + vc("p_partkey") + ", '\",\"name\":\"', p_name, '\",\"zone\":\"zone-', " + vc("p_size % 4") + ", '\",\"status\":\"', CASE WHEN p_size % 2 = 0 THEN 'RUNNING' ELSE 'TERMINATED' END, '\",\"labels\":{\"brand\":\"', p_brand, '\"}}')"
+    "concat('{\"id\":\"', " + vc("p_partkey") + ", '\",\"name\":\"', p_name, '\",\"zone\":\"zone-', " + vc("p_size % 4") + ", '\",\"status\":\"', CASE WHEN p_size % 2 = 0 THEN 'RUNNING' ELSE 'TERMINATED' END, '\",\"labels\":{\"brand\":\"', p_brand, '\"},\"creationTimestamp\":\"2024-02-03T04:05:06Z\",\"networkInterfaces\":[{\"networkIP\":\"10.1.0.', " + vc("p_partkey % 250") + ", '\"', CASE WHEN p_partkey % 4 = 0 THEN ',\"accessConfigs\":[{\"natIP\":\"4.4.4.4\"},{\"natIP\":\"5.5.5.5\"}]' ELSE '' END, '}]', CASE WHEN p_partkey % 5 = 0 THEN concat(',\"serviceAccounts\":[{\"email\":\"svc@example.com\",\"scopes\":[\"s1\",\"s2\"', CASE WHEN p_partkey % 10 = 0 THEN ',\"s3\",\"s4\",\"s5\",\"s6\"' ELSE '' END, ']}]') ELSE '' END, '}')"
 )
 
 ASSETS = """assets AS (SELECT 'aws' AS provider, 'ec2' AS type, 'aws:ec2:i-' || c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'i-' || c_custkey END AS name, NULL AS region, CASE WHEN c_custkey % 3 = 0 THEN 'running' ELSE 'stopped' END AS state,
-  CASE WHEN c_custkey % 4 = 0 THEN '3.3.3.3' END AS public_ip, 'vpc-' || (c_custkey % 5) AS vpc, [4, 3, 1][1 + c_custkey % 3] AS groups, CASE WHEN c_custkey % 5 = 0 THEN 'arn:role' END AS iam_role, 't' || c_nationkey AS tag, false AS prod FROM customer
- UNION ALL SELECT 'azure', 'vm', 'azure:vm:/vm/' || s_suppkey, s_name, 'westeurope', NULL, NULL, NULL, NULL, NULL, CASE WHEN s_suppkey % 2 = 0 THEN 'Production' ELSE 'dev' END, s_suppkey % 2 = 0 FROM supplier
- UNION ALL SELECT 'gcp', 'compute-instance', 'gcp:compute:' || p_partkey, p_name, 'zone-' || (p_size % 4), CASE WHEN p_size % 2 = 0 THEN 'running' ELSE 'terminated' END, NULL, NULL, NULL, NULL, p_brand, false FROM part)"""
-SCORED = """scored AS (SELECT *, CASE WHEN public_ip IS NOT NULL THEN 30 ELSE 0 END + CASE WHEN state = 'running' THEN 10 ELSE 0 END + CASE WHEN iam_role IS NOT NULL THEN 20 ELSE 0 END + CASE WHEN coalesce(groups, 0) > 2 THEN 10 ELSE 0 END + CASE WHEN prod THEN 15 ELSE 0 END AS risk_score FROM assets)"""
+  CASE WHEN c_custkey % 4 = 0 THEN '3.3.3.3' END AS public_ip, 'vpc-' || (c_custkey % 5) AS vpc, [4, 3, 1][1 + c_custkey % 3] AS groups, CASE WHEN c_custkey % 5 = 0 THEN 'arn:role' END AS iam_role, 't' || c_nationkey AS tag, false AS prod, 0 AS scopes, '10.0.0.1' AS private_ip, 'a1' AS account, NULL AS created FROM customer
+ UNION ALL SELECT 'azure', 'vm', 'azure:vm:/vm/' || s_suppkey, s_name, 'westeurope', CASE s_suppkey % 3 WHEN 0 THEN 'Succeeded' WHEN 1 THEN 'Failed' ELSE 'unknown' END, NULL, NULL, NULL, NULL, CASE WHEN s_suppkey % 2 = 0 THEN 'Production' ELSE 'dev' END, s_suppkey % 2 = 0, 0, NULL, 'sub', CASE WHEN s_suppkey % 3 = 0 THEN TIMESTAMP '2024-01-02 03:04:05' END FROM supplier
+ UNION ALL SELECT 'gcp', 'compute-instance', 'gcp:compute:' || p_partkey, p_name, 'zone-' || (p_size % 4), CASE WHEN p_size % 2 = 0 THEN 'running' ELSE 'terminated' END, CASE WHEN p_partkey % 4 = 0 THEN '4.4.4.4' END, NULL, NULL, CASE WHEN p_partkey % 5 = 0 THEN 'svc@example.com' END, p_brand, false, CASE WHEN p_partkey % 10 = 0 THEN 6 WHEN p_partkey % 5 = 0 THEN 2 ELSE 0 END, '10.1.0.' || (p_partkey % 250), 'proj', TIMESTAMP '2024-02-03 04:05:06' FROM part)"""
+SCORED = """scored AS (SELECT *, CASE WHEN public_ip IS NOT NULL THEN 30 ELSE 0 END + CASE WHEN state IN ('running', 'Succeeded') THEN 10 ELSE 0 END + CASE WHEN iam_role IS NOT NULL THEN 20 ELSE 0 END + CASE WHEN coalesce(groups, 0) > 2 THEN 10 ELSE 0 END + CASE WHEN prod OR scopes > 5 THEN 15 ELSE 0 END AS risk_score FROM assets)"""
 
 
 def assets(spark, sf):
-    aws = C.norm_asset(raw(spark, sf, AWS_ASSET, "customer"), "aws")
-    azure = C.norm_asset(raw(spark, sf, AZURE_ASSET, "supplier"), "azure")
-    return aws.unionByName(azure).unionByName(C.norm_asset(raw(spark, sf, GCP_ASSET, "part"), "gcp"))
+    aws = C.norm_asset(raw(spark, sf, AWS_ASSET, "customer"), "aws", account="a1")
+    azure = C.norm_asset(raw(spark, sf, AZURE_ASSET, "supplier"), "azure", account="sub")
+    return aws.unionByName(azure).unionByName(C.norm_asset(raw(spark, sf, GCP_ASSET, "part"), "gcp", account="proj"))
 
 
-@query("norm_asset", f"WITH {ASSETS} SELECT provider, type, id, name, region, state, public_ip, vpc, CAST(groups AS VARCHAR) AS groups, iam_role, tag FROM assets")
+@query("norm_asset", f"WITH {ASSETS} SELECT provider, type, id, name, region, account, state, private_ip, public_ip, vpc, CAST(groups AS VARCHAR) AS groups, iam_role, scopes, tag, created FROM assets")
 def _(spark, sf):
     tag = F.coalesce(F.col("tags")["team"], F.col("tags")["environment"], F.col("tags")["brand"])
     groups = F.when(F.col("security_groups").isNotNull(), F.size("security_groups").cast("string"))
-    return assets(spark, sf).select("provider", "type", "id", "name", "region", "state", "public_ip", "vpc", groups.alias("groups"), "iam_role", tag.alias("tag"))
+    scopes = F.when(F.col("permissions").isNull(), 0).otherwise(F.size("permissions"))
+    listed = ("provider", "type", "id", "name", "region", "account", "state", "private_ip", "public_ip", "vpc")
+    return assets(spark, sf).select(*listed, groups.alias("groups"), "iam_role", scopes.alias("scopes"), tag.alias("tag"), utc(F.col("created_at")).alias("created"))
 
 
 @query("asset_risk", f"WITH {ASSETS}, {SCORED} SELECT id, risk_score FROM scored")
@@ -139,8 +141,8 @@ def _(spark, sf):
 
 @query(
     "asset_risk_factors",
-    f"""WITH {ASSETS} SELECT id, array_to_string(list_filter([CASE WHEN public_ip IS NOT NULL THEN 'Public IP Address' END, CASE WHEN iam_role IS NOT NULL THEN 'IAM Role Attached' END, CASE WHEN groups > 3 THEN 'Multiple Security Groups' END,
-    CASE WHEN prod THEN 'Production Environment' END, CASE WHEN state = 'running' AND public_ip IS NOT NULL THEN 'Internet-Facing Instance' END], lambda x: x IS NOT NULL), ',') AS factors FROM assets""",
+    f"""WITH {ASSETS} SELECT id, array_to_string(list_filter([CASE WHEN public_ip IS NOT NULL THEN CASE provider WHEN 'gcp' THEN 'External IP Address' ELSE 'Public IP Address' END END, CASE WHEN iam_role IS NOT NULL THEN CASE provider WHEN 'gcp' THEN 'Service Account Attached' ELSE 'IAM Role Attached' END END, CASE WHEN groups > 3 THEN 'Multiple Security Groups' END,
+    CASE WHEN prod THEN 'Production Environment' END, CASE WHEN scopes > 5 THEN 'Broad IAM Scopes' END, CASE WHEN state = 'running' AND public_ip IS NOT NULL THEN CASE provider WHEN 'gcp' THEN 'Internet-Accessible Instance' ELSE 'Internet-Facing Instance' END END], lambda x: x IS NOT NULL), ',') AS factors FROM assets""",
 )
 def _(spark, sf):
     return assets(spark, sf).transform(C.asset_risk_factors).select("id", F.array_join("risk_factors", ",").alias("factors"))

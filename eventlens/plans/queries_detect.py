@@ -431,7 +431,7 @@ def threat_table(spark, sf):
     FROM sec LEFT JOIN threats a ON dst_ip = a.indicator AND ts < a.last_seen + INTERVAL 1 HOUR LEFT JOIN threats b ON md5(process_name) = b.indicator AND ts < b.last_seen + INTERVAL 1 HOUR""",
 )
 def _(spark, sf):
-    e = sec_events(spark, sf).withColumn("file_hash", F.md5("process_name")).withColumn("sha1", F.lit("none"))
+    e = sec_events(spark, sf).withColumn("file_hash", F.md5("process_name")).withColumn("sha1", F.sha1("process_name"))
     out = e.drop("src_ip").transform(E.enrich_threat(threat_table(spark, sf)))
     out = out.select("event_id", *[c for c in out.columns if "_threat_" in c])
     for c in ("dst_ip_threat_malicious", "dst_ip_threat_reputation", "file_threat_malicious"):

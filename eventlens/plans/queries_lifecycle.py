@@ -125,9 +125,7 @@ def _(spark, sf):
     UNION ALL SELECT 'outbound', count(*), count(*) FILTER (direction = 'outbound'), count(*) FILTER (direction <> 'outbound') FROM sec WHERE status = 'failed'""",
 )
 def _(spark, sf):
-    e = sec_events(spark, sf)
-    failed = e.where("status = 'failed'")
-    return Y.stage_metrics(("scan", e), ("failed", failed), ("outbound", failed.where("direction = 'outbound'")))
+    return Y.stage_metrics(sec_events(spark, sf), ("scan", F.lit(True)), ("failed", F.col("status") == "failed"), ("outbound", F.col("direction") == "outbound"))
 
 
 # sources -----------------------------------------------------------------

@@ -163,17 +163,17 @@ def _(spark, sf):
     return table(spark, sf, "orders").transform(P.head_rows(20, "-o_totalprice", "o_orderkey")).select("o_orderkey", "o_totalprice")
 
 
-@query("merge_latest", "SELECT event_id, event_type FROM events WHERE event_type IN ('error', 'view', 'click') ORDER BY ts DESC, event_id DESC LIMIT 50")
+@query("merge_latest", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
 def _(spark, sf):
     e = table(spark, sf, "events")
-    parts = [e.where(F.col("event_type") == t) for t in ("error", "view", "click")]
-    return P.merge_latest(parts[0], None, parts[1], parts[2], limit=50).select("event_id", "event_type")
+    error = F.col("event_type").eqNullSafe("error")
+    return P.merge_latest(e.where(error), None, e.where(~error), limit=50).select("event_id", "event_type")
 
 
-@query("merge_ordered", "SELECT event_id FROM events WHERE event_type IN ('error', 'view') ORDER BY ts, event_id")
+@query("merge_ordered", "SELECT event_id FROM events ORDER BY ts, event_id")
 def _(spark, sf):
     e = table(spark, sf, "events")
-    return P.merge_ordered(e.where("event_type = 'error'"), e.where("event_type = 'view'")).select("event_id")
+    return P.merge_ordered(e.where("event_type <=> 'error'"), e.where("not (event_type <=> 'error')")).select("event_id")
 
 
 @query(
