@@ -37,10 +37,11 @@ def tenant_storage_quota(
 ):
     """Accept events in order while the accepted bytes of a tenant stay within `limit`; rejected bytes do not count.
 
-    Each round accepts the longest prefix of the remaining candidates that fits (a running
-    sum), lowers the room left, and drops every candidate larger than that for good. The first
-    rejected size is smaller in each round, so rounds end; tenants with few candidates left
-    are finished as arrays.
+    A size is small if it is at most half the room left. A round goes on to the first small event that
+    does not fit or the first big one that does, by a running sum of the small ones; before it the small ones
+    are accepted and the big ones rejected. Either leaves less than half the room, so that there are at
+    most log2(`limit`) + 1 rounds. What exceeds the room left is dropped for good, and tenants with few
+    candidates left are finished as arrays. Sizes must not be negative; a null size is rejected.
     """
 
     def apply(df: DataFrame) -> DataFrame:
@@ -48,12 +49,15 @@ def tenant_storage_quota(
         open_rows = cut_lineage(base.withColumn("_room", F.lit(limit).cast("long")).where("_b <= _room"))
         taken = None
         while largest_group(open_rows, ["_t"]) > fold_rows:
-            summed = Runs(open_rows, ["_t"], ["_ts", "_id"], group_rows).before(_sum=("sum", F.col("_b"))).done()
-            fits = cut_lineage(summed.withColumn("_fits", F.col("_sum") + F.col("_b") <= F.col("_room")))
-            accepted = fits.where("_fits").select("_id")
-            taken = accepted if taken is None else taken.union(accepted)
-            used = fits.groupBy("_t").agg(F.coalesce(F.sum(F.when(F.col("_fits"), F.col("_b"))), F.lit(0)).alias("_used")).withColumnRenamed("_t", "_u")
-            rest = fits.where("not _fits").select("_id", "_t", "_ts", "_b", "_room").join(used, F.col("_t").eqNullSafe(F.col("_u"))).drop("_u")
+            small = F.col("_b") <= F.col("_room") - F.col("_b")
+            runs = Runs(open_rows, ["_t"], ["_ts", "_id"], group_rows).before(_sum=("sum", F.when(small, F.col("_b")).otherwise(0)))
+            fits = F.col("_sum") <= F.col("_room") - F.col("_b")
+            runs.frame = runs.frame.withColumn("_fits", fits).withColumn("_turn", small != fits)
+            seen = cut_lineage(runs.before(_past=("max", F.when(F.col("_turn"), F.lit(1)))).done())
+            accepted = seen.where("_past is null and _fits")
+            taken = accepted.select("_id") if taken is None else taken.union(accepted.select("_id"))
+            used = seen.groupBy("_t").agg(F.sum(F.when(F.col("_past").isNull() & F.col("_fits"), F.col("_b")).otherwise(0)).alias("_used")).withColumnRenamed("_t", "_u")
+            rest = seen.where("_past is not null").select("_id", "_t", "_ts", "_b", "_room").join(used, F.col("_t").eqNullSafe(F.col("_u"))).drop("_u")
             rest = rest.withColumn("_room", F.col("_room") - F.col("_used")).drop("_used")
             open_rows = cut_lineage(rest.where("_b <= _room"))
         queued = open_rows.groupBy("_t").agg(F.first("_room").alias("_room"), F.array_sort(F.collect_list(F.struct("_ts", "_id", "_b"))).alias("_q"))

@@ -114,3 +114,29 @@ def test_assets_of_every_provider(spark):
     azure = [{"id": "v", "tags": {"environment": "Production"}, "properties": {"provisioningState": "Succeeded"}}, {"id": "w"}]
     out = {r.id: r for r in C.norm_asset(spark.createDataFrame([(json.dumps(x),) for x in azure], "value string"), "azure").transform(C.asset_risk).collect()}
     assert out["azure:vm:v"].risk_score == 25 and out["azure:vm:w"].state == "unknown" and out["azure:vm:w"].risk_score == 0
+
+
+def test_storage_quota_rounds_are_few(spark):
+    import random
+
+    from eventlens.operators import tenancy as T
+
+    def greedy(rows, limit):
+        room, kept = {}, set()
+        for n, t, b in rows:
+            left = room.setdefault(t, limit)
+            if b is not None and b <= left:
+                room[t] -= b
+                kept.add(n)
+        return kept
+
+    mixed = random.Random(1)
+    cases = [
+        [(i, "t", 1 if i % 2 == 0 else 300 - i) for i in range(300)],
+        [(i, mixed.choice(["a", None]), mixed.choice([0, 1, 2, 40, 90, 200, None])) for i in range(300)],
+    ]
+    for rows in cases:
+        e = spark.createDataFrame(rows, "event_id long, tenant string, bytes long").withColumn("ts", F.timestamp_seconds("event_id"))
+        for split in (None, 20):
+            out = e.transform(T.tenant_storage_quota(310, fold_rows=3, group_rows=split)).where("accepted").collect()
+            assert {r.event_id for r in out} == greedy(rows, 310)
