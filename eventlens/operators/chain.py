@@ -53,8 +53,8 @@ def alert_risk(alerts: DataFrame) -> DataFrame:
     return risk_score(anomaly_increments(alerts.where("kind = 'anomaly'")))
 
 
-def masked_search(found: DataFrame, role: str, path: str, audit_path: str, details: str = "") -> DataFrame:
+def masked_search(found: DataFrame, role: str, salt: str, path: str, audit_path: str, details: str = "") -> DataFrame:
     """What a role may see of a search result: masked, written to `path`, with one audit row, and read back."""
-    masked = found.transform(mask_by_role(role))
+    masked = found.transform(mask_by_role(role, salt))
     audited_write(masked, path, audit_path, role, "SEARCH", details)
     return found.sparkSession.read.schema(masked.schema).parquet(path)

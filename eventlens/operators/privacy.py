@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from eventlens.functions.fields import string_columns
 
-# Default salt, patterns, policies and sensitive field names.
-SALT = "platform-wide-static-salt-for-deterministic-hashing"
-
+# Patterns, policies and sensitive field names.
 PATTERNS = {
     "EMAIL": r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
     "SSN": r"\b\d{3}-\d{2}-\d{4}\b",
@@ -49,7 +47,7 @@ SENSITIVE_FIELDS = (
 )
 
 
-def mask_hash(col: Column, salt: str = SALT) -> Column:
+def mask_hash(col: Column, salt: str) -> Column:
     """First 16 hex digits of the salted SHA-256."""
     return F.substring(F.sha2(F.concat(col, F.lit(salt)), 256), 1, 16)
 
@@ -74,17 +72,20 @@ def mask_patterns(col: Column) -> Column:
 STRATEGIES = {
     "clear": lambda c: c,
     "redact": lambda c: F.when(c.isNotNull(), "[REDACTED]"),
-    "hash": mask_hash,
     "partial": mask_partial,
 }
 
 
-def mask_by_role(role: str, policies: dict[str, dict[str, str]] = POLICIES):
-    """Mask every string column as the role's policy says; an unknown role counts as analyst."""
+def mask_by_role(role: str, salt: str, policies: dict[str, dict[str, str]] = POLICIES):
+    """Mask every string column as the role's policy says; an unknown role counts as analyst.
+
+    `salt` is a secret, other than that of the tokens: with one salt for both, hashes would show which token is whose.
+    """
     policy = policies.get(role.lower(), policies["analyst"])
+    strategies = STRATEGIES | {"hash": lambda c: mask_hash(c, salt)}
 
     def apply(df: DataFrame) -> DataFrame:
-        masked = {n: STRATEGIES.get(policy.get(n, policy.get("*")), mask_patterns)(F.col(f"`{n}`")) for n in string_columns(df)}
+        masked = {n: strategies.get(policy.get(n, policy.get("*")), mask_patterns)(F.col(f"`{n}`")) for n in string_columns(df)}
         return df.select(*[masked[n].alias(n) if n in masked else F.col(f"`{n}`") for n in df.columns])
 
     return apply
@@ -96,13 +97,13 @@ def token_of(col: Column, salt: str) -> Column:
     return F.when(col == "", "").otherwise(token)
 
 
-def tokenize_pii(*columns: str, salt: str = SALT):
+def tokenize_pii(*columns: str, salt: str):
     """Replace the columns (default email, ssn) by tokens; see `token_vault` for the way back."""
     names = columns or ("email", "ssn")
     return lambda df: df.withColumns({n: token_of(F.col(n), salt) for n in names if n in df.columns})
 
 
-def token_vault(df: DataFrame, *columns: str, salt: str = SALT) -> DataFrame:
+def token_vault(df: DataFrame, *columns: str, salt: str) -> DataFrame:
     """Distinct (token, value) pairs, to be written to a protected table."""
     names = [n for n in (columns or ("email", "ssn")) if n in df.columns]
     values = df.select(F.explode(F.array(*names)).alias("value")).where("value is not null and value <> ''").distinct()

@@ -26,7 +26,7 @@ def ingested(spark, sf):
     e = e.withColumn("email", F.concat("user", F.lit("@example.com"))).withColumn("file_hash", F.md5("process_name"))
     context = E.enrich_user(QD.user_table(spark, sf)), E.enrich_asset(QD.asset_table(spark, sf)), E.enrich_threat(QD.threat_table(spark, sf))
     path = new_path(spark, "ingested")
-    sink_event_store(e.transform(H.ingest(R.DETECTION_RULES, QP.SALT, *context)), path, by="day")
+    sink_event_store(e.transform(H.ingest(R.DETECTION_RULES, QP.TOKEN_SALT, *context)), path, by="day")
     return spark.read.parquet(path)
 
 
@@ -38,7 +38,7 @@ RULES_MET = "['auth-001', 'file-001', 'net-001'], [category = 'authentication' A
 
 @query(
     "ingest_pipeline",
-    W + f""", {CONTEXT} SELECT event_id, tenant AS tenant_id, 'detok_' || {QP.hash_sql("(user_name || '@example.com')")} AS email, c_name AS user_full_name, 'owner-' || owner AS asset_owner,
+    W + f""", {CONTEXT} SELECT event_id, tenant AS tenant_id, 'detok_' || {QP.hash_sql("(user_name || '@example.com')", QP.TOKEN_SALT)} AS email, c_name AS user_full_name, 'owner-' || owner AS asset_owner,
     CAST(ip_threat % 2 = 0 AS VARCHAR) AS dst_ip_threat_malicious, array_to_string(list_where({RULES_MET}), ',') AS detections FROM chained""",
 )
 def _(spark, sf):
@@ -81,4 +81,4 @@ def _(spark, sf):
     {QP.masked_sql('"user"')} AS "user", {QP.masked_sql('action')} AS action, {QP.masked_sql('message')} AS message FROM pii WHERE action = 'en'""",
 )
 def _(spark, sf):
-    return H.masked_search(QP.pii_rows(spark, sf).transform(search_field(action="en")), "analyst", new_path(spark, "masked"), new_path(spark, "search-audit"))
+    return H.masked_search(QP.pii_rows(spark, sf).transform(search_field(action="en")), "analyst", QP.MASK_SALT, new_path(spark, "masked"), new_path(spark, "search-audit"))

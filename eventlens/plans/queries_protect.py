@@ -12,7 +12,7 @@ from eventlens.plans.catalog import query
 from eventlens.plans.tables import SEC, sec_events, table
 
 W = f"WITH {SEC} "
-SALT = V.SALT
+MASK_SALT, TOKEN_SALT = "salt of the masks", "salt of the tokens"
 
 PII_COLUMNS = {
     "doc_id": "doc_id",
@@ -38,8 +38,8 @@ def masked_sql(col):
     return f"regexp_replace({col}, '{V.API_KEY}', '\\1********', 'g')"
 
 
-def hash_sql(col):
-    return f"substring(sha256({col} || '{SALT}'), 1, 16)"
+def hash_sql(col, salt=MASK_SALT):
+    return f"substring(sha256({col} || '{salt}'), 1, 16)"
 
 
 PARTIAL = """CASE WHEN contains({c}, '.') THEN CASE WHEN len(string_split({c}, '.')) = 4 THEN array_to_string(string_split({c}, '.')[1:3], '.') || '.xxx' ELSE '[MASKED_IP]' END
@@ -54,13 +54,13 @@ PARTIAL = """CASE WHEN contains({c}, '.') THEN CASE WHEN len(string_split({c}, '
     UNION ALL SELECT 'admin', * FROM pii""",
 )
 def _(spark, sf):
-    views = [pii_rows(spark, sf).transform(V.mask_by_role(r)).withColumn("role", F.lit(r)) for r in ("Analyst", "auditor", "admin")]
+    views = [pii_rows(spark, sf).transform(V.mask_by_role(r, MASK_SALT)).withColumn("role", F.lit(r)) for r in ("Analyst", "auditor", "admin")]
     return views[0].union(views[1]).union(views[2]).withColumn("role", F.lower("role"))
 
 
 @query("mask_hash", f"WITH {PII} SELECT doc_id, {hash_sql('email')} AS masked FROM pii")
 def _(spark, sf):
-    return pii_rows(spark, sf).select("doc_id", V.mask_hash(F.col("email")).alias("masked"))
+    return pii_rows(spark, sf).select("doc_id", V.mask_hash(F.col("email"), MASK_SALT).alias("masked"))
 
 
 @query("mask_partial", f"WITH {PII} SELECT doc_id, {PARTIAL.format(c='src_ip')} AS a, {PARTIAL.format(c='dst_ip')} AS b, {PARTIAL.format(c='phone')} AS c FROM pii")
@@ -73,16 +73,16 @@ def _(spark, sf):
     return pii_rows(spark, sf).select("doc_id", V.mask_patterns(F.col("message")).alias("masked"))
 
 
-@query("tokenize_pii", f"WITH {PII} SELECT doc_id, 'detok_' || {hash_sql('email')} AS email, 'detok_' || {hash_sql('ssn')} AS ssn FROM pii")
+@query("tokenize_pii", f"WITH {PII} SELECT doc_id, 'detok_' || {hash_sql('email', TOKEN_SALT)} AS email, 'detok_' || {hash_sql('ssn', TOKEN_SALT)} AS ssn FROM pii")
 def _(spark, sf):
-    return pii_rows(spark, sf).transform(V.tokenize_pii()).select("doc_id", "email", "ssn")
+    return pii_rows(spark, sf).transform(V.tokenize_pii(salt=TOKEN_SALT)).select("doc_id", "email", "ssn")
 
 
 @query("detokenize", f"WITH {PII} SELECT doc_id, email, ssn FROM pii")
 def _(spark, sf):
     rows = pii_rows(spark, sf)
-    vault = V.token_vault(rows)
-    return rows.transform(V.tokenize_pii()).transform(E.detokenize(vault, "email", "ssn")).select("doc_id", "email", "ssn")
+    vault = V.token_vault(rows, salt=TOKEN_SALT)
+    return rows.transform(V.tokenize_pii(salt=TOKEN_SALT)).transform(E.detokenize(vault, "email", "ssn")).select("doc_id", "email", "ssn")
 
 
 KEY = "000102030405060708090a0b0c0d0e0f"

@@ -44,7 +44,7 @@ def test_alert_risk(spark):
 def test_masked_search_leaves_an_audit_row(spark):
     found = spark.createDataFrame([(1, "a@b.com", "1.2.3.4")], "id long, email string, src_ip string")
     trail = new_path(spark, "trail")
-    out = H.masked_search(found, "analyst", new_path(spark, "masked"), trail, "q").collect()
+    out = H.masked_search(found, "analyst", "s", new_path(spark, "masked"), trail, "q").collect()
     assert len(out) == 1 and out[0].email != "a@b.com" and out[0].src_ip == "1.2.3.xxx"
     audit = spark.read.parquet(trail).collect()
     assert [(a.actor, a.action, a.status, a.rows, a.details) for a in audit] == [("analyst", "SEARCH", "success", 1, "q")]

@@ -70,14 +70,14 @@ def test_masking(spark):
     parts = spark.createDataFrame([("1.2.3.4",), ("a.b",), ("longvalue",), ("short",), (None,)], "v string")
     assert [r[0] for r in parts.select(V.mask_partial(F.col("v"))).collect()] == ["1.2.3.xxx", "[MASKED_IP]", "lo...ue", "[MASKED]", None]
     row = spark.createDataFrame([("u", "s@x.org", 5)], "user string, email string, n int")
-    assert tuple(row.transform(V.mask_by_role("auditor")).first()) == ("u", "[REDACTED]", 5)
-    assert tuple(row.transform(V.mask_by_role("nobody")).first()) == tuple(row.transform(V.mask_by_role("ANALYST")).first())
+    assert tuple(row.transform(V.mask_by_role("auditor", "s")).first()) == ("u", "[REDACTED]", 5)
+    assert tuple(row.transform(V.mask_by_role("nobody", "s")).first()) == tuple(row.transform(V.mask_by_role("ANALYST", "s")).first())
 
 
 def test_tokens_and_encryption(spark):
     df = spark.createDataFrame([(1, "a@x.org", "1"), (2, "", None)], "id long, email string, phone string")
-    vault = V.token_vault(df, "email", "phone")
-    back = df.transform(V.tokenize_pii("email", "phone")).transform(E.detokenize(vault, "email", "phone"))
+    vault = V.token_vault(df, "email", "phone", salt="s")
+    back = df.transform(V.tokenize_pii("email", "phone", salt="s")).transform(E.detokenize(vault, "email", "phone"))
     assert sorted(back.collect()) == sorted(df.collect())
     sealed = df.transform(V.encrypt_fields("00" * 16))
     assert sealed.where("id = 1").first().email.startswith("encrypted:")
