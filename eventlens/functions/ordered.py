@@ -29,7 +29,7 @@ GROUP_ROWS = 1_000_000
 RUN_ROWS = 4_000_000
 MAX_RUNS = 50_000
 SINGLE_ROWS = 200_000
-FOLD_ROWS = 10_000
+FOLD_ROWS = 50_000
 
 
 def group_sizes(df: DataFrame, keys: list[str], limit: int) -> tuple[int, int]:
