@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from eventlens.llm import quality_machine, secret_forest
 from eventlens.llm.common import stored, table
 from eventlens.llm.curriculum import mixed
+from eventlens.llm.near_copies import first_of_each
 from eventlens.llm.pieces import encoded
 from eventlens.llm.queries import PIECES
-from eventlens.llm.simhash import simhash_groups
 
 #: A model has no SQL form.
 ORACLE_SQL = None
@@ -32,15 +32,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id.
+    """One document of each group of near copies, word shingles of five and similarity 0.8: the one with the smallest doc_id.
 
-    Rows that repeat id and text become one; of a group without ids, one row for each different text stays.
+    Rows that repeat id and text become one. Of a group without ids one row stays.
     """
-    groups = simhash_groups(docs)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
+    first = first_of_each(docs).select(F.col("doc_id").alias("_first"), F.col("tie").alias("_t"))
     order = Window.partitionBy("doc_id", "_tie").orderBy(F.lit(0))
     rows = _packed(docs).withColumn("_tie", F.xxhash64("text"))
-    return rows.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1").select("_row.*")
+    kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("_tie") == F.col("_t")), "left_semi")
+    return kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("_row.*")
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
