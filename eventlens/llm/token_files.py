@@ -34,6 +34,8 @@ BLOCK_IDS = 1 << 18
 RUN_BYTES = 4 << 20
 WORDS_KEPT = 400_000
 WORDS = re.compile(r"\s+(?!\S)| ?\S+|\s")
+#: Letters and digits before which the pre-tokenizer surely cuts: not symbols or marks, and no letters newer than its tables.
+PLAIN = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() or "0" <= c <= "9")
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -63,7 +65,7 @@ class Tokenizer:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: set[str]) -> None:
-        """Enter words that the table lacks. Trailing punctuation is a token of its own and is asked for apart."""
+        """Enter words that the table lacks. Punctuation after a last letter or digit never joins it and is asked for apart."""
         known, before = self.known, self.before
         missing, cut = set(), {}
         for w in words:
@@ -71,7 +73,7 @@ class Tokenizer:
                 known.put(w, before.ids(w))
                 continue
             stem = w.rstrip(PUNCTUATION)
-            if len(stem) < len(w) and stem.strip():
+            if len(stem) < len(w) and stem[-1:] in PLAIN:
                 cut[w] = stem, w[len(stem) :]
                 missing.update(cut[w])
             else:

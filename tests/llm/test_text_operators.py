@@ -243,6 +243,13 @@ def test_tokens_like_the_library():
     assert [x.tolist() for x in model.encode(texts)] == model.whole(texts)
 
 
+def test_punctuation_after_symbols_like_the_library():
+    model = token_files.Tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    words = [' wait…"', "…)", '—"', "—-", "®,", "™:", " […]", "e\u0301,", "½.", "é,", "中.", "x\u200d,", "don't.", "l',", "Ⅷ,", "ª.", "²)", "²)…)", "a…).", "_.", "×,", "÷)"]
+    texts = ["plain first text", *words, *(f"so{a}{b} end" for a in words for b in words)]
+    assert [x.tolist() for x in model.encode(texts)] == model.whole(texts)
+
+
 def test_weighted_sampling(docs, documents, empty):
     ordered = [r for r in sorted(documents, key=lambda r: -1 if r[0] is None else r[0]) if r[0] is not None]
     rows = edited_fingerprints(docs).collect()
