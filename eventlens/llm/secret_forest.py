@@ -15,17 +15,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventlens.llm.common import runs, text_buffer
+from eventlens.llm.common import runs, stored, text_buffer
 
 LEAST = 16
 RUN_BYTES = 4 << 20
 AROUND = 48
 SAMPLE = 1_500
 FINDINGS = 6_000
+PER_TEXT = 32
 MASK = b"[SECRET]"
 TOKEN = np.zeros(256, bool)
 TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_=.-"]] = True
@@ -176,7 +178,8 @@ def labelled_findings(docs: DataFrame, sample: int = SAMPLE, findings: int = FIN
 
     The tables have no reviewed findings. So a candidate assigned to a name such as token or key is taken as a confirmed
     secret, if it has letters and digits mixed; every other candidate is a false positive. Half of the documents
-    have such a name, the others are any; the lowest hashes come first.
+    have such a name, the others are any; the lowest hashes come first. Each class has half of `findings` to itself, and
+    of one text at most PER_TEXT of a class.
     """
     chosen = lowest(docs, sample, F.col("text").rlike(HINT)).unionByName(lowest(docs, sample))
 
@@ -186,14 +189,19 @@ def labelled_findings(docs: DataFrame, sample: int = SAMPLE, findings: int = FIN
             found = []
             for i in range(batch.num_rows):
                 text = data[offsets[i] : offsets[i + 1]].tobytes()
+                of_text: tuple[list, list] = ([], [])
                 for a, b in candidates(data, offsets[i : i + 2])[0]:
                     a, b = trimmed(text, a, b)
                     value, before = text[a:b], text[max(0, a - AROUND) : a]
                     secret = bool(ASSIGNED.search(before)) and any(48 <= c <= 57 for c in value) and any(c >= 65 for c in value)
-                    found.append((value[:256], before, text[b : b + AROUND], int(secret)))
+                    of_text[secret].append((value[:256], before, text[b : b + AROUND], int(secret)))
+                for both in of_text:
+                    found += sorted(both, key=lambda f: xxhash.xxh64_intdigest(f[0] + f[1]))[:PER_TEXT]
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary() if k < 3 else pa.int32()) for k in range(4)], ["value", "before", "after", "label"])
 
-    return chosen.select("text").mapInArrow(of_batches, "value binary, before binary, after binary, label int").orderBy(F.desc("label"), F.xxhash64("value", "before")).limit(findings)
+    made = stored(chosen.select("text").mapInArrow(of_batches, "value binary, before binary, after binary, label int"), "findings")
+    of_class = [made.where(F.col("label") == k).orderBy(F.xxhash64("value", "before")).limit(findings // 2) for k in (0, 1)]
+    return of_class[0].unionByName(of_class[1])
 
 
 def dictionary(docs: DataFrame, sample: int = SAMPLE, least: int = 3) -> set[bytes]:
@@ -224,6 +232,8 @@ def learned(docs: DataFrame, findings: DataFrame | None = None) -> Forest:
         value, before, after = (bytes(r[k]) for k in ("value", "before", "after"))
         x += [seen(value, before, after, words), seen(value, b" ", b" ", words) if r["label"] else seen(value, b'token = "', b'" ', words)]
         y += [r["label"], r["label"]]
+    if 1 in y and 0 not in y:
+        raise ValueError("secrets but no false positives among the findings: nothing to tell them apart by")
     return grown(np.array(x, float).reshape(-1, len(SEEN)), np.array(y), words)
 
 

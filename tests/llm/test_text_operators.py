@@ -194,6 +194,18 @@ def test_secret_forest(docs, documents, empty):
     assert not any(r.secrets for r in secret_forest.scanned(docs, secret_forest.learned(empty)).collect())
 
 
+def test_findings_have_both_classes(spark):
+    rng = random.Random(7)
+    dump = " ".join(f'token = "{rng.randbytes(20).hex()}"' for _ in range(300))
+    texts = [dump, *(f'a{i} token = "{rng.randbytes(20).hex()}" in /usr/share/lib{i}/some_long_name{i}' for i in range(40))]
+    rows = secret_forest.labelled_findings(spark.createDataFrame([(t,) for t in texts], "text string"), findings=60).collect()
+    assert Counter(r.label for r in rows) == {0: 30, 1: 30}
+    everything = secret_forest.labelled_findings(spark.createDataFrame([(t,) for t in texts], "text string")).distinct().collect()
+    assert sum(r.label for r in everything) == 40 + secret_forest.PER_TEXT
+    with pytest.raises(ValueError):
+        secret_forest.learned(spark.createDataFrame([(dump,)], "text string"))
+
+
 def test_pieces(docs, documents, empty):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     want = Counter((d[0], tuple(ids := library.encode(d[1] or "")), library.decode(ids)) for d in documents)
