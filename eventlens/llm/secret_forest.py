@@ -1,6 +1,7 @@
 """Secret scans: a random forest removes false positives among strings that look like credentials.
 
-Candidates are runs of 16 or more of the characters keys are written in. The forest judges each by its length,
+Candidates are runs of 16 or more of the characters keys are written in, whole values assigned to names such as token or
+password, and passwords in addresses, of any printable characters. The forest judges each by its length,
 its character transitions, how much of it a dictionary covers, whether it stands in a path or address, and the
 words next to it.
 """
@@ -33,6 +34,9 @@ TOKEN = np.zeros(256, bool)
 TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_=.-"]] = True
 NAMED = re.compile(rb"(?i)(key|token|secret|passw|pwd|auth|bearer|credential|api|private)")
 ASSIGNED = re.compile(rb"(?i)(?:key|token|secret|passw(?:or)?d|pwd|auth|bearer|credential)\w*[\"']?\s*[=:]\s*[\"']?$")
+#: The value after such a name: quoted, or up to white space. Bounds on the name keep the search linear.
+VALUE = re.compile(rb"(?i)(?:key|token|secret|passw(?:or)?d|pwd|auth|bearer|credential)\w{0,32}[\"']?\s{0,16}(?:=>|:=|[=:])\s{0,16}(?:(?:bearer|basic)\s{1,16})?(?:\"([^\"\r\n]{4,})\"|'([^'\r\n]{4,})'|([^\s\"'][^\s]{3,}))")
+ADDRESS = re.compile(rb"://[^\s/:@]{0,256}:([^\s/]{4,})@")
 HINT = r"(?i)(key|token|secret|passw(or)?d|pwd|auth|bearer|credential)\w*[\"']?\s*[=:]"
 SEEN = ("length", "digits", "upper", "lower", "symbols", "entropy", "class changes", "known pairs", "covered", "hex", "slashes", "dots", "address", "named before", "assigned", "quoted", "words before", "words after")
 
@@ -65,6 +69,40 @@ def trimmed(text: bytes, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
+def assigned(text: bytes) -> list[tuple[int, int]]:
+    """Spans of whole values after names of secrets, and of passwords in addresses."""
+    out = []
+    for m in VALUE.finditer(text) if NAMED.search(text) else ():
+        a, b = m.span(m.lastindex)
+        if m.lastindex == 3:
+            while b > a and text[b - 1] in b",;\"'":
+                b -= 1
+        if b - a >= 4:
+            out.append((a, b))
+    return out + ([m.span(1) for m in ADDRESS.finditer(text)] if b"://" in text else [])
+
+
+def spans_of(text: bytes, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """All different candidates of a text: its runs without marks at their ends, and assigned values as they stand."""
+    return sorted({*(trimmed(text, *s) for s in found), *assigned(text)})
+
+
+def merged(found: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """Findings that overlap become one."""
+    out: list[tuple[int, int, float]] = []
+    for s, e, p in found:
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]), max(p, out[-1][2]))
+        else:
+            out.append((s, e, p))
+    return out
+
+
+def shorter(value: bytes) -> bytes:
+    """The first 6 to 20 bytes, by the value's hash."""
+    return value[: 6 + xxhash.xxh64_intdigest(value) % 15]
+
+
 def kind(b: int) -> int:
     return 0 if 48 <= b <= 57 else 1 if 65 <= b <= 90 else 2 if 97 <= b <= 122 else 3
 
@@ -190,9 +228,10 @@ def labelled_findings(docs: DataFrame, sample: int = SAMPLE, findings: int = FIN
             for i in range(batch.num_rows):
                 text = data[offsets[i] : offsets[i + 1]].tobytes()
                 of_text: tuple[list, list] = ([], [])
-                for a, b in candidates(data, offsets[i : i + 2])[0]:
-                    a, b = trimmed(text, a, b)
+                for a, b in spans_of(text, candidates(data, offsets[i : i + 2])[0]):
                     value, before = text[a:b], text[max(0, a - AROUND) : a]
+                    if (ASSIGNED.search(before) or before[-1:] == b":") and not any(48 <= c <= 57 for c in value):
+                        continue  # a password or a word: no label
                     secret = bool(ASSIGNED.search(before)) and any(48 <= c <= 57 for c in value) and any(c >= 65 for c in value)
                     of_text[secret].append((value[:256], before, text[b : b + AROUND], int(secret)))
                 for both in of_text:
@@ -223,7 +262,7 @@ def learned(docs: DataFrame, findings: DataFrame | None = None) -> Forest:
     """A forest from labelled findings (value, before, after, label), by default those of `labelled_findings`.
 
     Every secret is also shown without its neighbours, so that its form counts too, and every false positive also as if
-    assigned, so that the name alone doesn't.
+    assigned, so that the name alone doesn't. Both are shown cut short after a name, so that length doesn't decide.
     """
     words = dictionary(docs)
     rows = (labelled_findings(docs) if findings is None else findings).collect()
@@ -231,7 +270,8 @@ def learned(docs: DataFrame, findings: DataFrame | None = None) -> Forest:
     for r in sorted(rows, key=lambda r: (bytes(r["value"]), bytes(r["before"]), bytes(r["after"]))):
         value, before, after = (bytes(r[k]) for k in ("value", "before", "after"))
         x += [seen(value, before, after, words), seen(value, b" ", b" ", words) if r["label"] else seen(value, b'token = "', b'" ', words)]
-        y += [r["label"], r["label"]]
+        x.append(seen(shorter(value), b'password = "', b'" ', words))
+        y += [r["label"]] * 3
     if 1 in y and 0 not in y:
         raise ValueError("secrets but no false positives among the findings: nothing to tell them apart by")
     return grown(np.array(x, float).reshape(-1, len(SEEN)), np.array(y), words)
@@ -259,10 +299,11 @@ def scanned(docs: DataFrame, model: Forest, keep: tuple[str, ...] = ("doc_id",),
                 for i, spans in enumerate(candidates(data, offsets[a : b + 1]), a):
                     text = data[offsets[i] : offsets[i + 1]].tobytes()
                     found = []
+                    spans = spans_of(text, spans)
                     if spans:
-                        spans = [trimmed(text, *s) for s in spans]
                         x = np.array([seen(text[s:e], text[max(0, s - AROUND) : s], text[e : e + AROUND], model.words) for s, e in spans])
                         found = [(s, e, float(p)) for (s, e), p in zip(spans, model.score(x).tolist(), strict=True) if p >= least]
+                        found = merged(found)
                         for s, e, _ in reversed(found):
                             text = text[:s] + MASK + text[e:]
                     counts.append(len(spans))

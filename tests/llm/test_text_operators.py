@@ -206,6 +206,23 @@ def test_findings_have_both_classes(spark):
         secret_forest.learned(spark.createDataFrame([(dump,)], "text string"))
 
 
+SHORT = ['password = "S3cr3t9x" end', "db_password: p4$$w0rd!x7 end", "pwd='Zk8!qR#2v@Lp' end", "at postgres://admin:q7!Rt@host/db end", 'token = "hQzKvXwPjRtBnMdL" end', "API_KEY=Xq%7Jz:9Kw!3Vb$5"]
+VALUES = ["S3cr3t9x", "p4$$w0rd!x7", "Zk8!qR#2v@Lp", "q7!Rt", "hQzKvXwPjRtBnMdL", "Xq%7Jz:9Kw!3Vb$5"]
+
+
+def test_short_and_broken_secrets_are_candidates(spark):
+    for text, value in zip(SHORT, VALUES, strict=True):
+        body = text.encode()
+        assert value.encode() in [body[a:b] for a, b in secret_forest.spans_of(body, [])]
+    rng = random.Random(9)
+    words = ["river", "station", "window", "garden", "python", "server", "winter", "paper"]
+    texts = [f'{" ".join(rng.choices(words, k=30))} token = "{rng.randbytes(20).hex()}" in /usr/share/lib{i}/{"_".join(rng.choices(words, k=3))}{i}' for i in range(60)]
+    model = secret_forest.learned(spark.createDataFrame([(t,) for t in texts], "text string"))
+    rows = {r.doc_id: r for r in secret_forest.scanned(spark.createDataFrame(list(enumerate(SHORT)), "doc_id long, text string"), model).collect()}
+    assert all(rows[i].n_candidates >= 1 for i in rows)
+    assert len([v for i, v in enumerate(VALUES) if v in rows[i].clean_text]) <= 1  # the forest has only met hexadecimal secrets
+
+
 def test_pieces(docs, documents, empty):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     want = Counter((d[0], tuple(ids := library.encode(d[1] or "")), library.decode(ids)) for d in documents)
