@@ -29,6 +29,11 @@ AROUND = 48
 SAMPLE = 1_500
 FINDINGS = 6_000
 PER_TEXT = 32
+#: A group of letters is known if this share of all texts has it.
+SHARE = 1 / 2_000
+GROUPS = 26**2 + 26**3
+LETTER = np.full(256, -1)
+LETTER[97:123] = LETTER[65:91] = np.arange(26)
 MASK = b"[SECRET]"
 TOKEN = np.zeros(256, bool)
 TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_=.-"]] = True
@@ -103,6 +108,15 @@ def shorter(value: bytes) -> bytes:
     return value[: 6 + xxhash.xxh64_intdigest(value) % 15]
 
 
+def password(value: bytes) -> bytes:
+    """A made password of 5 to 20 printable characters, letters and digits, or letters, by the value's hash."""
+    h = xxhash.xxh64_intdigest(value, 1)
+    alphabet = (bytes(range(33, 127)).replace(b'"', b""), b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+    chosen = (alphabet[0], alphabet[1] + b"0123456789", alphabet[1])[h % 3]
+    rng = np.random.default_rng(h)
+    return bytes(rng.choice(np.frombuffer(chosen, np.uint8), 5 + h // 3 % 16))
+
+
 def kind(b: int) -> int:
     return 0 if 48 <= b <= 57 else 1 if 65 <= b <= 90 else 2 if 97 <= b <= 122 else 3
 
@@ -243,26 +257,51 @@ def labelled_findings(docs: DataFrame, sample: int = SAMPLE, findings: int = FIN
     return of_class[0].unionByName(of_class[1])
 
 
-def dictionary(docs: DataFrame, sample: int = SAMPLE, least: int = 3) -> set[bytes]:
-    """Pairs and triples of letters in the lower-cased words of at most `sample` documents; at most 26**2 + 26**3."""
-    words = lowest(docs, sample)
-    grams = (
-        words.select(F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("w"))
-        .where("length(w) >= 3")
-        .select(F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.array(F.substring(F.col("w"), i, F.lit(2)), F.substring(F.col("w"), i, F.lit(3)))))).alias("g"))
-        .where("length(g) >= 2")
-        .groupBy("g")
-        .count()
-        .where(F.col("count") >= least)
-    )
-    return {r["g"].encode() for r in grams.select("g").collect()}
+def letter_groups(data: np.ndarray, offsets: np.ndarray, docs: int = 128) -> np.ndarray:
+    """The number of texts that have each pair (first, second) and triple of letters in a word of three letters or more."""
+    total = np.zeros(GROUPS, np.int64)
+    for i in range(0, len(offsets) - 1, docs):
+        cut = offsets[i : i + docs + 1]
+        letter = LETTER[data[cut[0] : cut[-1]]]
+        if len(letter) < 3:
+            continue
+        of = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+        at = np.nonzero((letter[:-2] >= 0) & (letter[1:-1] >= 0) & (letter[2:] >= 0) & (of[:-2] == of[2:]))[0]
+        x, y, z = (letter[at + k] for k in range(3))
+        met = np.zeros((len(cut) - 1, GROUPS), bool)
+        met[of[at], x * 26 + y] = met[of[at], y * 26 + z] = met[of[at], 26**2 + (x * 26 + y) * 26 + z] = True
+        total += met.sum(axis=0)
+    return total
+
+
+def dictionary(docs: DataFrame, share: float = SHARE) -> set[bytes]:
+    """Pairs and triples of letters in the lower-cased words of at least `share` of all texts, two at least; at most 26**2 + 26**3."""
+
+    def of_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(GROUPS, np.int64), 0
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(0))
+            for a, b in runs(offsets, RUN_BYTES):
+                total += letter_groups(data, offsets[a : b + 1])
+            n += batch.num_rows
+        used = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(total[used], n))], ["g", "n"])
+
+    counts = docs.select(F.col("text").cast("string")).where("text IS NOT NULL").mapInArrow(of_batches, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()
+    n = sum(r["n"] for r in counts if r["g"] < 0)
+    return {_group(r["g"]) for r in counts if r["g"] >= 0 and r["n"] >= max(2, share * n)}
+
+
+def _group(g: int) -> bytes:
+    return bytes([97 + g // 26, 97 + g % 26]) if g < 26**2 else bytes([97 + (g - 26**2) // 26**2, 97 + (g - 26**2) // 26 % 26, 97 + (g - 26**2) % 26])
 
 
 def learned(docs: DataFrame, findings: DataFrame | None = None) -> Forest:
     """A forest from labelled findings (value, before, after, label), by default those of `labelled_findings`.
 
     Every secret is also shown without its neighbours, so that its form counts too, and every false positive also as if
-    assigned, so that the name alone doesn't. Both are shown cut short after a name, so that length doesn't decide.
+    assigned, so that the name alone doesn't. Both are shown cut short after a name, so that length doesn't decide, and for every
+    secret a made password, as the tables have none.
     """
     words = dictionary(docs)
     rows = (labelled_findings(docs) if findings is None else findings).collect()
@@ -272,6 +311,9 @@ def learned(docs: DataFrame, findings: DataFrame | None = None) -> Forest:
         x += [seen(value, before, after, words), seen(value, b" ", b" ", words) if r["label"] else seen(value, b'token = "', b'" ', words)]
         x.append(seen(shorter(value), b'password = "', b'" ', words))
         y += [r["label"]] * 3
+        if r["label"]:
+            x.append(seen(password(value), b'password = "', b'" ', words))
+            y.append(1)
     if 1 in y and 0 not in y:
         raise ValueError("secrets but no false positives among the findings: nothing to tell them apart by")
     return grown(np.array(x, float).reshape(-1, len(SEEN)), np.array(y), words)

@@ -223,6 +223,19 @@ def test_short_and_broken_secrets_are_candidates(spark):
     assert len([v for i, v in enumerate(VALUES) if v in rows[i].clean_text]) <= 1  # the forest has only met hexadecimal secrets
 
 
+def test_dictionary_counts_all_texts(spark, documents):
+    rows = [(f"the usual words of text {i}",) for i in range(4000)] + [(f"zxqwk rare language {i}",) for i in range(8)]
+    known = secret_forest.dictionary(spark.createDataFrame(rows, "text string").repartition(3))
+    assert {b"zx", b"zxq", b"qwk", b"wk"} <= known and b"of" not in known
+    texts = [(r[1] or "").encode() for r in documents]
+    made = secret_forest.letter_groups(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), 7)
+    want = Counter()
+    for t in texts:
+        words = [w for w in re.split(b"[^a-z]+", t.lower()) if len(w) >= 3]
+        want.update({w[i : i + k] for w in words for k in (2, 3) for i in range(len(w) - k + 1)})
+    assert {secret_forest._group(i): n for i, n in enumerate(made.tolist()) if n} == want
+
+
 def test_pieces(docs, documents, empty):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     want = Counter((d[0], tuple(ids := library.encode(d[1] or "")), library.decode(ids)) for d in documents)
