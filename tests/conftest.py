@@ -1,6 +1,5 @@
 import os
 import sys
-from datetime import datetime, timedelta
 from pathlib import Path
 
 import pytest
@@ -26,10 +25,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-START = datetime(2024, 1, 1)
-
-
-def at(seconds):
-    return START + timedelta(seconds=seconds)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import at
+from times import at
 from eventlens.operators import behavior as B
 from eventlens.operators import risk as K
 

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import at
+from times import at
 from eventlens.operators import alerts as L
 from eventlens.operators import correlate as C
 from eventlens.operators import enrich as E

@@ -1,6 +1,6 @@
 """Cases in which results once depended on limits, types or the way rows were grouped."""
 
-from conftest import at
+from times import at
 from pyspark.sql import functions as F
 
 from eventlens.operators import enrich as E

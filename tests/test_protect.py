@@ -4,7 +4,7 @@ import hmac
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import at
+from times import at
 from eventlens.operators import cloud as C
 from eventlens.operators import enrich as E
 from eventlens.operators import graph as G

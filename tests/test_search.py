@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import at
+from times import at
 from eventlens.functions.spans import span_seconds
 from eventlens.operators import search as S
 from eventlens.operators import shape as P
