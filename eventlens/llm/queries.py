@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventlens.llm import anchor_codes, filter_audit
 from eventlens.llm.adaptive_scan import nearest
 from eventlens.llm.common import held_out, table
 from eventlens.llm.curriculum import plan_mix
@@ -116,3 +117,83 @@ def op5_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_huffman_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), BYTES).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
+
+
+ORACLES["op12_filter_audit"] = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false)::INT AS good, coalesce(toxic, false)::INT AS toxic, [
+    len(words) < 100,
+    100 * len(list_distinct(words)) < 80 * len(words),
+    100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text),
+    regexp_matches(text, '[#$%&*|]'),
+    coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY text), false)
+  ] AS fails FROM w LEFT JOIN l ON w.doc_id = l.doc_id
+),
+g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+n AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+o AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS ord FROM n a, n b, n c, n d, n e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+),
+s AS (SELECT ord, n.i AS step, ord[n.i] AS filter, ord[1 : n.i - 1] AS before FROM o, n),
+r AS (
+  SELECT part, ord, step, filter,
+    sum(CASE WHEN NOT fails[filter] AND NOT gone THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN fails[filter] AND NOT gone THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN fails[filter] AND gone THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails[filter] AND len(list_filter(fails, lambda x: x)) = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN fails[filter] AND NOT gone THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN fails[filter] AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost
+  FROM (SELECT *, len(list_filter(before, lambda x: fails[x])) > 0 AS gone FROM g, s) GROUP BY part, ord, step, filter
+)
+SELECT part, array_to_string(list_transform(ord, lambda x: 'ABCDE'[x]), '') AS filter_order, step::INTEGER AS step,
+  kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley
+FROM r
+"""
+
+
+@query
+def op13_anchor_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = anchor_codes.compressed(table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(anchor_codes.digest(books)).alias("codebooks_sha256"))
+
+
+_MOVED = """(
+  SELECT b.p, b.j, coalesce(m.c, b.c) AS c FROM {books} b LEFT JOIN (
+    SELECT p, j, list(floor(t / n)::BIGINT ORDER BY i) AS c FROM (
+      SELECT p, a.j AS j, i, sum(v[i])::DOUBLE AS t, count(*) AS n FROM {assigned}, unnest(range(1, len(v) + 1)) u(i) GROUP BY ALL
+    ) GROUP BY p, j
+  ) m ON b.p = m.p AND b.j = m.j
+)"""
+_ASSIGNED = """(
+  SELECT row, s.p, any_value(v) AS v, min({{'d': list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - c[i]) * (v[i] - c[i]))), 'j': j}}) AS a
+  FROM s JOIN {books} b ON s.p = b.p GROUP BY row, s.p
+)"""
+ORACLES["op13_anchor_codes"] = f"""
+WITH k AS (
+  SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id) AS row FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT row, p, list_transform(embedding[p * (len(embedding) // 16) + 1 : (p + 1) * (len(embedding) // 16)], lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM k, unnest(range(16)) u(p)
+), b0 AS (SELECT p, row - 1 AS j, v AS c FROM s WHERE row <= 64),
+a0 AS {_ASSIGNED.format(books="b0")},
+b1 AS {_MOVED.format(books="b0", assigned="a0")},
+a1 AS {_ASSIGNED.format(books="b1")},
+b2 AS {_MOVED.format(books="b1", assigned="a1")},
+a2 AS {_ASSIGNED.format(books="b2")},
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, j)) AS codebooks_sha256 FROM b2),
+e AS (SELECT row, string_agg(printf('%02x', a.j), '' ORDER BY p) AS code, sum(a.d)::BIGINT AS error FROM a2 GROUP BY row)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM k JOIN e ON k.row = e.row, h
+"""
