@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlens.llm import anchor_codes, filter_audit
+from eventlens.llm import anchor_codes, filter_audit, license_scan
 from eventlens.llm.adaptive_scan import nearest
 from eventlens.llm.common import held_out, table
 from eventlens.llm.curriculum import plan_mix
@@ -119,6 +119,11 @@ def op8_huffman_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), BYTES).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op11_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summary(license_scan.scanned(table(spark, sf_dir, "documents")))
+
+
 @query
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
