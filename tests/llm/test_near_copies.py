@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from eventlens.llm.near_copies import first_of_each, shingles
+from eventlens.llm.near_copies import first_of_each, links, meetings, shingle_sets, shingles, sketches
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -51,3 +51,31 @@ def test_recall_at_the_threshold(spark):
         want += 1
     missed = first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count() - want
     assert missed <= 0.02 * want
+
+
+def test_rows_grow_with_the_texts_of_a_group(spark):
+    """800 texts of one base with 1 to 5 edits each, few pairs of which are similar: no row for each pair, and the exact groups."""
+    rng = random.Random(12)
+    base = [f"b{rng.randrange(9000)}" for _ in range(200)]
+    texts = [" ".join(edited(rng, base, rng.randint(1, 5))) for _ in range(800)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = sketches(docs).cache()
+    classes = made.selectExpr("s", "n", "fp", "fp2", "struct(false AS none, doc_id, tie) AS first")
+    met = meetings(classes)
+    assert met.count() <= 4 * len(texts)
+    found = links(met, shingle_sets(met, docs, classes))
+    assert found.count() <= 2 * len(texts)
+    sets = [brute(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    assert sorted(r.doc_id for r in first_of_each(docs).collect()) == sorted({top(i) for i in range(len(texts))})
