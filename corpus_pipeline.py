@@ -6,6 +6,7 @@ All but the last return the columns of `documents`, whatever further columns com
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject. Null and empty texts are judged too; repeated rows share one verdict; an empty table stays empty."""
     model = quality_machine.learned(docs, table(spark, sf_dir, "labels"))
     return quality_machine.scored(_packed(docs), model, keep=("_row",)).where("predicted = 1").select("_row.*")
 
@@ -37,14 +38,13 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows that repeat id and text become one. Of a group without ids one row stays.
     """
     first = first_of_each(docs).select(F.col("doc_id").alias("_first"), F.col("tie").alias("_t"))
-    order = Window.partitionBy("doc_id", "_tie").orderBy(F.lit(0))
     rows = _packed(docs).withColumn("_tie", F.xxhash64("text"))
     kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("_tie") == F.col("_t")), "left_semi")
-    return kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("_row.*")
+    return kept.groupBy("doc_id", "_tie").agg(F.first("_row").alias("_row")).select("_row.*")
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its secrets replaced by `[SECRET]`; n_chars follows."""
+    """Every document, its secrets replaced by `[SECRET]`; n_chars follows. Rows without a secret, null texts among them, stay as they are."""
     made = secret_forest.scanned(_packed(docs), secret_forest.learned(docs), keep=("_row",))
     changed = F.size("secrets") > 0
     row = F.col("_row")
@@ -61,13 +61,39 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that the mix takes, in training order."""
+    """A row for each copy that the mix takes, in training order; null texts have size 0, and an empty table stays empty.
+
+    The frame is dealt by ranges and sorted, so the number of a written file and a row's place in it give its position.
+    """
     return mixed(docs)
 
 
+def _read_in_order(docs: DataFrame) -> DataFrame:
+    """`docs` with its written file's number, the block of it that was read, and a number that rises along it.
+
+    Spark packs files into tasks by size, so the order of rows as read is not that in which they were written. A frame made from several sources
+    has no such files; it is written first.
+    """
+    try:
+        docs.select(F.input_file_name())
+    except AnalysisException:
+        docs = stored(docs, "ordered")
+    shard = F.regexp_extract(F.input_file_name(), r"part-(\d+)[^/]*$", 1).try_cast("long")
+    return docs.select("doc_id", "source", "text", F.coalesce(shard, F.lit(-1)).alias("_shard"), F.input_file_block_start().alias("_block"), F.monotonically_increasing_id().alias("_row"))
+
+
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, the number of tokens and the token ids of each text, in the order given."""
-    return encoded(docs, PIECES, keep=("doc_id", "source")).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """position (from 0), doc_id, source, the number of tokens and the token ids of each text, sorted by position, the training order.
+
+    The order is that in which `docs` was written. A null text has no token; repeated rows and null ids are rows like others.
+    """
+    made = stored(encoded(_read_in_order(docs), PIECES, keep=("doc_id", "source", "_shard", "_block", "_row")), "encoded")
+    # a row for each file
+    blocks = made.groupBy("_shard", "_block").agg(F.count("*").alias("n"), F.min("_row").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("_shard", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("_shard", "_block", (before - F.col("first")).alias("_start"))
+    placed = made.join(starts, ["_shard", "_block"]).select((F.col("_start") + F.col("_row")).alias("position"), "doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return placed.repartitionByRange("position").sortWithinPartitions("position")
 
 
 STAGES = [
