@@ -16,6 +16,7 @@ from eventlens.session import new_path
 from eventlens.sources import parsers as P
 from eventlens.sources import readers as R
 from eventlens.sources import writers as O
+from eventlens.streaming.runner import run_to_now
 
 W = f"WITH {SEC} "
 RECEIVED = "2024-02-01 00:00:00"
@@ -197,12 +198,15 @@ LOG_SQL = " UNION ALL ".join(
 
 @query("src_log_tail", LOG_SQL)
 def _(spark, sf):
-    lines = raw(spark, sf, LOG_LINE)
-    parts = [R.from_log(lines, p).select("source", "message") for p in R.LOG_KEYWORDS]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.union(part)
-    return whole
+    return R.from_logs(raw(spark, sf, LOG_LINE)).select("source", "message")
+
+
+@query("src_log_follow", LOG_SQL)
+def _(spark, sf):
+    """The lines as text files, followed as a stream."""
+    folder = new_path(spark, "logs")
+    raw(spark, sf, LOG_LINE).select("value").write.text(folder)
+    return run_to_now(R.read_log_stream(spark, f"{folder}/*.txt"), "followed").select("source", "message")
 
 
 @query("parse_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_id % 20 = 0 AS bad FROM events WHERE event_id % 20 <> 0 UNION ALL SELECT event_id, -1, true FROM events WHERE event_id % 20 = 0")

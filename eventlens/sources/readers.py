@@ -5,11 +5,14 @@ The mappers are plain DataFrame functions, so they serve batch tables and stream
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventlens.sources.tail import tail
+
 
 def scan_events(spark: SparkSession, path: str, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
     """Events of a store partitioned by date (and hour) in [start, end], by default the last 24 hours.
@@ -119,17 +122,27 @@ LOG_KEYWORDS = {
 IGNORE_CASE = ("bitcoin", "ethereum")
 
 
-def from_log(df: DataFrame, protocol: str, raw: str = "value", received: Column | None = None) -> DataFrame:
-    """Relevant lines of a text log; `file` keeps every line."""
+def is_relevant(protocol: str, raw: str = "value") -> Column:
+    """Whether a line holds a keyword of the protocol; `file` takes every line."""
     line = F.lower(raw) if protocol in IGNORE_CASE else F.col(raw)
     test = F.lit(not LOG_KEYWORDS[protocol])
     for word in LOG_KEYWORDS[protocol]:
         test = test | line.contains(word)
-    return df.where(test).select(
-        (F.current_timestamp() if received is None else received).alias("ts"), F.lit(protocol).alias("source"), F.col(raw).alias("message")
-    )
+    return test
+
+
+def from_log(df: DataFrame, protocol: str, raw: str = "value", received: Column | None = None) -> DataFrame:
+    """Relevant lines of a text log; `file` keeps every line."""
+    return from_logs(df, (protocol,), raw, received)
+
+
+def from_logs(df: DataFrame, protocols: Sequence[str] = tuple(LOG_KEYWORDS), raw: str = "value", received: Column | None = None) -> DataFrame:
+    """A row for each line and protocol that finds it relevant, in one pass over the lines."""
+    found = F.array_compact(F.array(*[F.when(is_relevant(p, raw), F.lit(p)) for p in protocols]))
+    at = F.current_timestamp() if received is None else received
+    return df.select(at.alias("ts"), F.explode(found).alias("source"), F.col(raw).alias("message"))
 
 
-def read_log_stream(spark: SparkSession, path: str, protocol: str) -> DataFrame:
-    """Follow the text files under a folder."""
-    return from_log(spark.readStream.text(path), protocol)
+def read_log_stream(spark: SparkSession, path: str, *protocols: str, **options: str) -> DataFrame:
+    """Follow the text files of a folder, as they grow and rotate; by default for all protocols."""
+    return from_logs(tail(spark, path, **options), protocols or tuple(LOG_KEYWORDS))

@@ -57,6 +57,21 @@ def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return reader.schema(df.schema if mode == "append" else df.schema.add("batch", "long")).parquet(out)
 
 
+def run_to_now(df: DataFrame, name: str, checkpoint: str | None = None, out: str | None = None) -> DataFrame:
+    """As `run_available` for sources that know no end: what is there when the stream starts is processed, then it stops.
+
+    With `checkpoint` and `out` of an earlier run, that run is continued.
+    """
+    spark = df.sparkSession
+    out, checkpoint = out or new_path(spark, name), checkpoint or new_path(spark, f"{name}-checkpoint")
+    started = df.writeStream.outputMode("append").option("checkpointLocation", checkpoint).format("parquet").option("path", out).start()
+    try:
+        started.processAllAvailable()
+    finally:
+        started.stop()
+    return spark.read.schema(df.schema).parquet(out)
+
+
 def newest_per_key(updates: DataFrame, keys: list[str]) -> DataFrame:
     """Last update of each key."""
     values = [c for c in updates.columns if c not in keys]
