@@ -9,6 +9,7 @@ from eventlens.operators import behavior as B
 from eventlens.operators import correlate as C
 from eventlens.operators import enrich as E
 from eventlens.operators import rules as R
+from eventlens.operators import terms as M
 from eventlens.operators.reports import indicator_stats, posture_score
 from eventlens.operators.shape import recent_indicators
 from eventlens.plans.catalog import query
@@ -523,6 +524,30 @@ def _(spark, sf):
     return sec_events(spark, sf).transform(E.match_indicator(indicator_table(spark, sf), "dst_ip", "left_anti")).select("event_id")
 
 
+NOTE = "concat(message, ' to ', dst_ip, ' by ', coalesce(process_name, '-'), ' ', md5(coalesce(process_name, 'none')), ' d', CAST(event_id % 400 AS VARCHAR(20)), '.example')"
+TEXT_SQL = W + f""", {INDICATORS}, {FIRST_IND}, notes AS (SELECT event_id, {NOTE} AS note FROM sec), lines AS (SELECT DISTINCT note FROM notes),
+    best AS (SELECT note, id AS indicator_id, severity AS indicator_severity FROM lines JOIN one ON contains(note, v) QUALIFY row_number() OVER (PARTITION BY note ORDER BY length(v) DESC, id) = 1)
+    """
+
+
+@query("match_indicator_text", TEXT_SQL + "SELECT event_id, indicator_id, indicator_severity FROM notes LEFT JOIN best USING (note)")
+def _(spark, sf):
+    notes = sec_events(spark, sf).selectExpr("event_id", f"{NOTE} AS note")
+    return notes.transform(M.match_text(indicator_table(spark, sf), "note")).select("event_id", "indicator_id", "indicator_severity")
+
+
+@query("match_indicator_all", TEXT_SQL + "SELECT event_id, id AS indicator_id FROM notes JOIN one ON contains(note, v)")
+def _(spark, sf):
+    notes = sec_events(spark, sf).selectExpr("event_id", f"{NOTE} AS note")
+    return notes.transform(M.match_all(indicator_table(spark, sf), "note")).select("event_id", "indicator_id")
+
+
+@query("match_artifact", W + f""", {INDICATORS}, vals AS (SELECT DISTINCT dst_ip AS v FROM sec), hit AS (SELECT v, min(id) AS indicator_id, arg_min(severity, id) AS indicator_severity FROM vals JOIN ind ON contains(pattern, v) GROUP BY v)
+    SELECT event_id, indicator_id, indicator_severity FROM sec LEFT JOIN hit ON dst_ip = v""")
+def _(spark, sf):
+    return sec_events(spark, sf).transform(M.match_artifact(indicator_table(spark, sf), "dst_ip")).select("event_id", "indicator_id", "indicator_severity")
+
+
 @query("recent_indicators", f"WITH {INDICATORS} SELECT id, severity, created FROM ind ORDER BY created DESC, id LIMIT 50")
 def _(spark, sf):
     return indicator_table(spark, sf).transform(recent_indicators(50)).select("id", "severity", utc(F.col("created")).alias("created"))
