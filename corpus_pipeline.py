@@ -68,32 +68,32 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed(docs)
 
 
-def _read_in_order(docs: DataFrame) -> DataFrame:
-    """`docs` with its written file's number, the block of it that was read, and a number that rises along it.
+def _in_written_order(docs: DataFrame) -> DataFrame:
+    """doc_id, source and text of `docs` with `position`, the row's place (from 0) in the order in which the files were written.
 
-    Spark packs files into tasks by size, so the order of rows as read is not that in which they were written. A frame made from several sources
-    has no such files; it is written first.
+    Spark packs files into tasks by size, so the order of rows as read is another one. A frame that isn't read from files is written first.
     """
     try:
-        docs.select(F.input_file_name())
+        docs.select("_metadata.row_index")
     except AnalysisException:
         docs = stored(docs, "ordered")
-    shard = F.regexp_extract(F.input_file_name(), r"part-(\d+)[^/]*$", 1).try_cast("long")
-    return docs.select("doc_id", "source", "text", F.coalesce(shard, F.lit(-1)).alias("_shard"), F.input_file_block_start().alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    shard = F.coalesce(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("long"), F.lit(-1))
+    rows = docs.select("doc_id", "source", "text", shard.alias("_shard"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    # a row for each file
+    sizes = rows.groupBy("_shard", "_file").agg((F.max("_row") + 1).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("_shard", "_file").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(F.col("_file").alias("_name"), F.coalesce(before, F.lit(0)).alias("_start"))
+    return rows.join(starts, F.col("_file") == F.col("_name")).select((F.col("_start") + F.col("_row")).alias("position"), "doc_id", "source", "text")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """position (from 0), doc_id, source, the number of tokens and the token ids of each text, sorted by position, the training order.
 
-    The order is that in which `docs` was written. A null text has no token; repeated rows and null ids are rows like others.
+    The order is that in which `docs` was written. A null text has no token; repeated rows and null ids are rows like others. Texts are shorter than
+    their ids, so they are dealt by position before they are encoded.
     """
-    made = stored(encoded(_read_in_order(docs), PIECES, keep=("doc_id", "source", "_shard", "_block", "_row")), "encoded")
-    # a row for each file
-    blocks = made.groupBy("_shard", "_block").agg(F.count("*").alias("n"), F.min("_row").alias("first"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("_shard", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = blocks.select("_shard", "_block", (before - F.col("first")).alias("_start"))
-    placed = made.join(starts, ["_shard", "_block"]).select((F.col("_start") + F.col("_row")).alias("position"), "doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
-    return placed.repartitionByRange("position").sortWithinPartitions("position")
+    rows = _in_written_order(docs).repartitionByRange("position").sortWithinPartitions("position")
+    return encoded(rows, PIECES, keep=("position", "doc_id", "source")).select("position", "doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [
