@@ -8,11 +8,15 @@ lookups form no pairs; they use an ordered last value (see `functions.ordered`).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventlens.functions.addresses import address_key, masked, network_parts, next_key
 from eventlens.functions.fields import field, first_text, has_field
 from eventlens.functions.ordered import asof_last, disjoint_first
+from eventlens.session import cut_lineage
 
 # Event fields that may hold an address or a file hash.
 IP_FIELDS = ("src_ip", "dst_ip", "client_ip", "remote_addr", "ip")
@@ -99,20 +103,52 @@ def ipv4_number(col: Column) -> Column:
     return F.when(good, F.aggregate(part, F.lit(0).cast("long"), lambda acc, p: acc * 256 + p))
 
 
+def flat_networks(networks: DataFrame, values: Sequence[str], network: str = "network") -> DataFrame:
+    """Disjoint segments in which the narrowest network is the same: `first_key`, `covered` and `values`, up to the next `first_key`.
+
+    Networks nest or are apart, so only their bounds can begin a segment. Each bound meets its own prefix of every length that occurs
+    (129 at most) in one equality join; the longest wins. Of equal networks the one with the least values counts.
+    """
+    key, length = network_parts(F.col(network))
+    packed = F.struct(*values)
+    rows = networks.select(key.alias("_k"), length.alias("length"), packed.alias("_v")).where("length is not null")
+    nets = cut_lineage(rows.groupBy(masked(F.col("_k"), F.col("length"), "0").alias("first"), "length").agg(F.min("_v").alias("_v")))
+    lengths = [r.length for r in nets.select("length").distinct().collect()]
+    after = next_key(masked(F.col("first"), F.col("length"), "f"))
+    bounds = nets.select(F.explode(F.array("first", after)).alias("first_key")).where("first_key is not null").distinct()
+    asked = bounds.select("first_key", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("length")).withColumn("first", masked(F.col("first_key"), F.col("length"), "0"))
+    widest = asked.join(nets, ["first", "length"]).groupBy("first_key").agg(F.max_by("_v", "length").alias("_v"))
+    return bounds.join(widest, "first_key", "left").select("first_key", F.col("_v").isNotNull().alias("covered"), *[F.col("_v")[v].alias(v) for v in values])
+
+
+def locate_addresses(addresses: DataFrame, networks: DataFrame, values: Sequence[str], address: str = "address", group_rows: int | None = None) -> DataFrame:
+    """`addresses` (distinct) that lie in a network, with the `values` of the narrowest one; both families, by one ordered pass."""
+    keyed = addresses.withColumn("_n", address_key(F.col(address))).where("_n is not null")
+    found = asof_last(keyed, flat_networks(networks, values), [], "_n", "first_key", [address], ["covered", *values], group_rows)
+    return found.where("covered").drop("covered", "_n")
+
+
+def used_addresses(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    return df.select(F.explode(F.array_distinct(F.array(*[field(df, n).cast("string") for n in names]))).alias("address")).where("address is not null").distinct()
+
+
 def enrich_geo(ranges: DataFrame, names: tuple[str, ...] = IP_FIELDS, group_rows: int | None = None):
-    """Country, city, latitude, longitude and region of each address field, by address range.
+    """Country, city, latitude, longitude and region of each address field.
 
-    Only distinct addresses are ranged: an ordered last range start per address, then an
-    equi join back. Where ranges overlap, the one that starts first is used.
+    `ranges` has either `network` (IPv4 or IPv6 with a prefix length; the narrowest network counts) or the numbers `start_ip` and `end_ip` (IPv4 only; where ranges
+    overlap, the one that starts first counts). Only distinct addresses are placed: an ordered pass over addresses and range starts, then an equi join back.
     """
     added = {"country": "country", "city": "city", "lat": "latitude", "lon": "longitude", "region": "region"}
 
     def apply(df: DataFrame) -> DataFrame:
         present = [n for n in names if has_field(df, n)]
-        addresses = df.select(F.explode(F.array_distinct(F.array(*[field(df, n).cast("string") for n in present]))).alias("address")).distinct()
-        numbered = addresses.withColumn("_n", ipv4_number(F.col("address"))).where("_n is not null")
-        flat = disjoint_first(ranges, [], "start_ip", "end_ip", ["end_ip"], F.lit(1))
-        found = asof_last(numbered, flat, [], "_n", "start_ip", ["address"], ["end_ip", *added], group_rows).where("_n <= end_ip")
+        addresses = used_addresses(df, present)
+        if "network" in ranges.columns:
+            found = locate_addresses(addresses, ranges, list(added), group_rows=group_rows)
+        else:
+            numbered = addresses.withColumn("_n", ipv4_number(F.col("address"))).where("_n is not null")
+            flat = disjoint_first(ranges, [], "start_ip", "end_ip", ["end_ip"], F.lit(1))
+            found = asof_last(numbered, flat, [], "_n", "start_ip", ["address"], ["end_ip", *added], group_rows).where("_n <= end_ip")
         result = df
         for name in present:
             result = lookup(result, found, field(df, name).cast("string"), "address", {k: f"{name}_geo_{v}" for k, v in added.items()})
@@ -121,6 +157,35 @@ def enrich_geo(ranges: DataFrame, names: tuple[str, ...] = IP_FIELDS, group_rows
     return apply
 
 
+def enrich_threat_networks(threats: DataFrame, ttl: str = "1 hour", ts: str = "ts", names: tuple[str, ...] = IP_FIELDS, group_rows: int | None = None):
+    """Threat columns of each address field from the narrowest network indicator around it that is still valid at event time.
+
+    `threats` is as for `enrich_threat`; indicators that are no address or network are left out. The latest entry per network counts, whether its
+    address is written in one family or mapped into the other. An address inside an expired narrow network has no threat.
+    """
+    values = ["is_malicious", "reputation", "categories", "source", "last_seen"]
+
+    def apply(df: DataFrame) -> DataFrame:
+        present = [n for n in names if has_field(df, n)]
+        key, length = network_parts(F.col("indicator"))
+        latest = (
+            threats.select(masked(key, length, "0").alias("_first"), length.alias("_length"), F.col("indicator").alias("network"), *values)
+            .where("_length is not null")
+            .groupBy("_first", "_length")
+            .agg(F.max_by(F.struct("network", *values), F.struct("last_seen", "network")).alias("_v"))
+            .select("_v.*")
+        )
+        found = locate_addresses(used_addresses(df, present), latest, values, group_rows=group_rows)
+        valid = F.col(ts).cast("timestamp") < F.col("_d_last_seen").cast("timestamp") + F.expr(f"INTERVAL {ttl}")
+        added = {"is_malicious": "malicious", "reputation": "reputation", "categories": "categories", "source": "source"}
+        result = df
+        for name in present:
+            result = lookup(result, found, field(df, name).cast("string"), "address", {k: f"{name}_threat_{v}" for k, v in added.items()} | {"last_seen": "_seen"}, valid).drop("_seen")
+        return result
+
+    return apply
+
+
 FAR_FUTURE = "9999-12-31 23:59:59"
 
 

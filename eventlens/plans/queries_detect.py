@@ -464,6 +464,60 @@ def _(spark, sf):
     return out.select("event_id", *[c for c in out.columns if "_geo_" in c])
 
 
+NETWORK_IP = "CASE event_id % 4 WHEN 0 THEN src_ip WHEN 1 THEN concat('::ffff:', src_ip) WHEN 2 THEN concat('2001:db8::', CAST(event_id % 7 AS VARCHAR(20)), ':', CAST(user_id % 10 AS VARCHAR(20))) ELSE 'nowhere' END"
+# the networks nest: 10.0.0.0/8, its four /16, some /24; 2001:db8::/32 and /112 below it. A key is (family, number), of v6 its last two groups.
+NETWORK_SQL = """, nets AS (
+      SELECT 4 AS family, 10 * 16777216 AS lo, 10 * 16777216 + 16777215 AS hi, 8 AS bits, 'ten' AS country, 0 AS k
+      UNION ALL SELECT 4, 10 * 16777216 + n_nationkey * 65536, 10 * 16777216 + n_nationkey * 65536 + 65535, 16, n_name, n_nationkey FROM nation WHERE n_nationkey % 2 = 0
+      UNION ALL SELECT 4, 10 * 16777216 + n_nationkey % 4 * 65536 + n_nationkey % 5 * 256, 10 * 16777216 + n_nationkey % 4 * 65536 + n_nationkey % 5 * 256 + 255, 24, n_name, n_nationkey FROM nation WHERE n_nationkey BETWEEN 1 AND 14
+      UNION ALL SELECT 6, 0, 4294967295, 32, 'docs', 0
+      UNION ALL SELECT 6, n_nationkey * 65536, n_nationkey * 65536 + 65535, 112, n_name, n_nationkey FROM nation WHERE n_nationkey % 3 = 1
+    ), parts AS (SELECT event_id, event_id % 4 = 2 AS six, CASE WHEN event_id % 4 < 2 THEN 10 * 16777216 + uid % 4 * 65536 + event_id % 3 * 256 + uid % 250 + 1 WHEN event_id % 4 = 2 THEN event_id % 7 * 65536 + uid % 10 END AS n
+      FROM (SELECT event_id, user_id AS uid FROM events)),
+    best AS (SELECT event_id, country, k, bits FROM parts JOIN nets ON n BETWEEN lo AND hi AND six = (family = 6) QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY bits DESC) = 1)
+    """
+
+
+def network_table(spark, sf):
+    n, k = table(spark, sf, "nation"), F.col("n_nationkey").cast("string")
+    row = lambda net, name, key: [net.alias("network"), name.alias("country"), key.alias("k")]
+    parts = [
+        n.where("n_nationkey % 2 = 0").select(*row(F.concat(F.lit("10."), k, F.lit(".0.0/16")), F.col("n_name"), F.col("n_nationkey"))),
+        n.where("n_nationkey between 1 and 14").select(*row(F.expr("concat('10.', n_nationkey % 4, '.', n_nationkey % 5, '.0/24')"), F.col("n_name"), F.col("n_nationkey"))),
+        n.where("n_nationkey % 3 = 1").select(*row(F.concat(F.lit("2001:DB8:0:0:0:0:"), F.lower(F.hex("n_nationkey")), F.lit(":0/112")), F.col("n_name"), F.col("n_nationkey"))),
+        n.where("n_nationkey = 0").select(*row(F.lit("10.0.0.0/8"), F.lit("ten"), F.lit(0))),
+        n.where("n_nationkey = 0").select(*row(F.lit("2001:db8::/32"), F.lit("docs"), F.lit(0))),
+    ]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.union(part)
+    return whole
+
+
+def network_events(spark, sf):
+    # user_id is no column of the security events
+    both = sec_events(spark, sf).join(table(spark, sf, "events").select("event_id", "user_id"), "event_id")
+    return both.selectExpr("event_id", "ts", f"{NETWORK_IP} AS ip")
+
+
+@query("enrich_geo_networks", W + NETWORK_SQL + """SELECT event_id, country AS ip_geo_country, 'city' || k AS ip_geo_city, k * 1.5::DOUBLE AS ip_geo_latitude, k * -1.5::DOUBLE AS ip_geo_longitude, 'r' || k AS ip_geo_region
+    FROM parts LEFT JOIN best USING (event_id)""")
+def _(spark, sf):
+    k = F.col("k").cast("string")
+    nets = network_table(spark, sf).select("network", "country", F.concat(F.lit("city"), k).alias("city"), (F.col("k") * 1.5).alias("lat"), (F.col("k") * -1.5).alias("lon"), F.concat(F.lit("r"), k).alias("region"))
+    out = network_events(spark, sf).transform(E.enrich_geo(nets))
+    return out.select("event_id", *[c for c in out.columns if "_geo_" in c])
+
+
+@query("enrich_threat_networks", W + NETWORK_SQL + """SELECT event_id, CASE WHEN ts < seen + INTERVAL 24 HOUR THEN CAST(k % 2 = 0 AS VARCHAR) END AS malicious, CASE WHEN ts < seen + INTERVAL 24 HOUR THEN country END AS source
+    FROM (SELECT parts.event_id, ts, country, k, TIMESTAMP '2024-01-10' + to_hours(CAST(k * 13 AS INTEGER)) AS seen FROM parts JOIN sec ON parts.event_id = sec.event_id LEFT JOIN best ON parts.event_id = best.event_id)""")
+def _(spark, sf):
+    start, k = F.unix_seconds(F.lit("2024-01-10").cast("timestamp")), F.col("k")
+    feed = network_table(spark, sf).select(F.col("network").alias("indicator"), (k % 2 == 0).alias("is_malicious"), k.alias("reputation"), F.array(F.lit("c")).alias("categories"), F.col("country").alias("source"), F.timestamp_seconds(start + k * 13 * 3600).alias("last_seen"))
+    out = network_events(spark, sf).transform(E.enrich_threat_networks(feed, "24 hours"))
+    return out.select("event_id", F.col("ip_threat_malicious").cast("string").alias("malicious"), F.col("ip_threat_source").alias("source"))
+
+
 @query(
     "enrich_identity",
     W + """SELECT event_id, c_name AS owner_user, c_mktsegment AS owner_department, 'uid-' || c_custkey AS owner_uid FROM sec LEFT JOIN customer ON coalesce(user_name, src_ip) = 'u' || c_custkey""",
