@@ -86,6 +86,28 @@ def correlate_threshold(rules: Iterable[Rule], slides: int = 1, ts: str = "ts",
     return apply
 
 
+def correlate_trailing(rules: Iterable[Rule], ts: str = "ts", event_id: str = "event_id", group_rows: int | None = None):
+    """Every event at which a key reaches a rule's threshold: its matches in the `window` that ends with the event.
+
+    A match counts from its time until, but not at, `window` later; of equal times those with smaller ids come first. So a burst is found wherever
+    it lies, and each further event fires while the count holds. A match enters the order twice, as itself and as its own end; the
+    running sum of both is the count, which `Runs` keeps parallel for the `global` key too.
+    """
+    rules = list(rules)
+
+    def apply(df: DataFrame) -> DataFrame:
+        matches = rule_matches(df, rules, ts, event_id)
+        at = F.unix_micros("ts")
+        # at equal times a match ends before another one comes
+        turns = F.array(F.struct(at.alias("_at"), F.lit(1).alias("_step")), F.struct((at + F.col("span").cast("long") * SECOND).alias("_at"), F.lit(-1).alias("_step")))
+        both = matches.select("*", F.inline(turns))
+        counted = Runs(both, ["rule_id", "entity_key"], ["_at", "_step", "event_id"], group_rows).before(_open=("sum", F.col("_step"))).done()
+        fired = counted.where("_step = 1").withColumn("n", (F.col("_open") + 1).cast("long")).where("n >= threshold")
+        return fired.select("rule_id", "rule_name", "severity", "threshold", "span", "entity_key", "ts", "event_id", "n")
+
+    return apply
+
+
 def correlate_related(df: DataFrame, rules: Iterable[Rule], slides: int = 1, ts: str = "ts", event_id: str = "event_id") -> DataFrame:
     """Events behind every matched window, one row each (rule, key, window, event)."""
     rules = list(rules)

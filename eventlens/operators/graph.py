@@ -5,7 +5,7 @@ Loops advance a frontier by one join per step and cut lineage with reliable chec
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.session import cut_lineage
@@ -38,10 +38,44 @@ def graph_connected(starts: DataFrame, edges: DataFrame, depth: int, assets: Dat
 
 def blast_radius(starts: DataFrame, edges: DataFrame, assets: DataFrame | None = None, depth: int = 10) -> DataFrame:
     """How many assets a compromised start can reach, and how severe that is."""
-    n = F.col("blast_radius")
-    severity = F.when(n > 100, "critical").when(n > 50, "high").when(n > 20, "medium").otherwise("low")
     counted = graph_connected(starts, edges, depth, assets).groupBy("start_id").agg(F.count(F.lit(1)).alias("blast_radius"))
-    return counted.withColumn("severity", severity)
+    return counted.withColumn("severity", severity(F.col("blast_radius")))
+
+
+def severity(n: Column) -> Column:
+    return F.when(n > 100, "critical").when(n > 50, "high").when(n > 20, "medium").otherwise("low")
+
+
+def reach_of_all(edges: DataFrame, assets: DataFrame, depth: int, lg_entries: int = 7) -> DataFrame:
+    """id and `reach` of every asset: how many assets lie within `depth` steps, itself included; `exact` tells whether that is a count.
+
+    Each node keeps a theta sketch of what it reaches and, at each step, merges its neighbours' into it: edges times steps rows of bounded size,
+    never a row for each pair of nodes. A sketch holds 2 ** `lg_entries` hashes of ids and counts exactly up to there; beyond, the standard error is
+    about 2 ** (-lg_entries / 2), and the estimate is never below the limit. Nodes without an asset row pass on what they reach and are not counted.
+    """
+    links = cut_lineage(undirected(edges))
+    known = assets.select("id").where("id is not null").distinct()
+    own = known.groupBy("id").agg(F.theta_sketch_agg("id", F.lit(lg_entries)).alias("sketch"))
+    reached = cut_lineage(own)
+    for _ in range(depth):
+        told = links.join(reached, links["b"] == reached["id"]).select(F.col("a").alias("id"), "sketch")
+        merged = reached.unionByName(told).groupBy("id").agg(F.theta_union_agg("sketch", F.lit(lg_entries)).alias("sketch"))
+        ahead = cut_lineage(merged)
+        old = reached.select(F.col("id").alias("_id"), F.col("sketch").alias("_old"))
+        changed = ahead.join(old, F.col("id") == F.col("_id"), "left").where(F.col("_old").isNull() | (F.col("sketch") != F.col("_old")))
+        reached = ahead
+        if changed.isEmpty():
+            break
+    n = F.theta_sketch_estimate("sketch")
+    return reached.join(known, "id", "left_semi").select("id", n.alias("reach"), (n <= F.lit(1 << lg_entries)).alias("exact"))
+
+
+def blast_radius_of_all(edges: DataFrame, assets: DataFrame, depth: int = 10, lg_entries: int = 7) -> DataFrame:
+    """Blast radius and severity of every asset. Severities are always exact, as sketches count exactly beyond the highest limit."""
+    if 1 << lg_entries <= 100:
+        raise ValueError("sketches must count exactly up to the highest severity limit, 100")
+    found = reach_of_all(edges, assets, depth, lg_entries)
+    return found.select(F.col("id").alias("start_id"), F.col("reach").alias("blast_radius"), severity(F.col("reach")).alias("severity"), "exact")
 
 
 def graph_paths(pairs: DataFrame, edges: DataFrame, max_nodes: int) -> DataFrame:

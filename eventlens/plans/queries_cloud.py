@@ -214,6 +214,18 @@ def _(spark, sf):
     return G.blast_radius(regions(spark, sf), edges(spark, sf), known_assets(spark, sf))
 
 
+# every customer, supplier and region as a start; counts beyond 128 are estimates, so only what is exact is compared
+@query(
+    "blast_radius_of_all",
+    f"""WITH RECURSIVE {EDGES}, {KNOWN}, walk AS (SELECT id AS s, id, 0 AS d FROM known UNION SELECT s, b, d + 1 FROM walk JOIN links ON id = a WHERE d < 2),
+    counted AS (SELECT s AS start_id, count(DISTINCT id) AS n FROM walk SEMI JOIN known USING (id) GROUP BY 1)
+    SELECT start_id, CASE WHEN n <= 128 THEN n ELSE -1 END AS blast_radius, CASE WHEN n > 100 THEN 'critical' WHEN n > 50 THEN 'high' WHEN n > 20 THEN 'medium' ELSE 'low' END AS severity FROM counted""",
+)
+def _(spark, sf):
+    found = G.blast_radius_of_all(edges(spark, sf), known_assets(spark, sf), depth=2)
+    return found.select("start_id", F.when(F.col("exact"), F.col("blast_radius")).otherwise(F.lit(-1)).cast("long").alias("blast_radius"), "severity")
+
+
 @query(
     "graph_paths",
     f"""WITH RECURSIVE {EDGES}, pairs AS (SELECT 'r' || ((n_nationkey * 2) % 5) AS f, 'n' || n_nationkey AS t FROM nation),

@@ -111,6 +111,15 @@ def _(spark, sf):
     return _threshold(spark, sf, 6)
 
 
+@query(
+    "correlate_trailing",
+    W + f""", {KEYED}, counted AS (SELECT *, count(*) OVER (PARTITION BY rule_id, entity_key ORDER BY epoch_us(ts) RANGE BETWEEN (CAST(span AS BIGINT) * 1000000 - 1) PRECEDING AND CURRENT ROW) AS n FROM keyed)
+    SELECT rule_id, entity_key, event_id, n FROM counted WHERE n >= threshold""",
+)
+def _(spark, sf):
+    return sec_events(spark, sf).transform(C.correlate_trailing(WINDOW_RULES)).select("rule_id", "entity_key", "event_id", "n")
+
+
 @query(
     "correlate_idle_window",
     W + f""", {KEYED}, g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER k <= 1800000000 THEN 0 ELSE 1 END AS fresh FROM keyed WINDOW k AS (PARTITION BY rule_id, entity_key ORDER BY ts, event_id)),

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from eventlens.functions.fields import field
+from eventlens.operators import rollups as U
 from eventlens.operators import search as S
 from eventlens.operators import shape as P
 from eventlens.operators import stats as A
@@ -268,6 +269,39 @@ def _(spark, sf):
     return sec_events(spark, sf).transform(A.stats_by("hostname", aggs=[("dc", "user_name", "users"), ("dc", "src_ip", "ips")]))
 
 
+def hours_stored(spark, sf):
+    """Hour roll-up, written and read back."""
+    path = new_path(spark, "hours")
+    sec_events(spark, sf).transform(U.rollup("1h", ("hostname",), ("user_name", "src_ip"), ("value",))).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query(
+    "rollup_distinct_day",
+    W + """SELECT hostname, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, count(*) AS "count", round(min(value), 6) AS min_value, round(max(value), 6) AS max_value, count(DISTINCT user_name) AS dc_user_name, count(DISTINCT src_ip) AS dc_src_ip FROM sec GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    day = hours_stored(spark, sf).transform(U.coarser("1d", ("hostname",))).transform(U.distinct_counts)
+    return day.select("hostname", F.floor(F.unix_seconds("_time") / 86400).alias("day"), "count", F.round("min_value", 6).alias("min_value"), F.round("max_value", 6).alias("max_value"), "dc_user_name", "dc_src_ip")
+
+
+@query("rollup_distinct_all", W + "SELECT hostname, count(*) AS \"count\", count(DISTINCT user_name) AS dc_user_name, count(DISTINCT src_ip) AS dc_src_ip FROM sec GROUP BY 1")
+def _(spark, sf):
+    return hours_stored(spark, sf).transform(U.coarser(None, ("hostname",))).transform(U.distinct_counts).select("hostname", "count", "dc_user_name", "dc_src_ip")
+
+
+@query(
+    "rollup_overlap",
+    W + """, a AS (SELECT DISTINCT hostname, user_name FROM sec WHERE user_name IS NOT NULL AND floor(epoch(ts) / 3600) * 3600 < epoch(TIMESTAMP '2024-01-15')), b AS (SELECT DISTINCT hostname, user_name FROM sec WHERE user_name IS NOT NULL AND floor(epoch(ts) / 3600) * 3600 >= epoch(TIMESTAMP '2024-01-15')),
+    u AS (SELECT hostname, user_name, max(l) AS l, max(r) AS r FROM (SELECT *, 1 AS l, 0 AS r FROM a UNION ALL SELECT *, 0, 1 FROM b) GROUP BY 1, 2)
+    SELECT hostname, CAST(sum(l) AS BIGINT) AS left_dc, CAST(sum(r) AS BIGINT) AS right_dc, CAST(sum(l * r) AS BIGINT) AS both_dc, CAST(sum(l * (1 - r)) AS BIGINT) AS only_left_dc FROM u GROUP BY 1""",
+)
+def _(spark, sf):
+    hours = hours_stored(spark, sf)
+    half = lambda a, b: U.within(hours, a, b).transform(U.coarser(None, ("hostname",)))
+    return U.overlap(half("2000-01-01", "2024-01-15"), half("2024-01-15", "2100-01-01"), "user_name", ["hostname"])
+
+
 @query("stats_values", W + "SELECT hostname, process_name AS value, count(*) AS n FROM sec WHERE process_name IS NOT NULL GROUP BY 1, 2")
 def _(spark, sf):
     return sec_events(spark, sf).transform(A.stats_values("process_name", "hostname"))
