@@ -15,6 +15,7 @@ from eventlens.plans.tables import SEC, sec_events, table, utc
 from eventlens.session import new_path
 from eventlens.sources import parsers as P
 from eventlens.sources import readers as R
+from eventlens.sources import retention as N
 from eventlens.sources import writers as O
 from eventlens.streaming.runner import run_to_now
 
@@ -113,6 +114,33 @@ def _(spark, sf):
     return table(spark, sf, "events").transform(Y.expire_events("2024-01-31", 7, 20, F.col("event_type") == "error")).select("event_id")
 
 
+@query(
+    "expire_store",
+    "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-31 06:30:00' - CASE WHEN event_type = 'error' THEN INTERVAL 20 DAY ELSE INTERVAL 7 DAY END",
+)
+def _(spark, sf):
+    """Retention on a stored table, run twice: the second run finds nothing to do."""
+    path = new_path(spark, "store")
+    O.sink_event_store(table(spark, sf, "events").withColumn("source", F.col("event_type")), path, by="day")
+    for _ in range(2):
+        N.expire_store(spark, path, "2024-01-31 06:30:00", 7, 20, F.col("event_type") == "error")
+    return spark.read.parquet(path).select("event_id")
+
+
+@query(
+    "tier_store",
+    """SELECT event_id, CASE WHEN age > 7 * 86400 THEN 'cold' WHEN age > 86400 THEN 'warm' ELSE 'hot' END AS tier
+    FROM (SELECT event_id, epoch(TIMESTAMP '2024-01-28 06:00:00') - epoch(date_trunc('day', ts) + INTERVAL 23 HOUR) AS age FROM events)""",
+)
+def _(spark, sf):
+    """Days of a stored table moved to the tiers of two dates, one after the other."""
+    stores = {tier: new_path(spark, tier) for tier in ("hot", "warm", "cold")}
+    O.sink_event_store(table(spark, sf, "events").withColumn("source", F.col("event_type")), stores["hot"])
+    for as_of in ("2024-01-20 06:00:00", "2024-01-28 06:00:00"):
+        N.move_tiers(spark, stores, as_of)
+    return N.read_tiers(spark, stores).select("event_id", "tier")
+
+
 @query("drop_tombstones", "SELECT event_id FROM events WHERE event_type <> 'view'")
 def _(spark, sf):
     e = table(spark, sf, "events").withColumn("_is_tombstone", F.when(F.col("event_type") == "view", True))
