@@ -34,16 +34,13 @@ BLOCK_IDS = 1 << 18
 RUN_BYTES = 4 << 20
 WORDS_KEPT = 400_000
 WORDS = re.compile(r"\s+(?!\S)| ?\S+|\s")
-#: Letters and digits before which the pre-tokenizer surely cuts: not symbols or marks, and no letters newer than its tables.
-PLAIN = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() or "0" <= c <= "9")
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Tokenizer:
     """A byte-level tokenizer of the tokenizers library, asked once for each word.
 
-    Its pre-tokenizer cuts at white space, before which at most one space joins the next word, and between letters or
-    digits and punctuation. So words are encoded apart; a bounded table keeps those met lately. Texts with
+    Its pre-tokenizer cuts at white space, of which at most one space joins the next word, between letters and digits, and between either and punctuation
+    that follows. So words are encoded apart; a bounded table keeps those met lately. Texts with
     special tokens or with characters on which ideas of white space differ go to the library whole.
     """
 
@@ -57,55 +54,130 @@ class Tokenizer:
         spec = json.loads(self.library.to_str())
         cutter = spec["pre_tokenizer"] or {}
         self.by_word = cutter.get("type") == "ByteLevel" and cutter.get("use_regex") and not cutter.get("add_prefix_space") and spec["normalizer"] is None and not spec["model"].get("ignore_merges")
-        special = [re.escape(t["content"]) for t in spec["added_tokens"]]
-        self.odd = re.compile("|".join(["[\x1c-\x1f\x85᠎]", *special]))
+        self.special = [t["content"].encode() for t in spec["added_tokens"]]
         self.known, self.before = Words(), Words()
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: set[str]) -> None:
-        """Enter words that the table lacks. Punctuation after a last letter or digit never joins it and is asked for apart."""
-        known, before = self.known, self.before
-        missing, cut = set(), {}
-        for w in words:
-            if w in before.at:
-                known.put(w, before.ids(w))
-                continue
-            stem = w.rstrip(PUNCTUATION)
-            if len(stem) < len(w) and stem[-1:] in PLAIN:
-                cut[w] = stem, w[len(stem) :]
-                missing.update(cut[w])
-            else:
-                missing.add(w)
-        missing = sorted(missing.difference(known.at))
-        for w, ids in zip(missing, self.whole(missing), strict=True):
-            known.put(w, ids)
-        for w, (a, b) in cut.items():
-            known.put(w, known.ids(a) + known.ids(b))
+        """Enter words that the table lacks; those met lately are taken from the table before."""
+        again = [w for w in words if w in self.before.at]
+        self.known.put(again, [self.before.ids(w) for w in again])
+        missing = sorted(words.difference(again))
+        self.known.put(missing, self.whole(missing))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [t if self.by_word and not self.odd.search(t) else "" for t in texts]
-        words = [WORDS.findall(t) for t in plain]
+        data = [t.encode() for t in texts]
+        return self.encode_bytes(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+
+    def encode_bytes(self, data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+        """Ids of the texts data[bounds[i] : bounds[i + 1]], UTF-8.
+
+        Words of texts whose only white space is ASCII are cut and numbered all at once, and only the different ones become Python strings.
+        """
+        n = len(bounds) - 1
+        view = memoryview(data)
+        text = lambda i: str(view[bounds[i] : bounds[i + 1]], "utf-8", "replace")
+        whole, spaced = self.exceptions(data, bounds)
+        fast = np.ones(n, bool)
+        fast[[*whole, *spaced]] = False
         if len(self.known.at) >= WORDS_KEPT:
             self.known, self.before = Words(), self.known
+        pos = word_starts(data, bounds)
+        doc = np.searchsorted(bounds, pos, side="right") - 1
+        counts = np.bincount(doc[fast[doc]], minlength=n) if len(pos) else np.zeros(n, np.int64)
+        cut = pa.Array.from_buffers(pa.binary(), len(pos), [None, pa.py_buffer(np.append(pos, len(data)).astype(np.int32)), pa.py_buffer(data)])
+        if not fast.all():
+            cut = cut.filter(pa.array(fast[doc]))
+        coded = cut.dictionary_encode()
+        different = coded.dictionary.cast(pa.string()).to_pylist()
+        lists = [WORDS.findall(text(i)) for i in spaced]
         gc.disable()  # nothing below makes cycles, and the many small lists would set off pass after pass
-        self.learn(set().union(*words).difference(self.known.at))
+        self.learn(set(different).union(*lists).difference(self.known.at))
         gc.enable()
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        number = np.fromiter(map(self.known.at.__getitem__, chain.from_iterable(words)), np.int64, counts.sum())
-        bounds, pool = np.frombuffer(self.known.bounds, np.int64), np.frombuffer(self.known.pool, np.uint32)
-        size = bounds[number + 1] - bounds[number]
+        at = self.known.at.__getitem__
+        numbers = np.split(np.fromiter(map(at, different), np.int64, len(different))[coded.indices.to_numpy()], np.cumsum(counts)[:-1]) if n else []
+        for i, words in zip(spaced, lists, strict=True):
+            numbers[i] = np.fromiter(map(at, words), np.int64, len(words))
+        sizes = np.fromiter(map(len, numbers), np.int64, n)
+        number = np.concatenate(numbers) if n else np.zeros(0, np.int64)
+        starts, pool = np.frombuffer(self.known.bounds, np.int64), np.frombuffer(self.known.pool, np.uint32)
+        size = starts[number + 1] - starts[number]
         ends = np.cumsum(size)
-        ids = pool[np.repeat(bounds[number] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        out = np.split(ids, np.concatenate(([0], ends))[np.cumsum(counts)[:-1]])
-        rest = [i for i, (t, p) in enumerate(zip(texts, plain, strict=True)) if t and not p]
-        for i, found in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
+        ids = pool[np.repeat(starts[number] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        out = np.split(ids, np.concatenate(([0], ends))[np.cumsum(sizes)[:-1]]) if n else []
+        for i, found in zip(whole, self.whole([text(i) for i in whole]), strict=True):
             out[i] = np.array(found, np.uint32)
-        if texts and out[0].tolist() != self.whole(texts[:1])[0]:
+        if n and out[0].tolist() != self.whole([text(0)])[0]:
             raise ValueError("ids differ from the library's")
         return out
 
+    def exceptions(self, data: np.ndarray, bounds: np.ndarray) -> tuple[list[int], list[int]]:
+        """Texts for the library as a whole (special tokens, white space that is none elsewhere, broken UTF-8), and those with white space beyond ASCII."""
+        n = len(bounds) - 1
+        if not self.by_word:
+            return list(range(n)), []
+        odd = [np.nonzero((data >= 0x1C) & (data <= 0x1F))[0]]
+        raw = data.tobytes()
+        for special in self.special:
+            at = raw.find(special)
+            while at >= 0:
+                odd.append(np.array([at]))
+                at = raw.find(special, at + 1)
+        lead = np.nonzero(LEADS[data])[0]
+        first, second, third = (np.append(data, [0, 0]).astype(np.int64)[lead + k] for k in range(3))
+        two, three = first << 8 | second, first << 16 | second << 8 | third
+        odd.append(lead[(two == 0xC285) | (three == 0xE1A08E)])
+        wide = lead[(two == 0xC2A0) | np.isin(three, WIDE_SPACES)]
+        texts = lambda places: set((np.searchsorted(bounds, places, side="right") - 1).tolist())
+        whole = set().union(*map(texts, odd))
+        try:
+            str(raw, "utf-8")
+        except UnicodeDecodeError:
+            for i in range(n):
+                try:
+                    str(raw[bounds[i] : bounds[i + 1]], "utf-8")
+                except UnicodeDecodeError:
+                    whole.add(i)
+        return sorted(whole), sorted(texts(wide) - whole)
+
+
+#: First bytes of white space beyond ASCII, and its characters of three bytes.
+LEADS = np.isin(np.arange(256), (0xC2, 0xE1, 0xE2, 0xE3))
+WIDE_SPACES = [int.from_bytes(chr(c).encode()) for c in (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+BLANK = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+
+
+def word_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """First bytes of the words that `WORDS` finds in each text, where all white space is ASCII, cut further where the pre-tokenizer surely does.
+
+    Of a run of white space before other characters, the last one joins them if it is a space, or else is a word; what precedes it is another
+    word. Between a letter and a digit, and after either before ASCII punctuation, a new word begins: no token of the pre-tokenizer holds both.
+    """
+    if not len(data):
+        return np.zeros(0, np.int64)
+    blank = BLANK[data]
+    first = np.zeros(len(data), bool)
+    first[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+    after = np.append(False, blank[:-1]) & ~first  # white space precedes, in the same text
+    start = first | (blank & ~after)
+    solid = np.nonzero(after & ~blank)[0]
+    start[solid - 1] = True
+    start[solid[data[solid - 1] != 32]] = True
+    kind = KINDS[data]
+    # the last byte of a letter of two bytes is as good as a letter, but for the signs of multiplication and division
+    pair = np.nonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC8) & (kind[1:] == OTHER))[0]
+    kind[pair[(data[pair] != 0xC3) | ((data[pair + 1] != 0x97) & (data[pair + 1] != 0xB7))] + 1] = LETTER
+    a, b = kind[:-1], kind[1:]
+    start[1:] |= ((a == LETTER) & ((b == MARK) | (b == DIGIT))) | ((a == DIGIT) & ((b == MARK) | (b == LETTER) & (data[1:] < 128)))
+    return np.nonzero(start)[0]
+
+
+#: Kinds of bytes: ASCII letters, digits and punctuation, and all others.
+OTHER, LETTER, DIGIT, MARK = range(4)
+KINDS = np.array([OTHER if not 32 < c < 127 else LETTER if chr(c).isalpha() else DIGIT if chr(c).isdigit() else MARK for c in range(256)], np.uint8)
+
 
 class Words:
     """The ids of words, one word after another in one array."""
@@ -114,11 +186,11 @@ class Words:
         self.at: dict[str, int] = {}
         self.bounds, self.pool = array("q", [0]), array("I")
 
-    def put(self, word: str, ids) -> None:
-        if word not in self.at:
-            self.at[word] = len(self.at)
-            self.pool.extend(ids)
-            self.bounds.append(len(self.pool))
+    def put(self, words: list[str], ids: list) -> None:
+        """Enter different words that are not there yet."""
+        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
+        self.bounds.extend((np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) + len(self.pool)).tolist())
+        self.pool.extend(chain.from_iterable(ids))
 
     def ids(self, word: str) -> array:
         k = self.at[word]
@@ -133,10 +205,8 @@ def tokens(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
         squeeze, counts = zstandard.ZstdCompressor(level=1), np.zeros(1 << 17, np.int64)
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
-            view = memoryview(data)
             for a, b in runs(offsets, RUN_BYTES):
-                texts = [str(view[x:y], "utf-8", "replace") for x, y in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist(), strict=True)]
-                ids = [np.append(x, np.uint32(end_id)) for x in model.encode(texts)]
+                ids = [np.append(x, np.uint32(end_id)) for x in model.encode_bytes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
                 got = np.bincount(np.concatenate(ids))
                 if len(got) > len(counts):
                     counts = np.concatenate((counts, np.zeros(len(got), np.int64)))
