@@ -152,6 +152,42 @@ def seen(value: bytes, before: bytes, after: bytes, words: set[bytes]) -> list[f
     ]
 
 
+#: What stands before values that are no secrets, and before secrets; values that only stand for one; plain words.
+PUBLIC_NAMES = ("digest sha256 = ", 'sha256: "', "checksum = ", "commit ", "md5 ", 'etag: "', "revision ", "id = ", 'request_id: "', "the file ", "and ", "tree ", 'build = "', "fingerprint: ")
+SECRET_NAMES = ('token = "', "token: ", "api_key = ", 'secret = "', "password: ", 'pwd="', "auth_token=", "credential: ", "Authorization: Bearer ", 'private_key = "')
+STAND_INS = ("changeme", "example", "your-api-key", "your_token_here", "xxxxxxxx", "XXXXXXXXXXXX", "********", "<token>", "${TOKEN}", "{{ secret }}", "null", "none", "None", "true", "password", "secret", "placeholder", "TODO", "redacted", "[hidden]", "os.environ", "getenv('KEY')", "undefined", "default", "test", "dummy")
+PLAIN_WORDS = ("everyone", "knows", "river", "station", "window", "garden", "server", "winter", "paper", "required", "expires", "optional", "string", "value", "never", "always", "people", "nothing", "holder", "between", "question", "answer")
+HEX, MIXED, PRINTED = b"0123456789abcdef", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", bytes(range(33, 127)).replace(b'"', b"").replace(b"'", b"")
+MADE = 80
+
+
+def made_findings(n: int = MADE, seed: int = 23) -> list[tuple[bytes, bytes, bytes, int]]:
+    """Findings (value, before, after, label) of kinds that no table need hold: `n` of each, the same on every run.
+
+    Hashes, ids, dates, links, numbers, stand-ins and plain words are no secrets, the last five even after a secret's name;
+    keys and passwords after such a name are.
+    """
+    rng = np.random.default_rng(seed)
+    pick = lambda choices: choices[int(rng.integers(len(choices)))]
+    run = lambda alphabet, length: bytes(rng.choice(np.frombuffer(alphabet, np.uint8), length))
+    around = lambda names: (f"{pick(PLAIN_WORDS)} {pick(PLAIN_WORDS)} {pick(names)}".encode(), f'" {pick(PLAIN_WORDS)} '.encode())
+    out = []
+    for _ in range(n):
+        h = run(HEX, 32)
+        uuid = b"-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:]))
+        date = f"20{rng.integers(10, 40)}-{rng.integers(1, 13):02}-{rng.integers(1, 29):02}"
+        for value in (run(HEX, pick((32, 40, 40, 64))), run(HEX, pick((7, 12, 40))), uuid):
+            out.append((value, *around(PUBLIC_NAMES), 0))
+        for value in (date, f"{date}T{rng.integers(10, 24)}:00:00Z", f"https://{pick(PLAIN_WORDS)}.example/{pick(PLAIN_WORDS)}?id={rng.integers(1000)}", str(rng.integers(10**6)), f"{rng.integers(30)}.{rng.integers(30)}.{rng.integers(30)}"):
+            out.append((value.encode(), *around(SECRET_NAMES), 0))
+        for value in (pick(STAND_INS), pick(PLAIN_WORDS), f"{pick(PLAIN_WORDS)}_{pick(PLAIN_WORDS)}_{rng.integers(20)}", f"/{pick(PLAIN_WORDS)}/{pick(PLAIN_WORDS)}{rng.integers(9)}"):
+            out.append((value.encode(), *around(SECRET_NAMES), 0))
+        for value in (run(HEX, pick((32, 40, 64))), run(MIXED, int(rng.integers(20, 64))), pick((b"sk_live_", b"ghp_", b"AKIA", b"xoxb-", b"eyJ")) + run(MIXED, int(rng.integers(16, 40))), run(PRINTED, int(rng.integers(8, 20))), run(MIXED, int(rng.integers(8, 16)))):
+            out.append((value, *around(SECRET_NAMES), 1))
+        out.append((run(MIXED, int(rng.integers(32, 64))), *around(PLAIN_WORDS), 1))  # mixed case and digits without a name
+    return out
+
+
 @dataclass
 class Forest:
     """Trees as arrays: feature (-1 at a leaf), threshold, left child (right is next to it) and share of secrets."""
@@ -217,12 +253,15 @@ def grown(x: np.ndarray, y: np.ndarray, words: set[bytes], trees: int = 40, dept
     return Forest(out, words)
 
 
-def lowest(docs: DataFrame, n: int, which=None) -> DataFrame:
-    """`text` of the `n` different texts with the lowest hashes; only hashes are sorted, and at most `n` are broadcast."""
+def sampled(docs: DataFrame, n: int) -> DataFrame:
+    """`text` of the `n` different texts with the lowest hashes among those with a secret's name, and of the `n` lowest among all.
+
+    Each text is hashed and tested once; only hashes are sorted, and at most 2 * `n` are broadcast.
+    """
     rows = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL").withColumn("h", F.xxhash64("text"))
-    rows = rows if which is None else rows.where(which)
-    hashes = rows.select("h").distinct().orderBy("h").limit(n)
-    return rows.join(F.broadcast(hashes), "h").dropDuplicates(["h"])
+    marks = stored(rows.select("h", F.col("text").rlike(HINT).alias("named")), "marks")
+    lows = [part.select("h").distinct().orderBy("h").limit(n) for part in (marks.where("named"), marks)]
+    return rows.join(F.broadcast(lows[0].union(lows[1]).distinct()), "h").groupBy("h").agg(F.min("text").alias("text"))
 
 
 def labelled_findings(docs: DataFrame, sample: int = SAMPLE, findings: int = FINDINGS) -> DataFrame:
@@ -233,7 +272,7 @@ def labelled_findings(docs: DataFrame, sample: int = SAMPLE, findings: int = FIN
     have such a name, the others are any; the lowest hashes come first. Each class has half of `findings` to itself, and
     of one text at most PER_TEXT of a class.
     """
-    chosen = lowest(docs, sample, F.col("text").rlike(HINT)).unionByName(lowest(docs, sample))
+    chosen = sampled(docs, sample)
 
     def of_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,7 +286,7 @@ def labelled_findings(docs: DataFrame, sample: int = SAMPLE, findings: int = FIN
                     if (ASSIGNED.search(before) or before[-1:] == b":") and not any(48 <= c <= 57 for c in value):
                         continue  # a password or a word: no label
                     secret = bool(ASSIGNED.search(before)) and any(48 <= c <= 57 for c in value) and any(c >= 65 for c in value)
-                    of_text[secret].append((value[:256], before, text[b : b + AROUND], int(secret)))
+                    of_text[secret].append((value, before, text[b : b + AROUND], int(secret)))
                 for both in of_text:
                     found += sorted(both, key=lambda f: xxhash.xxh64_intdigest(f[0] + f[1]))[:PER_TEXT]
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary() if k < 3 else pa.int32()) for k in range(4)], ["value", "before", "after", "label"])
@@ -296,27 +335,44 @@ def _group(g: int) -> bytes:
     return bytes([97 + g // 26, 97 + g % 26]) if g < 26**2 else bytes([97 + (g - 26**2) // 26**2, 97 + (g - 26**2) // 26 % 26, 97 + (g - 26**2) % 26])
 
 
+def is_hex(value: bytes) -> bool:
+    return all(c in b"0123456789abcdefABCDEF-" for c in value)
+
+
+def examples(value: bytes, before: bytes, after: bytes, label: int) -> list[tuple[bytes, bytes, bytes, int]]:
+    """What one finding teaches. A secret's form counts without its neighbours too, unless hashes and ids have that form; a false positive's also as if
+    assigned, so that the name alone doesn't decide. Both are shown cut short after a name, so that length doesn't, and for a secret a made password.
+    """
+    out = [(value, before, after, label)]
+    if not is_hex(value):
+        out += [(value, b" ", b" ", 1) if label else (value, b'token = "', b'" ', 0), (shorter(value), b'password = "', b'" ', label)]
+    elif label:
+        out += [(value, b" ", b" ", 0), (shorter(value), b'password = "', b'" ', 1)]
+    return out + ([(password(value), b'password = "', b'" ', 1)] if label else [])
+
+
 def learned(docs: DataFrame, findings: DataFrame | None = None) -> Forest:
-    """A forest from labelled findings (value, before, after, label), by default those of `labelled_findings`.
+    """A forest from labelled findings (value, before, after, label), by default those of `labelled_findings`, and `made_findings`.
 
-    Every secret is also shown without its neighbours, so that its form counts too, and every false positive also as if
-    assigned, so that the name alone doesn't. Both are shown cut short after a name, so that length doesn't decide, and for every
-    secret a made password, as the tables have none.
+    Values are turned into features where they are; only features come to the driver, at most about `FINDINGS` times four rows of them. Without
+    any finding, from an empty table too, the made ones alone teach.
     """
     words = dictionary(docs)
-    rows = (labelled_findings(docs) if findings is None else findings).collect()
-    x, y = [], []
-    for r in sorted(rows, key=lambda r: (bytes(r["value"]), bytes(r["before"]), bytes(r["after"]))):
-        value, before, after = (bytes(r[k]) for k in ("value", "before", "after"))
-        x += [seen(value, before, after, words), seen(value, b" ", b" ", words) if r["label"] else seen(value, b'token = "', b'" ', words)]
-        x.append(seen(shorter(value), b'password = "', b'" ', words))
-        y += [r["label"]] * 3
-        if r["label"]:
-            x.append(seen(password(value), b'password = "', b'" ', words))
-            y.append(1)
-    if 1 in y and 0 not in y:
-        raise ValueError("secrets but no false positives among the findings: nothing to tell them apart by")
-    return grown(np.array(x, float).reshape(-1, len(SEEN)), np.array(y), words)
+
+    def of_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = [], []
+            for value, before, after, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for *found, y_one in examples(value, before, after, label):
+                    x.append(seen(*found, words))
+                    y.append(y_one)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], ["x", "y"])
+
+    rows = labelled_findings(docs) if findings is None else findings
+    binary = [F.col(c).cast("binary") for c in ("value", "before", "after")]
+    taught = rows.select(*binary, F.col("label").cast("int")).mapInArrow(of_batches, "x array<double>, y int").collect()
+    taught = sorted((list(r["x"]), r["y"]) for r in taught) + [(seen(*found, words), y) for *found, y in made_findings()]
+    return grown(np.array([t[0] for t in taught], float), np.array([t[1] for t in taught]), words)
 
 
 def scanned(docs: DataFrame, model: Forest, keep: tuple[str, ...] = ("doc_id",), least: float = 0.5) -> DataFrame:
