@@ -33,15 +33,17 @@ ASKED = 256
 SLACK = 1e-9
 
 
-def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def usable(vectors: DataFrame, size: int | None = None, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """vec_id and embedding (doubles) of the rows that take part.
 
     Rows without id and vectors that are null, zero, or hold null or non-finite components don't. The
-    dimension is the most frequent length among the rest (the greater one, if several are);
+    dimension is `size`, or the most frequent length among the rest (the greater one, if several are);
     vectors of another length don't take part either.
     """
     whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & whole)
+    if size is not None:
+        return rows.where(F.size("embedding") == size)
     common = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
     return rows.where(F.size("embedding") == (common[0]["n"] if common else 0))
 
@@ -180,7 +182,7 @@ def best(found: DataFrame, key: str, k: int) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, probe_share: float = 0.75, least_probes: int = 12) -> DataFrame:
     """query_id, rank, vec_id and score of the k rows of `vectors` nearest to each row of `queries`.
 
-    Both have vec_id and embedding; `usable` says which rows take part. A query's own row (the same
+    Both have vec_id and embedding; `usable` says which rows take part, queries with the table's dimension. A query's own row (the same
     vec_id) is no candidate. Nearness is the largest inner product in double precision, ties to the
     smaller vec_id; fewer candidates than k give as many rows. Rows that repeat an id and a vector count once,
     and where an id has several vectors each is a candidate; of query rows that share an id the one
@@ -215,7 +217,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, probe_share: fl
     chunks = index.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     index = index.join(F.broadcast(chunks), "list").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int"))
 
-    asking = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).where(F.size("embedding") == found["size"])
+    asking = usable(queries, found["size"]).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     groups = asking.groupBy("embedding").agg(F.min("vec_id").alias("qkey"))
     members = asking.join(groups, "embedding").select(F.col("vec_id").alias("query_id"), "qkey")
     asks = stored(groups.select("qkey", "embedding").mapInArrow(probed, "qkey long, embedding array<double>, probes array<int>"), "asks")

@@ -41,6 +41,15 @@ def test_nearest_of_few(spark, rows):
     assert len(got) == len(rows) * max(0, len(rows) - 1)
 
 
+def test_nearest_takes_the_tables_dimension(spark):
+    """Most queries have another length than the table: those of its length are answered all the same."""
+    rng = np.random.default_rng(3)
+    table = spark.createDataFrame([(i, rng.standard_normal(16).tolist()) for i in range(50)], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(100 + i, rng.standard_normal(16 if i < 2 else 8).tolist()) for i in range(10)], "vec_id long, embedding array<double>")
+    got = nearest(table, queries).groupBy("query_id").count().collect()
+    assert {(r.query_id, r["count"]) for r in got} == {(100, 20), (101, 20)}
+
+
 def test_connected(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 102), (200, 200)]
     got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
