@@ -10,15 +10,14 @@ Spark writes and commits both as Parquet, so that a lost executor leaves no half
 
 from __future__ import annotations
 
-import gc
 import os
 import re
-from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +31,10 @@ LONGEST = 16
 STEP = 256
 BLOCK_IDS = 1 << 18
 RUN_BYTES = 4 << 20
-WORDS_KEPT = 400_000
+WORDS_KEPT = 600_000
+ASKED, LINE = 8_192, 256
 WORDS = re.compile(r"\s+(?!\S)| ?\S+|\s")
+JOINED = re.compile(r" [!-~¡-¬®-ɏ]+")
 
 
 class Tokenizer:
@@ -55,17 +56,47 @@ class Tokenizer:
         cutter = spec["pre_tokenizer"] or {}
         self.by_word = cutter.get("type") == "ByteLevel" and cutter.get("use_regex") and not cutter.get("add_prefix_space") and spec["normalizer"] is None and not spec["model"].get("ignore_merges")
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
+        #: Bytes that each id stands for: the vocabulary spells every byte as one character.
+        self.bytes_of = np.zeros(self.library.get_vocab_size(), np.int64)
+        for token, i in self.library.get_vocab().items():
+            self.bytes_of[i] = len(token)
         self.known, self.before = Words(), Words()
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[str]) -> None:
-        """Enter words that the table lacks; those met lately are taken from the table before."""
-        again = [w for w in words if w in self.before.at]
-        self.known.put(again, [self.before.ids(w) for w in again])
-        missing = sorted(words.difference(again))
-        self.known.put(missing, self.whole(missing))
+    def learned(self, words: pa.Array) -> np.ndarray:
+        """Numbers in the table of different words; those it lacks are entered, from the table before or by asking the library."""
+        number = self.known.find(words)
+        lacking = np.nonzero(number < 0)[0]
+        if len(lacking):
+            old = self.before.find(words.take(pa.array(lacking)))
+            again, new = np.nonzero(old >= 0)[0], np.nonzero(old < 0)[0]
+            first = len(self.known)
+            self.known.put(words.take(pa.array(lacking[again])), *self.before.ids(old[again]))
+            asked = words.take(pa.array(lacking[new])).cast(pa.string()).to_pylist()
+            # behind a solid end, a single space before a solid character begins a word, so such words can be asked for in one text
+            joined = np.fromiter((JOINED.fullmatch(w) is not None for w in asked), bool, len(asked))
+            order = np.concatenate((new[joined], new[~joined]))
+            for apart, some in self.portions([w for w, j in zip(asked, joined, strict=True) if j], [w for w, j in zip(asked, joined, strict=True) if not j]):
+                data = [w.encode() for w in some]
+                if apart:
+                    ids = self.whole(some)
+                    size, ids = np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(chain.from_iterable(ids), np.uint32)
+                else:
+                    ids = np.fromiter(chain.from_iterable(self.whole(["".join(some[k : k + LINE]) for k in range(0, len(some), LINE)])), np.uint32)
+                    ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(list(map(len, data)))) + 1
+                    size = np.diff(ends, prepend=0)
+                self.known.put(pa.array(data, pa.binary()), size, ids)
+            number[lacking[np.concatenate((again, order))]] = np.arange(first, len(self.known))
+        return number
+
+    @staticmethod
+    def portions(joined: list[str], apart: list[str]) -> Iterator[tuple[bool, list[str]]]:
+        """Words in portions, as the library's answers are large."""
+        for alone, words in ((False, joined), (True, apart)):
+            for i in range(0, len(words), ASKED):
+                yield alone, words[i : i + ASKED]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         data = [t.encode() for t in texts]
@@ -82,7 +113,7 @@ class Tokenizer:
         whole, spaced = self.exceptions(data, bounds)
         fast = np.ones(n, bool)
         fast[[*whole, *spaced]] = False
-        if len(self.known.at) >= WORDS_KEPT:
+        if len(self.known) >= WORDS_KEPT:
             self.known, self.before = Words(), self.known
         pos = word_starts(data, bounds)
         doc = np.searchsorted(bounds, pos, side="right") - 1
@@ -91,21 +122,17 @@ class Tokenizer:
         if not fast.all():
             cut = cut.filter(pa.array(fast[doc]))
         coded = cut.dictionary_encode()
-        different = coded.dictionary.cast(pa.string()).to_pylist()
-        lists = [WORDS.findall(text(i)) for i in spaced]
-        gc.disable()  # nothing below makes cycles, and the many small lists would set off pass after pass
-        self.learn(set(different).union(*lists).difference(self.known.at))
-        gc.enable()
-        at = self.known.at.__getitem__
-        numbers = np.split(np.fromiter(map(at, different), np.int64, len(different))[coded.indices.to_numpy()], np.cumsum(counts)[:-1]) if n else []
-        for i, words in zip(spaced, lists, strict=True):
-            numbers[i] = np.fromiter(map(at, words), np.int64, len(words))
-        sizes = np.fromiter(map(len, numbers), np.int64, n)
-        number = np.concatenate(numbers) if n else np.zeros(0, np.int64)
-        starts, pool = np.frombuffer(self.known.bounds, np.int64), np.frombuffer(self.known.pool, np.uint32)
-        size = starts[number + 1] - starts[number]
+        number, sizes = self.learned(coded.dictionary)[coded.indices.to_numpy()], counts
+        if spaced:
+            lists = [WORDS.findall(text(i)) for i in spaced]
+            different = sorted(set().union(*lists))
+            at = dict(zip(different, self.learned(pa.array([w.encode() for w in different], pa.binary())).tolist(), strict=True))
+            numbers = np.split(number, np.cumsum(counts)[:-1])
+            for i, words in zip(spaced, lists, strict=True):
+                numbers[i] = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+            number, sizes = np.concatenate(numbers), np.fromiter(map(len, numbers), np.int64, n)
+        size, ids = self.known.ids(number)
         ends = np.cumsum(size)
-        ids = pool[np.repeat(starts[number] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
         out = np.split(ids, np.concatenate(([0], ends))[np.cumsum(sizes)[:-1]]) if n else []
         for i, found in zip(whole, self.whole([text(i) for i in whole]), strict=True):
             out[i] = np.array(found, np.uint32)
@@ -180,21 +207,32 @@ KINDS = np.array([OTHER if not 32 < c < 127 else LETTER if chr(c).isalpha() else
 
 
 class Words:
-    """The ids of words, one word after another in one array."""
+    """Different words and the ids of each, one word after another in one array."""
 
     def __init__(self):
-        self.at: dict[str, int] = {}
-        self.bounds, self.pool = array("q", [0]), array("I")
-
-    def put(self, words: list[str], ids: list) -> None:
-        """Enter different words that are not there yet."""
-        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
-        self.bounds.extend((np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) + len(self.pool)).tolist())
-        self.pool.extend(chain.from_iterable(ids))
-
-    def ids(self, word: str) -> array:
-        k = self.at[word]
-        return self.pool[self.bounds[k] : self.bounds[k + 1]]
+        self.words = pa.array([], pa.binary())
+        self.bounds, self.pool = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Number of each word, -1 for those that are not there."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+
+    def put(self, words: pa.Array, size: np.ndarray, ids: np.ndarray) -> None:
+        """Enter words that are not there yet."""
+        if len(size) != len(words) or size.sum() != len(ids):
+            raise ValueError("ids don't add up to the words")
+        self.words = pa.concat_arrays([self.words, words])
+        self.bounds = np.concatenate((self.bounds, self.bounds[-1] + np.cumsum(size)))
+        self.pool = np.concatenate((self.pool, ids))
+
+    def ids(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of these words has, and all of them in order."""
+        size = self.bounds[number + 1] - self.bounds[number]
+        ends = np.cumsum(size)
+        return size, self.pool[np.repeat(self.bounds[number] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def tokens(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
