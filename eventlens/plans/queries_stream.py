@@ -8,11 +8,13 @@ from eventlens.operators import enrich as E
 from eventlens.plans import queries_behavior as QB
 from eventlens.plans import queries_detect as QD
 from eventlens.plans.catalog import ORACLES, query
-from eventlens.plans.tables import SEC, SEC_COLUMNS, utc
+from eventlens.plans.tables import SEC, SEC_COLUMNS, table, utc
 from eventlens.session import new_path
+from eventlens.sources import writers as O
 from eventlens.streaming import runner as N
 from eventlens.streaming import stateful as S
 from eventlens.streaming import windows as Z
+from eventlens.streaming.drops import counted_drops
 
 W = f"WITH {SEC} "
 
@@ -122,11 +124,54 @@ def _(spark, sf):
     return out.withColumn("window_start", utc(F.col("window_start"))).withColumn("total", F.round("total", 4)).withColumn("mean", F.round("mean", 8))
 
 
-@query("stream_late", "SELECT event_id, 'on_time' AS state FROM events")
+# every fiftieth event comes with the last quarter, most of them late
+ARRIVAL = "CASE WHEN event_id % 50 = 0 THEN 3 ELSE event_id * 4 // n END"
+LATE_SQL = f"""WITH e AS (SELECT event_id, event_type, value, epoch_us(ts) AS us, {ARRIVAL} AS batch FROM events, (SELECT count(*) AS n FROM events)),
+ b AS (SELECT batch, max(max(us)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest, max(max(us)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS older FROM e GROUP BY 1)"""
+
+
+def arriving(spark, sf):
+    """The events as four files, one after another; a stream takes one in each batch."""
+    events, path = table(spark, sf, "events"), new_path(spark, "arriving")
+    n = events.count()
+    batch = F.when(F.col("event_id") % 50 == 0, 3).otherwise(F.floor(F.col("event_id") * 4 / n))
+    for k in range(4):
+        events.where(batch == k).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(path)
+    return N.stream_table(spark, path, files_per_batch=1)
+
+
+@query("stream_late", LATE_SQL + " SELECT event_id, CASE WHEN us < newest - 600000000 THEN 'late' ELSE 'on_time' END AS state FROM e JOIN b USING (batch)")
 def _(spark, sf):
     on_time, late, seen = (new_path(spark, n) for n in ("on-time", "late", "seen"))
-    stream = event_stream(spark, sf)
-    writer = stream.writeStream.foreachBatch(Z.late_split(on_time, late, seen, "10m"))
+    writer = arriving(spark, sf).writeStream.foreachBatch(Z.late_split(on_time, late, seen, "10m"))
     writer.option("checkpointLocation", new_path(spark, "late-checkpoint")).trigger(availableNow=True).start().awaitTermination()
     parts = [spark.read.parquet(p).select("event_id", F.lit(n).alias("state")) for p, n in ((on_time, "on_time"), (late, "late"))]
     return parts[0].union(parts[1])
+
+
+@query("stream_drops", LATE_SQL + " SELECT batch, CAST(count(*) FILTER (us < older // 1000 * 1000 - 600000000) AS BIGINT) AS dropped FROM e JOIN b USING (batch) GROUP BY 1")
+def _(spark, sf):
+    """Rows that the watermark of a deduplicating stream drops, by batch."""
+    with counted_drops(spark) as counter:
+        events = arriving(spark, sf).withWatermark("ts", "10 minutes").dropDuplicates(["event_id", "ts"])
+        started = events.writeStream.format("noop").option("checkpointLocation", new_path(spark, "drops")).trigger(availableNow=True).start()
+        started.awaitTermination()
+        counter.wait(str(started.runId))
+    # a batch without rows may follow, to let go of old state
+    return counter.counts(spark).where("batch < 4").select("batch", "dropped")
+
+
+@query("stream_event_store", "SELECT event_id, CAST(date_trunc('day', ts) AS DATE) AS date, CAST(hour(ts) AS INTEGER) AS hour FROM events")
+def _(spark, sf):
+    out = new_path(spark, "store")
+    events = arriving(spark, sf).withColumn("source", F.col("event_type"))
+    O.stream_event_store(events, out, new_path(spark, "store-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("event_id", "date", "hour")
+
+
+@query("stream_dead_letter", "SELECT event_id, CASE WHEN event_type = 'error' AND value > 40 THEN 'too large' ELSE 'good' END AS state FROM events")
+def _(spark, sf):
+    good, bad = new_path(spark, "good"), new_path(spark, "bad")
+    write = O.sink_dead_letter(good, bad, lambda df: F.when((F.col("event_type") == "error") & (F.col("value") > 40), "too large"))
+    arriving(spark, sf).writeStream.foreachBatch(write).option("checkpointLocation", new_path(spark, "letters")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(good).select("event_id", F.lit("good").alias("state")).union(spark.read.parquet(bad).select("event_id", "error"))

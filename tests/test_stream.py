@@ -16,6 +16,7 @@ from eventlens.sources import writers as O
 from eventlens.streaming import runner as N
 from eventlens.streaming import stateful as S
 from eventlens.streaming import windows as Z
+from eventlens.streaming.drops import counted_drops
 
 SCHEMA = "event_id long, ts timestamp, user string, src_ip string, process_name string, source string, action string"
 
@@ -95,6 +96,24 @@ def test_late_rows_and_dead_letters(spark):
     assert spark.read.parquet(good).count() == 4
 
 
+def test_dropped_rows_are_counted(spark):
+    path = new_path(spark, "drops-in")
+    for rows in ([(1, at(0)), (2, at(5000))], [(3, at(4900)), (4, at(100)), (5, at(9000))], [(6, at(8000)), (7, at(8500)), (8, at(200)), (9, at(8300))]):
+        spark.createDataFrame(rows, "event_id long, ts timestamp").coalesce(1).write.mode("append").parquet(path)
+    with counted_drops(spark) as counter:
+        kept = stream(spark, path).withWatermark("ts", "10 minutes").dropDuplicates(["event_id", "ts"])
+        out, checkpoint = new_path(spark, "kept"), new_path(spark, "c")
+        started = kept.writeStream.queryName("drops").option("checkpointLocation", checkpoint).format("parquet").option("path", out).trigger(availableNow=True).start()
+        started.awaitTermination()
+        counter.wait(str(started.runId))
+    rows = {r.batch: r.dropped for r in counter.counts(spark).where("query = 'drops'").collect()}
+    assert [rows[k] for k in range(3)] == [0, 0, 1]  # as the watermark stood after the first batch
+    assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4, 5, 6, 7, 9]
+    stored = new_path(spark, "counts")
+    counter.save(spark, stored)
+    assert spark.read.parquet(stored).agg(F.sum("dropped")).first()[0] == 1 and counter.counts(spark).count() == 0
+
+
 def test_event_store_stream(spark, landed):
     out = new_path(spark, "store")
     O.stream_event_store(stream(spark, landed), out, new_path(spark, "c")).trigger(availableNow=True).start().awaitTermination()
