@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from eventlens.functions.fields import field
+from eventlens.operators import heavy as H
+from eventlens.operators import postings as G
 from eventlens.operators import rollups as U
 from eventlens.operators import search as S
 from eventlens.operators import shape as P
@@ -53,6 +55,20 @@ def _(spark, sf):
     return S.search_index(spark.read.parquet(path), "thtion attion", "doc_id")
 
 
+BOOLEAN = ("or", ("and", "thtion", ("not", "attion")), ("and", "Attion the", ("or", "ingthe", ("not", "thtion"))))
+
+
+@query(
+    "search_postings",
+    f"""WITH {TOKENS}, h AS (SELECT documents.doc_id, coalesce(bool_or(token = 'thtion'), false) AS a, coalesce(bool_or(token = 'attion'), false) AS b, coalesce(bool_or(token = 'ingthe'), false) AS c FROM documents LEFT JOIN tok ON documents.doc_id = tok.doc_id GROUP BY 1)
+    SELECT doc_id FROM h WHERE (a AND NOT b) OR (b AND (c OR NOT a))""",
+)
+def _(spark, sf):
+    path = new_path(spark, "postings")
+    G.write_postings(table(spark, sf, "documents"), "doc_id", "text", path)
+    return G.search_postings(spark, path, BOOLEAN).withColumnRenamed("key", "doc_id")
+
+
 @query(
     "where_compare",
     W + """SELECT event_id, value, user_name FROM sec WHERE value > 9.5 AND (user_name <> 'u7' OR user_name IS NULL)
@@ -302,6 +318,16 @@ def _(spark, sf):
     return U.overlap(half("2000-01-01", "2024-01-15"), half("2024-01-15", "2100-01-01"), "user_name", ["hostname"])
 
 
+@query(
+    "stats_largest",
+    W + """, g AS (SELECT process_name, row_number() OVER (ORDER BY count(*) DESC, CASE WHEN process_name IS NULL THEN '{"process_name":null}' ELSE '{"process_name":"' || process_name || '"}' END) <= 5 AS shown FROM sec GROUP BY 1),
+    m AS (SELECT sec.*, shown FROM sec JOIN g ON sec.process_name IS NOT DISTINCT FROM g.process_name)
+    SELECT CASE WHEN shown THEN process_name END AS process_name, NOT shown AS rest, count(*) AS n, count(DISTINCT user_name) AS users, max(value) AS highest FROM m GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    return sec_events(spark, sf).transform(H.stats_largest(("process_name",), [("count", None, "n"), ("dc", "user_name", "users"), ("max", "value", "highest")], 5))
+
+
 @query("stats_values", W + "SELECT hostname, process_name AS value, count(*) AS n FROM sec WHERE process_name IS NOT NULL GROUP BY 1, 2")
 def _(spark, sf):
     return sec_events(spark, sf).transform(A.stats_values("process_name", "hostname"))
