@@ -81,29 +81,33 @@ def merkle_proofs(df: DataFrame, leaf: Column, order: list[str], wanted: Column,
     count, nodes = numbered.count(), numbered.select("i", "h")
     proofs = numbered.where(wanted).withColumn("_at", F.col("i")).withColumn("path", F.array().cast("array<struct<hash:string,on_left:boolean>>"))
     while count > 1:
-        last = count <= width
-        blocks = _blocks(nodes, width)
-        # all levels of a block, the leaves first
-        grow = lambda a, _: F.concat(a, F.array(_parents(F.element_at(a, -1))))
-        step = lambda a, i: F.when(F.size(F.element_at(a, -1)) > 1, grow(a, i)).otherwise(a) if last else grow(a, i)
-        tree = F.aggregate(F.sequence(F.lit(1), F.lit(levels)), F.array("hs"), step)
-        blocks = cut_lineage(blocks.select("b", tree.alias("_tree")))
-        joined = proofs.withColumn("_b", F.floor(F.col("_at") / width)).join(blocks, F.col("_b") == F.col("b"))
-        inner = (F.col("_at") % width).cast("int")
-        heights = F.when(F.size("_tree") > 1, F.sequence(F.lit(0), F.size("_tree") - 2)).otherwise(F.array().cast("array<int>"))
-
-        def sibling(level):
-            place = F.floor(inner / F.pow(F.lit(2), level)).cast("int")
-            other = F.when(place % 2 == 0, place + 1).otherwise(place - 1)
-            row = F.get(F.col("_tree"), level)
-            return F.struct(F.coalesce(F.get(row, other), F.get(row, place)).alias("hash"), (place % 2 == 1).alias("on_left"))
-
-        proofs = joined.withColumn("path", F.concat("path", F.transform(heights, sibling))).withColumn("_at", F.col("_b")).drop("_b", "b", "_tree")
+        proofs, blocks = climbed(proofs, _blocks(nodes, width), levels, last=count <= width)
         nodes = blocks.select(F.col("b").alias("i"), F.element_at(F.element_at("_tree", -1), 1).alias("h"))
         count = -(-count // width)
     return proofs.drop("_at")
 
 
+def climbed(proofs: DataFrame, blocks: DataFrame, levels: int, last: bool) -> tuple[DataFrame, DataFrame]:
+    """`proofs` with the siblings that their blocks (b, hs) add to `path`, `_at` becoming the block's number, and the blocks' trees; `last`: the block holds the root."""
+    width = 1 << levels
+    # all levels of a block, the leaves first
+    grow = lambda a, _: F.concat(a, F.array(_parents(F.element_at(a, -1))))
+    step = lambda a, i: F.when(F.size(F.element_at(a, -1)) > 1, grow(a, i)).otherwise(a) if last else grow(a, i)
+    tree = F.aggregate(F.sequence(F.lit(1), F.lit(levels)), F.array("hs"), step)
+    blocks = cut_lineage(blocks.select("b", tree.alias("_tree")))
+    joined = proofs.withColumn("_b", F.floor(F.col("_at") / width)).join(blocks, F.col("_b") == F.col("b"))
+    inner = (F.col("_at") % width).cast("int")
+    heights = F.when(F.size("_tree") > 1, F.sequence(F.lit(0), F.size("_tree") - 2)).otherwise(F.array().cast("array<int>"))
+
+    def sibling(level):
+        place = F.floor(inner / F.pow(F.lit(2), level)).cast("int")
+        other = F.when(place % 2 == 0, place + 1).otherwise(place - 1)
+        row = F.get(F.col("_tree"), level)
+        return F.struct(F.coalesce(F.get(row, other), F.get(row, place)).alias("hash"), (place % 2 == 1).alias("on_left"))
+
+    return joined.withColumn("path", F.concat("path", F.transform(heights, sibling))).withColumn("_at", F.col("_b")).drop("_b", "b", "_tree"), blocks
+
+
 def proof_root(leaf_hash: Column, path: Column) -> Column:
     """Root that a leaf and its path lead to."""
     join = lambda a, b: F.sha2(F.concat(F.unhex(a), F.unhex(b)), 256)

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from eventlens.operators import enrich as E
 from eventlens.operators import integrity as I
+from eventlens.operators import ledger as J
 from eventlens.operators import privacy as V
 from eventlens.operators.rules import Condition
 from eventlens.plans.catalog import query
 from eventlens.plans.tables import SEC, sec_events, table
+from eventlens.session import new_path
 
 W = f"WITH {SEC} "
 MASK_SALT, TOKEN_SALT = "salt of the masks", "salt of the tokens"
@@ -145,6 +147,22 @@ def _(spark, sf):
     return proofs.select("event_id", (I.proof_root(F.col("h"), F.col("path")) == root).alias("proven"))
 
 
+@query("merkle_ledger", MERKLE.replace("SELECT h AS root,", "SELECT h AS root, true AS grown,"))
+def _(spark, sf):
+    """The same root from thirty days appended in three parts, each proven to be the beginning of the whole."""
+    e = table(spark, sf, "events").select("event_id", "ts", "event_type")
+    leaf = F.concat("event_type", F.lit("-"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    ledger = J.Ledger(spark, new_path(spark, "ledger"), levels=6)
+    roots = {}
+    for k in range(3):
+        part = e.where(X
+        n = ledger.append(part, leaf, ["ts", "event_id"], f"part{k}")
+        roots[n] = ledger.root()
+    whole = ledger.root()
+    grown = all(J.begins(ledger.consistency(n), root, n, whole) for n, root in roots.items())
+    return spark.createDataFrame([(whole, grown, n)], "root string, grown boolean, leaves bigint")
+
+
 SECRET = b"shared-signing-secret"
 
 
