@@ -358,3 +358,54 @@ def test_weighted_sampling_estimates_weighted_jaccard(spark):
         a, b = Counter(text.split()), Counter(texts[(i + 1) % len(texts)].split())
         error.append(rows[i].near_next - sum((a & b).values()) / sum((a | b).values()))
     assert abs(np.mean(error)) < 0.03 and np.mean(np.abs(error)) < 0.1
+
+
+def test_factorisation_against_all_pairs():
+    """The linear-time margin beside the double loop over pairs that it stands for."""
+    rng = np.random.default_rng(8)
+    size, factors = 12, 3
+    machine = quality_machine.Machine(0.3, rng.normal(size=size), rng.normal(size=(size, factors)), rng.uniform(0.5, 2, size))
+    for x in rng.normal(size=(20, size)) * (rng.random((20, size)) < 0.6):
+        z = x * machine.scale
+        slow = machine.w0 + sum(machine.w[i] * z[i] for i in range(size)) + sum(float(machine.v[i] @ machine.v[j]) * z[i] * z[j] for i in range(size) for j in range(i))
+        assert abs(machine.margin(x[None, :])[0] - slow) < 1e-9
+
+
+def slow_grams(text):
+    """Hashed n-grams of a text's bytes, A to Z in lower case, one after another."""
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+    out = np.zeros(language_codes.BUCKETS)
+    for n in language_codes.GRAMS:
+        for i in range(len(low) - n + 1):
+            gram = int.from_bytes(low[i : i + n])
+            out[((gram + (n << 40)) * int(language_codes.MULTIPLIER) & (1 << 64) - 1) >> 52] += 1
+    x = np.sqrt(out)
+    return x / max(np.linalg.norm(x), 1e-9)
+
+
+def test_ngrams_against_a_loop():
+    texts = ["", "a", "The CAT", "déjà vu, Ünï", "x" * 300, "tiếng Việt"]
+    data = [t.encode() for t in texts]
+    x = language_codes.features(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    for row, t in zip(x, texts, strict=True):
+        assert np.allclose(row, slow_grams(t), atol=1e-6), t
+
+
+def test_decoding_against_a_loop():
+    """Loss-weighted decoding, its score and the ambiguity flag, language by language and bit by bit."""
+    rng = np.random.default_rng(4)
+    code = language_codes.codewords(5)
+    assert all(sum(code[i] != code[j]) >= 3 for i in range(5) for j in range(i))  # one wrong bit changes nothing
+    model = language_codes.Codes(list("abcde"), code, rng.normal(size=(6, code.shape[1])), rng.normal(size=code.shape[1]), rng.uniform(0.2, 2, code.shape[1]))
+    x = rng.normal(size=(40, 6))
+    best, score, close = model.decode(x)
+    seen = set()
+    for k in range(len(x)):
+        margins = [float(x[k] @ model.weights[:, b] + model.offset[b]) for b in range(code.shape[1])]
+        losses = [sum(model.trust[b] * np.log1p(np.exp(-margins[b] * code[i][b])) for b in range(code.shape[1])) for i in range(5)]
+        order = sorted(range(5), key=lambda i: losses[i])
+        assert best[k] == order[0]
+        assert abs(score[k] - np.exp(-losses[order[0]]) / sum(np.exp(-v) for v in losses)) < 1e-9
+        assert close[k] == (losses[order[1]] - losses[order[0]] < language_codes.AMBIGUOUS * model.trust.sum())
+        seen.add(bool(close[k]))
+    assert len(seen) == 2 or not any(close)
