@@ -134,7 +134,9 @@ def learned(docs: DataFrame, sample: int = SAMPLE) -> Codes | None:
     chosen = rows.orderBy("h", "doc_id", "lang").limit(sample)
 
     texts = docs.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(chosen.select("h").distinct()), "h").where(~held_out() & F.col("lang").isNotNull())
-    found = texts.select("lang", F.col("text").cast("string").alias("text")).mapInArrow(as_blobs, "lang string, x binary").limit(2 * sample).toArrow()
+    # rows that repeat an id and a text teach once, with the least language
+    one = texts.groupBy("h").agg(F.min(F.struct("lang", F.col("text").cast("string").alias("text"))).alias("r")).select("r.lang", "r.text")
+    found = one.mapInArrow(as_blobs, "lang string, x binary").toArrow()
     if not found.num_rows:
         return None
     x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float16).reshape(found.num_rows, -1).astype(np.float32)

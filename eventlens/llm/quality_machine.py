@@ -175,7 +175,9 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine
     rows = labels.where(~held_out() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("n_chars").cast("double").alias("n_chars")).join(F.broadcast(chosen), "doc_id")
-    made = texts.select("quality", "text", "n_chars", F.xxhash64("doc_id", "text").alias("h")).mapInArrow(_counted, "quality int, h long, x binary").limit(2 * sample).toArrow()
+    # an id with several texts teaches with the one of the lowest hash
+    one = texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("doc_id", "text").alias("h"), "text", "n_chars", "quality")).alias("r"))
+    made = one.select("r.quality", "r.text", "r.n_chars", "r.h").mapInArrow(_counted, "quality int, h long, x binary").toArrow()
     if not made.num_rows:
         return Machine(0.0, np.zeros(BUCKETS + len(SHAPE), np.float32), np.zeros((BUCKETS + len(SHAPE), 1), np.float32), np.ones(BUCKETS + len(SHAPE), np.float32))
     order = np.argsort(made.column("h").to_numpy(), kind="stable")
