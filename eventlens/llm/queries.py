@@ -37,9 +37,17 @@ def op1_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan_mix(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("_row.doc_id", "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken")
+    """Also the training positions (0 to 1) of a document's first and last copy, null where none is taken."""
+    at = F.col("_mix.positions")
+    mix = plan_mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return mix.select("_row.doc_id", "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken", F.get(at, F.lit(0)).alias("first_position"), F.get(at, F.size(at) - 1).alias("last_position"))
 
 
+#: Where the integral of a schedule reaches a share of its whole; a heavy source's falls from 1.5 to 0.5, a middle one's is 1, a light one's rises from 0.25 by 0.75 to 2.25.
+_CURRICULUM = """CASE rank % 3
+  WHEN 0 THEN 0.0::DOUBLE + (sqrt(greatest(1.5::DOUBLE * 1.5 - 2 * share, 0)) - 1.5) / -1.0
+  WHEN 1 THEN share
+  ELSE CASE WHEN share <= 0.25 THEN sqrt(greatest(0.25::DOUBLE * 0.25 + 2 * share, 0)) - 0.25 ELSE 0.5::DOUBLE + (sqrt(greatest(0.75::DOUBLE * 0.75 + 6 * greatest(share - 0.25, 0), 0)) - 0.75) / 3.0 END END"""
 ORACLES["op4_curriculum_mix"] = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h, text FROM documents
@@ -54,17 +62,21 @@ WITH d AS (
   FROM w
 ), f AS (SELECT ratio AS fr, rank AS fk, level AS fl FROM l WHERE ratio > level ORDER BY ratio, rank LIMIT 1),
 t AS (
-  SELECT source, source_size, CASE WHEN fl IS NOT NULL AND (ratio > fr OR ratio = fr AND rank >= fk) THEN weight * fl ELSE top END AS target
+  SELECT source, source_size, rank, CASE WHEN fl IS NOT NULL AND (ratio > fr OR ratio = fr AND rank >= fk) THEN weight * fl ELSE top END AS target
   FROM l LEFT JOIN f ON true
 ), o AS (
-  SELECT d.doc_id, size, source_size, target,
+  SELECT d.doc_id, size, source_size, target, rank,
     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-)
+), c AS (
+  SELECT *, size = 0 OR start + size / 2.0::DOUBLE <= target AS once, size > 0 AND start + source_size + size / 2.0::DOUBLE <= target AS twice,
+    CASE WHEN target > 0 THEN least((start + source_size * 0.0::DOUBLE) / target, 1.0::DOUBLE) ELSE 0.0::DOUBLE END AS a, CASE WHEN target > 0 THEN least((start + source_size::DOUBLE) / target, 1.0::DOUBLE) ELSE 0.0::DOUBLE END AS b FROM o
+), p AS (SELECT *, {at_a} AS pa, {at_b} AS pb FROM c)
 SELECT doc_id, size, source_size, target,
-  (size * ((start + size / 2.0::DOUBLE <= target)::INT + (start + source_size + size / 2.0::DOUBLE <= target)::INT))::BIGINT AS taken
-FROM o
-"""
+  (size * (once::INT + twice::INT))::BIGINT AS taken,
+  CASE WHEN once THEN pa WHEN twice THEN pb END AS first_position, CASE WHEN twice THEN pb WHEN once THEN pa END AS last_position
+FROM p
+""".replace("{at_a}", _CURRICULUM.replace("share", "a")).replace("{at_b}", _CURRICULUM.replace("share", "b"))
 
 
 @query

@@ -12,9 +12,10 @@ import pytest
 import sentencepiece
 import tokenizers
 import xxhash
+from pyspark.sql import functions as F
 
 from eventlens.llm import language_codes, quality_machine, secret_forest, suffix_dedup, token_files
-from eventlens.llm.curriculum import mixed, plan_mix, source_targets
+from eventlens.llm.curriculum import SCHEDULES, mixed, plan_mix, position, source_targets
 from eventlens.llm.pieces import Vocabulary, encoded
 from eventlens.llm.queries import BYTES, PIECES
 from eventlens.llm.simhash import fingerprint, links, simhash_groups
@@ -409,3 +410,15 @@ def test_decoding_against_a_loop():
         assert close[k] == (losses[order[1]] - losses[order[0]] < language_codes.AMBIGUOUS * model.trust.sum())
         seen.add(bool(close[k]))
     assert len(seen) == 2 or not any(close)
+
+
+def test_positions_invert_the_integral(spark):
+    """A copy's training position is where the integral of its source's schedule, added up in small steps, reaches its share."""
+    grid = np.linspace(0, 1, 200_001)
+    shares = [0.0, 0.001, 0.1, 0.25, 0.3, 0.5, 0.9, 1.0]
+    frame = spark.createDataFrame([(s,) for s in shares], "share double")
+    for schedule in (*SCHEDULES, ((0.0, 2.0), (0.25, 0.0), (1.0, 1.0))):
+        weight = np.interp(grid, *zip(*schedule, strict=True))
+        area = np.concatenate(([0], np.cumsum((weight[1:] + weight[:-1]) / 2 * np.diff(grid))))
+        got = [r[0] for r in frame.select(position(F.col("share"), schedule)).collect()]
+        assert np.allclose(np.interp(got, grid, area / area[-1]), shares, atol=1e-6), schedule
