@@ -43,7 +43,10 @@ def numbered(df: DataFrame, key: str, body: str) -> DataFrame:
 
 
 def posting_lists(rows: DataFrame) -> DataFrame:
-    """token, block, n and either `places` or `bits` of `numbered` rows; the token `ALL` stands for every row. A group is a block at most."""
+    """token, block, n and either `gaps` or `bits` of `numbered` rows; the token `ALL` stands for every row. A group is a block at most.
+
+    Gaps are the steps from one place to the next, small numbers that Parquet packs well.
+    """
 
     @F.arrow_udf("binary")
     def packed(places: pa.Array) -> pa.Array:
@@ -52,7 +55,8 @@ def posting_lists(rows: DataFrame) -> DataFrame:
     each = rows.select("block", "place", F.explode(F.concat(F.array(F.lit(ALL)), F.coalesce(tokens(F.col("body")), F.array().cast("array<string>")))).alias("token"))
     lists = each.groupBy("token", "block").agg(F.sort_array(F.collect_list(F.col("place").cast("int"))).alias("_p"))
     dense = F.size("_p") > SPARSE
-    return lists.select("token", "block", F.size("_p").alias("n"), F.when(~dense, F.col("_p")).alias("places"), packed(F.when(dense, F.col("_p"))).alias("bits"))
+    gaps = F.transform("_p", lambda p, i: (p - F.coalesce(F.get("_p", i - 1), F.lit(0))).cast("smallint"))
+    return lists.select("token", "block", F.size("_p").alias("n"), F.when(~dense, gaps).alias("gaps"), packed(F.when(dense, F.col("_p"))).alias("bits"))
 
 
 def write_postings(df: DataFrame, key: str, body: str, path: str) -> None:
@@ -102,14 +106,14 @@ def matching_rows(postings: DataFrame, query: Query) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(places), at)), pa.array(places)], ["block", "place"])
 
         for batch in batches:
-            for token, block, places, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for token, block, gaps, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block != at:
                     yield from done()
                     at, held = block, {}
-                held[token] = bitmap_of(np.array(places, np.int64)) if bits is None else np.frombuffer(bits, np.uint8)
+                held[token] = bitmap_of(np.cumsum(np.array(gaps, np.int64))) if bits is None else np.frombuffer(bits, np.uint8)
         yield from done()
 
-    chosen = postings.where(F.col("token").isin(wanted)).select("token", "block", "places", "bits")
+    chosen = postings.where(F.col("token").isin(wanted)).select("token", "block", "gaps", "bits")
     return chosen.repartition("block").sortWithinPartitions("block").mapInArrow(of_batches, "block long, place int")
 
 
