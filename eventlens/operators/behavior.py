@@ -227,6 +227,17 @@ def anomaly_severity(deviation: Column) -> Column:
     return F.when(deviation > 5, "critical").when(deviation > 4, "high").when(deviation > 3, "medium").otherwise("low")
 
 
+# Sentences that explain an anomaly.
+TOO_MANY_LOGINS = "User logged in %d times in the last hour, which is significantly higher than the baseline."
+OFF_PEAK = "Activity occurred during off-peak hours."
+TOO_MUCH_DATA = "Data transfer of %.2f MB exceeds 99th percentile of peer group."
+NEW_DESTINATION = "Destination IP has no prior history with this entity."
+DEVIATION = "Anomaly detected based on statistical deviation."
+LOGIN_SUMMARY = "Unusual high frequency of login attempts detected."
+VOLUME_SUMMARY = "Potential data exfiltration detected based on volume."
+OTHER_SUMMARY = "Statistical anomaly detected."
+
+
 def explain_anomaly(df: DataFrame, kind: str = "anomaly_type", value: str = "value") -> DataFrame:
     """One row per contributing factor of each anomaly, with confidence and summary."""
     v = F.col(value).cast("double")
@@ -236,19 +247,19 @@ def explain_anomaly(df: DataFrame, kind: str = "anomaly_type", value: str = "val
 
     zero = F.lit(0.0)
     logins = F.array(
-        factor("Login Frequency", 0.85, v, F.format_string("User logged in %d times in the last hour, which is significantly higher than the baseline.", v.cast("long"))),
-        factor("Time of Day", 0.15, zero, F.lit("Activity occurred during off-peak hours.")),
+        factor("Login Frequency", 0.85, v, F.format_string(TOO_MANY_LOGINS, v.cast("long"))),
+        factor("Time of Day", 0.15, zero, F.lit(OFF_PEAK)),
     )
     volume = F.array(
-        factor("Data Volume", 0.90, v, F.format_string("Data transfer of %.2f MB exceeds 99th percentile of peer group.", v / 1024 / 1024)),
-        factor("Destination IP Reputation", 0.10, zero, F.lit("Destination IP has no prior history with this entity.")),
+        factor("Data Volume", 0.90, v, F.format_string(TOO_MUCH_DATA, v / 1024 / 1024)),
+        factor("Destination IP Reputation", 0.10, zero, F.lit(NEW_DESTINATION)),
     )
-    unknown = F.array(factor("Unknown Factor", 1.0, v, F.lit("Anomaly detected based on statistical deviation.")))
+    unknown = F.array(factor("Unknown Factor", 1.0, v, F.lit(DEVIATION)))
     is_login, is_volume = F.col(kind) == "login_count_1h", F.col(kind) == "bytes_out_1h"
     summary = (
-        F.when(is_login, "Unusual high frequency of login attempts detected.")
-        .when(is_volume, "Potential data exfiltration detected based on volume.")
-        .otherwise("Statistical anomaly detected.")
+        F.when(is_login, LOGIN_SUMMARY)
+        .when(is_volume, VOLUME_SUMMARY)
+        .otherwise(OTHER_SUMMARY)
     )
     exploded = df.withColumn("_f", F.explode(F.when(is_login, logins).when(is_volume, volume).otherwise(unknown)))
     return exploded.select(*df.columns, "_f.*", F.lit(0.92).alias("confidence"), summary.alias("summary"))
